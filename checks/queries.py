@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paneltide.functions import columns as C
 from paneltide.functions import dates as D
@@ -46,26 +46,38 @@ def decimals(column: str) -> int:
     return 7 if any(r in column for r in RATES) else 3
 
 
+def to_decimals(x: Column, n: int) -> Column:
+    """Half away from zero in double arithmetic, which is how DuckDB rounds doubles."""
+    scale = float(10 ** n)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 def rounded(df: DataFrame, cols: list[str]) -> DataFrame:
     """Round derived columns for comparison; the others stay as they are."""
     chosen = set(cols)
-    return df.select(*[F.round(F.col(f"`{c}`"), decimals(c)).alias(c) if c in chosen
+    return df.select(*[to_decimals(F.col(f"`{c}`"), decimals(c)).alias(c) if c in chosen
                        else F.col(f"`{c}`") for c in df.columns])
 
 
 def round_by_feature(df: DataFrame, value: str) -> DataFrame:
     """Round a value column of a long table by the feature it belongs to."""
     rate = F.col("feature").rlike("avg_discount|avg_tax")
-    return df.withColumn(value, F.when(rate, F.round(value, 7)).otherwise(F.round(value, 3)))
+    return df.withColumn(value, F.when(rate, to_decimals(F.col(value), 7))
+                                 .otherwise(to_decimals(F.col(value), 3)))
 
 
 def round_variance(df: DataFrame, value: str = "variance") -> DataFrame:
     out = F.col(value)
     for c, n in VARIANCE_DECIMALS.items():
-        out = F.when(F.col("feature") == c, F.round(value, n)).otherwise(out)
+        out = F.when(F.col("feature") == c, to_decimals(F.col(value), n)).otherwise(out)
     return df.withColumn(value, out)
 
 
+def staged_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The panel written once, for operators that read their input more than once."""
+    return io.stage_via_parquet(total_panel(spark, d))
+
+
 def cells(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*CELL, *cols)
 
@@ -174,7 +186,7 @@ def variance_table(panel: DataFrame) -> DataFrame:
 
 
 def select_from_table(spark, d):
-    panel = total_panel(spark, d)
+    panel = staged_panel(spark, d)
     listed = T.column_variance(panel, IND).where("variance >= 1")
     chosen = C.select_from_table(panel, listed, "feature", CELL)
     return long_form(chosen, [c for c in chosen.columns if c not in CELL])
@@ -280,7 +292,7 @@ def trend_series(spark, d):
 
 
 def describe_table(spark, d):
-    out = T.describe_table(raw_panel(spark, d).drop("id"))
+    out = T.describe_table(io.stage_via_parquet(raw_panel(spark, d).drop("id")))
     for c in ("mean", "std", "q25", "q50", "q75"):
         out = round_by_feature(out, c)
     return out
@@ -307,12 +319,12 @@ def column_means(spark, d):
 
 
 def column_median(spark, d):
-    return T.column_median(total_panel(spark, d), IND)
+    return T.column_median(staged_panel(spark, d), IND)
 
 
 def percentile_cut(spark, d):
-    return Q.percentile_cut(total_panel(spark, d), "net_revenue", 0.2).select(
-        F.round("cut", 3).alias("cut"))
+    return Q.percentile_cut(staged_panel(spark, d), "net_revenue", 0.2).select(
+        to_decimals(F.col("cut"), 3).alias("cut"))
 
 
 # Windows and imputation -------------------------------------------------------------
@@ -338,7 +350,7 @@ def rolling_std_features(spark, d):
 
 def group_mean_feature(spark, d):
     names = [f"{c}_district_avg" for c in IND]
-    return rounded(cells(X.group_mean_feature(total_panel(spark, d), SPEC, IND), names), names)
+    return rounded(cells(X.group_mean_feature(staged_panel(spark, d), SPEC, IND), names), names)
 
 
 def rolling_mean_smooth(spark, d):
@@ -358,15 +370,16 @@ def fill_across_entities(spark, d):
 
 
 def impute_chain(spark, d):
-    return rounded(cells(I.impute_chain(dense(spark, d), SPEC, IND), IND), IND)
+    return rounded(cells(I.impute_chain(dense(spark, d), SPEC, IND, stage=io.stage_via_parquet), IND), IND)
 
 
 def impute_chain_across(spark, d):
-    return rounded(cells(I.impute_chain(dense(spark, d), SPEC, IND, across=True), IND), IND)
+    filled = I.impute_chain(dense(spark, d), SPEC, IND, across=True, stage=io.stage_via_parquet)
+    return rounded(cells(filled, IND), IND)
 
 
 def median_impute(spark, d):
-    return cells(I.median_impute(dense(spark, d), IND), IND)
+    return cells(I.median_impute(io.stage_via_parquet(dense(spark, d)), IND), IND)
 
 
 # Sort, limit ------------------------------------------------------------------------
@@ -448,20 +461,20 @@ def bundle_names(cols):
 
 def feature_bundle(spark, d):
     names = bundle_names(IND)
-    return rounded(cells(X.feature_bundle(total_panel(spark, d), SPEC, IND), names), names)
+    return rounded(cells(X.feature_bundle(staged_panel(spark, d), SPEC, IND), names), names)
 
 
 def feature_bundle_rounds(spark, d):
     first = ROUND_COLS + bundle_names(ROUND_COLS)
     names = bundle_names(ROUND_COLS) + bundle_names(first)
-    df = X.feature_bundle(cells(total_panel(spark, d), ["district_code", *ROUND_COLS]),
-                          SPEC, ROUND_COLS, rounds=2)
+    panel = staged_panel(spark, d).select(*CELL, "district_code", *ROUND_COLS)
+    df = X.feature_bundle(panel, SPEC, ROUND_COLS, rounds=2, stage=io.stage_via_parquet)
     return rounded(cells(df, names), names)
 
 
 def model_matrix(spark, d):
     names = bundle_names(IND)
-    df = D.flag_period(D.date_parts(X.feature_bundle(total_panel(spark, d), SPEC, IND)),
+    df = D.flag_period(D.date_parts(X.feature_bundle(staged_panel(spark, d), SPEC, IND)),
                        periods=[EVENT_PERIOD])
     out = X.model_matrix(df, [*IND, *names, "not_there"],
                          ["date", "year", "month", "subdistrict_name"],
@@ -487,18 +500,18 @@ def series_extract(spark, d):
 # Statistics -------------------------------------------------------------------------
 
 def correlation_matrix(spark, d):
-    return T.correlation_matrix(total_panel(spark, d), IND).withColumn("r", F.round("r", 6))
+    return T.correlation_matrix(staged_panel(spark, d), IND).withColumn("r", to_decimals(F.col("r"), 6))
 
 
 def correlation_matrix_wide(spark, d):
     """All pairs of the indicators and their features, by the Gram matrix."""
-    df = X.feature_bundle(total_panel(spark, d), SPEC, IND)
-    return T.correlation_matrix(df, IND + bundle_names(IND)).withColumn("r", F.round("r", 6))
+    df = io.stage_via_parquet(X.feature_bundle(staged_panel(spark, d), SPEC, IND))
+    return T.correlation_matrix(df, IND + bundle_names(IND)).withColumn("r", to_decimals(F.col("r"), 6))
 
 
 def high_corr_pairs(spark, d):
-    return T.high_corr_pairs(T.correlation_matrix(total_panel(spark, d), IND)).withColumn(
-        "r", F.round("r", 6))
+    return T.high_corr_pairs(T.correlation_matrix(staged_panel(spark, d), IND)).withColumn(
+        "r", to_decimals(F.col("r"), 6))
 
 
 def low_variance_cols(spark, d):
@@ -506,36 +519,36 @@ def low_variance_cols(spark, d):
 
 
 def filter_features(spark, d):
-    kept = T.filter_features(total_panel(spark, d), IND)
+    kept = T.filter_features(staged_panel(spark, d), IND)
     return long_form(kept, SPEC.values(kept))
 
 
 def filter_features_keep_first(spark, d):
-    kept = T.filter_features(total_panel(spark, d), IND, policy="keep_first")
+    kept = T.filter_features(staged_panel(spark, d), IND, policy="keep_first")
     return long_form(kept, SPEC.values(kept))
 
 
 def standard_scale(spark, d):
-    out = cells(Z.standard_scale(total_panel(spark, d), IND), IND)
-    return out.select(*CELL, *[F.round(c, 6).alias(c) for c in IND])
+    out = cells(Z.standard_scale(staged_panel(spark, d), IND), IND)
+    return out.select(*CELL, *[to_decimals(F.col(c), 6).alias(c) for c in IND])
 
 
 def minmax_scale(spark, d):
-    panel = total_panel(spark, d)
+    panel = staged_panel(spark, d)
     out = cells(Z.minmax_scale(panel, IND, panel.where(F.col("date") <= F.lit(TRAIN_END))), IND)
-    return out.select(*CELL, *[F.round(c, 6).alias(c) for c in IND])
+    return out.select(*CELL, *[to_decimals(F.col(c), 6).alias(c) for c in IND])
 
 
 def column_profile(spark, d):
-    out = P.column_profile(raw_panel(spark, d).drop("id"))
+    out = P.column_profile(io.stage_via_parquet(raw_panel(spark, d).drop("id")))
     for c in ("mean", "std", "q25", "q50", "q75"):
         out = round_by_feature(out, c)
     return out
 
 
 def column_profile_histogram(spark, d):
-    out = P.column_histogram(total_panel(spark, d), ["qty", "revenue", "n_lines", "max_line"])
-    return out.withColumns({c: F.round(c, 6) for c in ("low", "high")})
+    out = P.column_histogram(staged_panel(spark, d), ["qty", "revenue", "n_lines", "max_line"])
+    return out.withColumns({c: to_decimals(F.col(c), 6) for c in ("low", "high")})
 
 
 def column_profile_top_values(spark, d):
@@ -572,12 +585,16 @@ def sequences_across_entities(spark, d):
              .select("window_id", "position", "subdistrict_code", "row.*"))
 
 
+def staged_model_panel(spark, d):
+    return io.stage_via_parquet(model_panel(staged_panel(spark, d), SPEC, IND))
+
+
 def isolation_forest_fit(spark, d):
-    return A.isolation_forest_fit(model_panel(total_panel(spark, d), SPEC, IND), CELL, IND)
+    return A.isolation_forest_fit(staged_model_panel(spark, d), CELL, IND)
 
 
 def fitted_forest(spark, d):
-    panel = io.stage_via_parquet(model_panel(total_panel(spark, d), SPEC, IND))
+    panel = staged_model_panel(spark, d)
     return panel, A.Forest.from_table(A.isolation_forest_fit(panel, CELL, IND), IND)
 
 
@@ -587,7 +604,7 @@ def isolation_forest_score(spark, d):
 
 
 def pseudo_label(spark, d):
-    scored = cells(total_panel(spark, d), [F.col("net_revenue").alias("score")])
+    scored = cells(staged_panel(spark, d), [F.col("net_revenue").alias("score")])
     return A.pseudo_label(scored)
 
 
@@ -603,13 +620,13 @@ def permutation_importance(spark, d):
 
 
 def select_top_features(spark, d):
-    panel = total_panel(spark, d)
+    panel = staged_panel(spark, d)
     chosen = M.select_top_features(panel, variance_table(panel), CELL, TOP)
     return long_form(chosen, [c for c in chosen.columns if c not in CELL])
 
 
 def fitted_windows(spark, d):
-    panel = D.split_by_date(total_panel(spark, d), TRAIN_END, VAL_END)
+    panel = D.split_by_date(staged_panel(spark, d), TRAIN_END, VAL_END)
     train = panel.where("split = 'train'")
     scaled = Z.minmax_scale(I.median_impute(panel, IND), IND, train)
     windows = S.flatten_window(S.sequence_window(scaled, SPEC, IND), IND)
@@ -629,10 +646,10 @@ def reconstruction_score(spark, d):
 
 
 def reconstruction_evaluate(spark, d):
-    scored = D.split_by_date(cells(total_panel(spark, d), [F.col("net_revenue").alias("error")]),
+    scored = D.split_by_date(cells(staged_panel(spark, d), [F.col("net_revenue").alias("error")]),
                              TRAIN_END, VAL_END)
     return R.reconstruction_evaluate(scored).withColumns(
-        {c: F.round(c, 3) for c in ("threshold", "mean_error")})
+        {c: to_decimals(F.col(c), 3) for c in ("threshold", "mean_error")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from paneltide.functions.columns import existing_names
-from paneltide.operators.groups import join_group_stats
+from paneltide.operators.groups import count_groups, join_group_stats
 from paneltide.operators.ordered import with_frames
 from paneltide.spec import PanelSpec
 
@@ -52,12 +52,12 @@ def rolling_std_features(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | N
                        lambda w: _rolling(w, cols, preceding, ROLL_STD_NAME, F.stddev_samp))
 
 
-def group_mean_feature(df: DataFrame, spec: PanelSpec,
-                       cols: Sequence[str] | None = None) -> DataFrame:
+def group_mean_feature(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None,
+                       n_groups: int | None = None) -> DataFrame:
     """Mean of the group (district) on each of its rows."""
     cols = list(cols or spec.values(df))
     return join_group_stats(df, spec.group, [
-        (GROUP_AVG_NAME.format(column=c), F.avg(c)) for c in cols])
+        (GROUP_AVG_NAME.format(column=c), F.avg(c)) for c in cols], n_groups)
 
 
 def feature_bundle(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None,
@@ -71,6 +71,7 @@ def feature_bundle(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None =
     added; ``stage`` materialises the panel between rounds.
     """
     cols = list(cols or spec.values(df))
+    n_groups = count_groups(df, spec.group)
     for number in range(rounds):
         if number and stage is not None:
             df = stage(df)
@@ -82,7 +83,7 @@ def feature_bundle(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None =
                     **_rolling(w, cols, preceding, ROLL_STD_NAME, F.stddev_samp)}
 
         df = with_frames(df, spec, max(*lags, preceding), 0, build)
-        df = group_mean_feature(df, spec, cols)
+        df = group_mean_feature(df, spec, cols, n_groups)
         # The earlier columns keep the features they have; only new columns get some.
         cols = [c for c in df.columns if c not in before]
     return df

@@ -52,8 +52,9 @@ def tree_samples(df: DataFrame, key: Sequence[str], cols: Sequence[str], trees:
                  rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """(tree, draw, x): ``rows`` rows per tree without replacement, chosen by hashes.
 
-    A pool of at most trees x rows rows is drawn from the table by one hash of the key,
-    then each tree takes the rows of the pool with its lowest hashes. ``key`` names
+    A pool of at most trees x rows rows is drawn from the table by one hash of the key.
+    A full pool is dealt out to the trees; from a smaller one, which is the whole table,
+    each tree takes the rows with its lowest hashes. ``key`` names
     columns that identify a row; the choice then depends on keys and seed, not on how the
     table is partitioned. Pool and samples have a fixed size, whatever the size of the
     table.
@@ -67,13 +68,18 @@ def tree_samples(df: DataFrame, key: Sequence[str], cols: Sequence[str], trees:
     pool = (df.select(ticket.alias("ticket"), F.array(*[F.col(c).cast("double") for c in cols])
                       .alias("x"))
               .where(likely).orderBy("ticket", "x").limit(pool_rows))
-    pool = checkpoint_stage(pool)
-    draws = (pool.select("ticket", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-                         .alias("tree"))
-                 .withColumn("draw", F.xxhash64(F.lit(seed), "tree", "ticket", "x")))
-    order = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "x"))
-    return draws.withColumn("__rank", order).where(F.col("__rank") <= rows).select(
-        "tree", "draw", "x")
+    place = F.row_number().over(Window.orderBy("ticket", "x")) - 1
+    pool = checkpoint_stage(pool.withColumn("slot", place))
+    size = pool.count()
+    if size >= pool_rows:
+        # Slots are in random order, so each run of slots is a random sample.
+        return pool.select(F.floor(F.col("slot") / rows).cast("int").alias("tree"),
+                           F.col("slot").alias("draw"), "x")
+    draws = (pool.select("slot", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+                 .withColumn("draw", F.xxhash64(F.lit(seed), "tree", "slot")))
+    order = F.row_number().over(Window.partitionBy("tree").orderBy("draw"))
+    chosen = draws.withColumn("__rank", order).where(F.col("__rank") <= rows)
+    return chosen.join(pool.select("slot", "x"), "slot").select("tree", "draw", "x")
 
 
 def _grow(rows: int, seed: int):

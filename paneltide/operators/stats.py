@@ -20,7 +20,7 @@ HIGH_CORRELATION = 0.9
 LOW_VARIANCE = 0.01
 
 # Up to here every pair is its own aggregate; beyond, one Gram matrix holds all pairs.
-MAX_PAIR_COLUMNS = 12
+MAX_PAIR_COLUMNS = 4
 
 
 def _per_column(df: DataFrame, cols: Sequence[str],

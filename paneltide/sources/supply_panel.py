@@ -21,18 +21,22 @@ SPEC = PanelSpec(cells_unique=True)
 
 def _rate(c: str) -> Column:
     """Mean rate in whole basis points, cut off, as a fraction."""
-    points = F.sum(F.round(F.col(c) * 100)) * 100
+    points = F.sum(F.rint(F.col(c) * 100)) * 100
     return F.floor(points / F.count(F.lit(1))) / F.lit(10000.0)
 
 
+def _whole(x: Column) -> Column:
+    return F.floor(x + 0.5).cast("double")
+
+
 def _indicators() -> list[Column]:
-    cents = F.round(F.col("l_extendedprice") * 100)
-    net = cents * F.round(100 - F.col("l_discount") * 100)
+    cents = F.rint(F.col("l_extendedprice") * 100)
+    net = cents * F.rint(100 - F.col("l_discount") * 100)
     returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))
     return [
         F.sum("l_quantity").alias("qty"),
-        F.round(F.sum(cents) / 100).alias("revenue"),
-        F.round(F.sum(net) / 10000).alias("net_revenue"),
+        _whole(F.sum(cents) / 100).alias("revenue"),
+        _whole(F.sum(net) / 10000).alias("net_revenue"),
         F.sum(returned).alias("returned_qty"),
         _rate("l_discount").alias("avg_discount"),
         _rate("l_tax").alias("avg_tax"),
@@ -41,35 +45,45 @@ def _indicators() -> list[Column]:
     ]
 
 
-def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sectors of the panel. A filter on ``sector`` prunes the branches it rules out."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+                 .withColumn("date", F.trunc("l_shipdate", "MM")))
+
+
+def _total(lines: DataFrame) -> DataFrame:
+    return (lines.groupBy("l_suppkey", "date").agg(*_indicators())
+                 .withColumn("sector", F.lit(TOTAL)))
+
+
+def _with_places(sums: DataFrame, sf_dir: str) -> DataFrame:
+    """Join the place names after the aggregation, one base table at a time, so that
+    Spark can pick each join by the size of the table."""
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return sums.sparkSession.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    lines = table("lineitem").withColumn("date", F.trunc("l_shipdate", "MM"))
-    by_flag = (lines.groupBy("l_suppkey", "date", F.col("l_returnflag").alias("sector"))
-                    .agg(*_indicators()))
-    total = (lines.groupBy("l_suppkey", "date").agg(*_indicators())
-                  .withColumn("sector", F.lit(TOTAL)))
-    places = (table("supplier")
-              .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-              .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-              .select(F.col("r_name").alias("state_name"),
-                      F.col("r_regionkey").alias("state_code"),
-                      F.col("n_name").alias("district_name"),
-                      F.col("n_nationkey").alias("district_code"),
-                      F.col("s_name").alias("subdistrict_name"),
-                      F.col("s_suppkey").cast("int").alias("subdistrict_code"),
-                      "s_suppkey"))
+    placed = (sums.join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+                  .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+                  .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")))
     sector_no = (F.when(F.col("sector") == "A", 1).when(F.col("sector") == "N", 2)
                   .when(F.col("sector") == "R", 3).otherwise(0))
     month_no = F.year("date") * 12 + F.month("date")
-    row_id = (F.col("s_suppkey") * 100000 + month_no) * 4 + sector_no
-    return (by_flag.unionByName(total)
-            .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(row_id.alias("id"), *SPEC.attrs, "sector", "date", *INDICATORS))
+    return placed.select(
+        ((F.col("s_suppkey") * 100000 + month_no) * 4 + sector_no).alias("id"),
+        F.col("r_name").alias("state_name"), F.col("r_regionkey").alias("state_code"),
+        F.col("n_name").alias("district_name"), F.col("n_nationkey").alias("district_code"),
+        F.col("s_name").alias("subdistrict_name"),
+        F.col("s_suppkey").cast("int").alias("subdistrict_code"),
+        "sector", "date", *INDICATORS)
+
+
+def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sectors of the panel."""
+    lines = _lines(spark, sf_dir)
+    by_flag = (lines.groupBy("l_suppkey", "date", F.col("l_returnflag").alias("sector"))
+                    .agg(*_indicators()))
+    return _with_places(by_flag.unionByName(_total(lines)), sf_dir)
 
 
 def total_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``Total`` sector, the slice every later step works on."""
-    return raw_panel(spark, sf_dir).where(F.col("sector") == TOTAL)
+    return _with_places(_total(_lines(spark, sf_dir)), sf_dir)
