@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
 from paneltide.functions import columns as C
 from paneltide.functions import dates as D
@@ -53,8 +54,8 @@ def to_decimals(x: Column, n: int) -> Column:
 
 
 def rounded(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Round derived columns for comparison; the others stay as they are."""
-    chosen = set(cols)
+    """Round derived doubles for comparison; the other columns stay as they are."""
+    chosen = {c for c in cols if df.schema[c].dataType == DoubleType()}
     return df.select(*[to_decimals(F.col(f"`{c}`"), decimals(c)).alias(c) if c in chosen
                        else F.col(f"`{c}`") for c in df.columns])
 

@@ -18,13 +18,21 @@ TOP_K = 20
 
 def forest_importance(df: DataFrame, cols: Sequence[str], label: str = "pseudo_label",
                       trees: int = TREES, seed: int = SEED, max_depth: int = 10) -> DataFrame:
-    """Impurity importance of each feature in a random forest: (feature, importance)."""
+    """Impurity importance of each feature in a random forest: (feature, importance).
+
+    Reads ``df`` several times, so pass a staged table. Training makes many passes over
+    the same rows; a table with fewer partitions than cores is spread out first.
+    """
     assembled = VectorAssembler(inputCols=list(cols), outputCol="features").transform(
         df.select(F.col(label).cast("double").alias("label"),
                   *[F.col(c).cast("double").alias(c) for c in cols]))
     forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth,
                                     featureSubsetStrategy="sqrt")
-    model = forest.fit(assembled.select("label", "features"))
+    rows_in = assembled.select("label", "features")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows_in.rdd.getNumPartitions() < cores:
+        rows_in = rows_in.repartition(cores)
+    model = forest.fit(rows_in)
     rows = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 

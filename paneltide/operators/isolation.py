@@ -164,12 +164,14 @@ def _scorer(forest: Forest):
 
     def score(nodes: tuple, x: np.ndarray) -> np.ndarray:
         feature, threshold, path = nodes
-        total, at = np.zeros(len(x)), np.arange(len(x))
+        total, row = np.zeros(len(x)), np.arange(len(x)) * x.shape[1]
+        flat = np.ascontiguousarray(x).ravel()
         for t in range(trees):
             node = np.zeros(len(x), dtype=np.int64)
             for _ in range(levels):
-                node = 2 * node + 1 + (x[at, feature[t, node]] > threshold[t, node])
-            total += path[t, node - (2 ** levels - 1)]
+                value = flat.take(row + feature[t].take(node))
+                node = 2 * node + 1 + (value > threshold[t].take(node))
+            total += path[t].take(node - (2 ** levels - 1))
         return offset - 2.0 ** (-(total / trees) / norm)
 
     return score
