@@ -226,7 +226,7 @@ def top_rows(k: int) -> str:
 
 def histogram() -> str:
     out = []
-    for c in ("qty", "revenue", "n_lines", "max_line"):
+    for c in ("qty", "revenue", "returned_qty", "max_line"):
         out.append(
             f"SELECT '{c}' AS feature, bin, round(lo + (hi - lo) / 10 * bin, 6) AS low, "
             f"round(lo + (hi - lo) / 10 * (bin + 1), 6) AS high, count(*) AS n FROM ("

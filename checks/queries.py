@@ -548,7 +548,7 @@ def column_profile(spark, d):
 
 
 def column_profile_histogram(spark, d):
-    out = P.column_histogram(staged_panel(spark, d), ["qty", "revenue", "n_lines", "max_line"])
+    out = P.column_histogram(staged_panel(spark, d), ["qty", "revenue", "returned_qty", "max_line"])
     return out.withColumns({c: to_decimals(F.col(c), 6) for c in ("low", "high")})
 
 

@@ -73,8 +73,9 @@ def column_histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> Data
         low, high = F.col("__b")[c]["low"], F.col("__b")[c]["high"]
         width = F.when(high > low, high - low).otherwise(1.0)
         place = F.floor((F.col(c).cast("double") - low) / width * bins)
+        # when, not least: least would skip a null and put it in the last bin.
         return F.struct(F.lit(c).alias("feature"),
-                        F.least(place, F.lit(bins - 1)).cast("int").alias("bin"),
+                        F.when(place >= bins, bins - 1).otherwise(place).cast("int").alias("bin"),
                         low.alias("__low"), high.alias("__high"))
 
     counted = (with_bounds.select(F.inline(F.array(*[entry(c) for c in cols])))
