@@ -94,9 +94,7 @@ def fill_column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    medians = quantile_row(df, cols, [0.5], exact).select(
-        *[F.col(c)[0].alias(c) for c in cols])
-    return fill_from_row(df, medians, cols)
+    return fill_from_row(df, quantile_row(df, cols, 0.5, exact), cols)
 
 
 def impute_chain(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None,

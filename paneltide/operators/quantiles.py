@@ -1,9 +1,10 @@
 """Quantiles with linear interpolation, exact at any size, or approximate.
 
-Spark's exact ``percentile`` keeps all distinct values of a group in one task, so it is
-used up to a limit. Beyond it each wanted rank is bracketed by approximate percentiles,
-rows below and inside the bracket are counted exactly, and the bracket is narrowed until
-the values in it fit in one task. Every step is one aggregate over all columns.
+Columns are taken in long form, one group per column, so the plan does not grow with the
+width of the table. Spark's exact ``percentile`` keeps all distinct values of a group in
+one task and is used up to a row limit. Beyond it each wanted rank is bracketed by
+approximate percentiles, rows below and inside the bracket are counted exactly, and the
+bracket is narrowed until the values in it fit in one task.
 """
 
 from __future__ import annotations
@@ -12,115 +13,142 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, functions as F
 
-# Values (rows x columns) the built-in exact percentile may hold in one task.
-MAX_EXACT_VALUES = 5_000_000
+# Rows per column the built-in exact percentile may hold in one task.
+MAX_EXACT_ROWS = 1_000_000
 # Values of one bracket that may be sorted in one task.
 MAX_BRACKET_ROWS = 10_000
 ACCURACY = 10_000
+# Approximate percentiles taken per pass; each pass narrows a bracket about so much.
+GRID = 512
 
 
-def quantile_row(df: DataFrame, cols: Sequence[str], qs: Sequence[float], exact: bool = True,
-                 max_values: int = MAX_EXACT_VALUES,
-                 max_bracket: int = MAX_BRACKET_ROWS) -> DataFrame:
-    """One row; per column an array with its quantiles in the order of ``qs``."""
+def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, x): every value of the columns as a double, nulls included."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])))
+
+
+def quantile_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float], exact: bool = True,
+                   max_rows: int = MAX_EXACT_ROWS,
+                   max_bracket: int = MAX_BRACKET_ROWS) -> DataFrame:
+    """(feature, values): per column an array with its quantiles in the order of ``qs``.
+
+    With ``exact`` the input is read more than once; pass a staged table.
+    """
+    values = long_values(df, cols)
     if not exact:
-        return df.agg(*[
-            F.percentile_approx(F.col(c).cast("double"), list(qs), ACCURACY).alias(c)
-            for c in cols])
-    max_rows = max_values // len(cols)
+        found = F.percentile_approx("x", [float(q) for q in qs], ACCURACY)
+        return values.groupBy("feature").agg(found.alias("values"))
     if df.select(*cols).limit(max_rows + 1).count() <= max_rows:
-        fractions = F.array(*[F.lit(float(q)) for q in qs])
-        return df.agg(*[F.percentile(F.col(c).cast("double"), fractions).alias(c) for c in cols])
-    found = _by_rank(df, cols, qs, max_bracket)
-    schema = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in cols])
-    return df.sparkSession.createDataFrame([tuple(found[c] for c in cols)], schema)
+        found = F.percentile("x", F.array(*[F.lit(float(q)) for q in qs]))
+        return values.groupBy("feature").agg(found.alias("values"))
+    rows = _by_rank(values, cols, qs, max_bracket)
+    return df.sparkSession.createDataFrame(rows, "feature string, values array<double>")
+
+
+def quantile_row(df: DataFrame, cols: Sequence[str], q: float, exact: bool = True) -> DataFrame:
+    """One row with the quantile of each column under the column's name."""
+    by_name = quantile_table(df, cols, [q], exact).agg(F.map_from_entries(F.collect_list(
+        F.struct("feature", F.col("values")[0]))).alias("m"))
+    return by_name.select(*[F.try_element_at("m", F.lit(c)).alias(c) for c in cols])
 
 
 def percentile_cut(df: DataFrame, column: str, q: float = 0.2, exact: bool = True) -> DataFrame:
     """One row with the ``q`` quantile of a column."""
-    return quantile_row(df, [column], [q], exact).select(F.col(column)[0].alias("cut"))
+    return quantile_table(df, [column], [q], exact).select(F.col("values")[0].alias("cut"))
 
 
 @dataclass
 class _Bracket:
     """A value range that holds the row of one rank; ``below`` rows lie under it."""
 
-    column: str
+    feature: str
     rank: int
     low: float
     high: float
     below: int
     inside: int
 
-    def value(self) -> Column:
-        return F.col(self.column).cast("double")
-
-    def candidates(self, near: Sequence[float]) -> list[tuple[float, float]]:
-        """The range the sketch proposes, and two halves that always make progress."""
+    def halves(self) -> list[tuple[float, float]]:
         middle = self.low + (self.high - self.low) / 2
-        return [(near[0], near[1]), (self.low, middle),
-                (math.nextafter(middle, math.inf), self.high)]
-
-
-def _by_rank(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
-             max_bracket: int) -> dict[str, list[float | None]]:
-    bounds = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"a{i}"),
-        F.max(c).cast("double").alias(f"b{i}"))]).first()
-    size = {c: bounds[f"n{i}"] for i, c in enumerate(cols)}
-    brackets = {}
-    for i, c in enumerate(cols):
-        for q in qs if size[c] else ():
-            at = (size[c] - 1) * q
-            for rank in {math.floor(at), math.ceil(at)}:
-                brackets[c, rank] = _Bracket(c, rank, bounds[f"a{i}"], bounds[f"b{i}"], 0, size[c])
+        return [(self.low, middle), (math.nextafter(middle, math.inf), self.high)]
+
+    def between_grid(self, grid: Sequence[float]) -> tuple[float, float]:
+        """The grid points around the rank, one step wider than it needs on each side."""
+        at = (self.rank - self.below) / self.inside * GRID
+        return grid[max(0, math.floor(at) - 1)], grid[min(GRID, math.ceil(at) + 2)]
+
+
+def _by_rank(values: DataFrame, cols: Sequence[str], qs: Sequence[float],
+             max_bracket: int) -> list[tuple[str, list[float | None]]]:
+    bounds = {r.feature: r for r in values.groupBy("feature").agg(
+        F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    brackets: dict[tuple[str, int], _Bracket] = {}
+    for c in cols:
+        b = bounds[c]
+        for q in qs if b.n else ():
+            at = (b.n - 1) * q
+            for rank in (math.floor(at), math.ceil(at)):
+                brackets[c, rank] = _Bracket(c, rank, b.low, b.high, 0, b.n)
     while wide := [b for b in brackets.values() if b.low < b.high and b.inside > max_bracket]:
-        _narrow(df, wide)
-    value = _pick(df, brackets)
+        _narrow(values, wide)
+    value = _pick(values, brackets)
 
     def interpolated(c: str, q: float) -> float | None:
-        if not size[c]:
+        if not bounds[c].n:
             return None
-        at = (size[c] - 1) * q
+        at = (bounds[c].n - 1) * q
         low, high = value[c, math.floor(at)], value[c, math.ceil(at)]
         return low + (at - math.floor(at)) * (high - low)
 
-    return {c: [interpolated(c, q) for q in qs] for c in cols}
-
-
-def _narrow(df: DataFrame, wide: Sequence[_Bracket]) -> None:
-    slack = 2.0 / ACCURACY
-    sketches = df.agg(*[
-        F.percentile_approx(
-            F.when(b.value().between(b.low, b.high), b.value()),
-            [max(0.0, (b.rank - b.below) / b.inside - slack),
-             min(1.0, (b.rank - b.below + 1) / b.inside + slack)], ACCURACY)
-        for b in wide]).first()
-    tries = [b.candidates(near) for b, near in zip(wide, sketches)]
-    counts = df.agg(*[e for b, ranges in zip(wide, tries) for low, high in ranges for e in (
-        F.count_if(b.value().between(b.low, b.high) & (b.value() < low)),
-        F.count_if(b.value().between(low, high)))]).first()
-    at = iter(counts)
-    for b, ranges in zip(wide, tries):
-        start, best = b.below, None
-        for low, high in ranges:
-            below, inside = start + next(at), next(at)
-            if below <= b.rank < below + inside and (best is None or inside < best[3]):
-                best = (low, high, below, inside)
-        b.low, b.high, b.below, b.inside = best
-
-
-def _pick(df: DataFrame, brackets: dict[tuple[str, int], _Bracket]
+    return [(c, [interpolated(c, q) for q in qs]) for c in cols]
+
+
+def _inside(values: DataFrame, rows: list[tuple], extra: str = "") -> DataFrame:
+    """The values that fall into each (feature, id, low, high, ...) range.
+
+    The ranges number columns x ranks, so the table is small by construction.
+    """
+    schema = "feature string, id int, low double, high double" + extra
+    ranges = values.sparkSession.createDataFrame(rows, schema)
+    return (values.join(F.broadcast(ranges), "feature")
+                  .where(F.col("x").between(F.col("low"), F.col("high"))))
+
+
+def _narrow(values: DataFrame, wide: Sequence[_Bracket]) -> None:
+    """Shrink each bracket once: one job for candidates, one for exact counts."""
+    held = _inside(values, [(b.feature, i, b.low, b.high) for i, b in enumerate(wide)])
+    steps = [k / GRID for k in range(GRID + 1)]
+    grids = dict(held.groupBy("id").agg(F.percentile_approx("x", steps, ACCURACY)).collect())
+    # Halves always make progress, also where the grid repeats one frequent value.
+    tries = [(i, low, high) for i, b in enumerate(wide)
+             for low, high in [b.between_grid(grids[i]), *b.halves()]]
+    held = _inside(values, [(wide[i].feature, t, wide[i].low, wide[i].high, low, high)
+                            for t, (i, low, high) in enumerate(tries)],
+                   ", try_low double, try_high double")
+    counts = {r.id: r for r in held.groupBy("id").agg(
+        F.count_if(F.col("x") < F.col("try_low")).alias("under"),
+        F.count_if(F.col("x").between(F.col("try_low"), F.col("try_high"))).alias("inside")).collect()}
+    best: dict[int, tuple] = {}
+    for t, (i, low, high) in enumerate(tries):
+        below, inside = wide[i].below + counts[t].under, counts[t].inside
+        if below <= wide[i].rank < below + inside and (i not in best or inside < best[i][3]):
+            best[i] = (low, high, below, inside)
+    for i, b in enumerate(wide):
+        b.low, b.high, b.below, b.inside = best[i]
+
+
+def _pick(values: DataFrame, brackets: dict[tuple[str, int], _Bracket]
           ) -> dict[tuple[str, int], float]:
-    value = {key: b.low for key, b in brackets.items() if b.low == b.high}
-    rest = {key: b for key, b in brackets.items() if key not in value}
+    found = {key: b.low for key, b in brackets.items() if b.low == b.high}
+    rest = [key for key in brackets if key not in found]
     if rest:
-        row = df.agg(*[
-            F.element_at(F.array_sort(F.collect_list(
-                F.when(b.value().between(b.low, b.high), b.value()))), b.rank - b.below + 1)
-            for b in rest.values()]).first()
-        value.update(zip(rest, row))
-    return value
+        rows = [(b.feature, i, b.low, b.high, b.rank - b.below + 1)
+                for i, b in enumerate(brackets[key] for key in rest)]
+        held = _inside(values, rows, ", place int").groupBy("id", "place").agg(
+            F.array_sort(F.collect_list("x")).alias("xs"))
+        picked = held.select("id", F.element_at("xs", F.col("place")).alias("x")).collect()
+        found.update({rest[r.id]: r.x for r in picked})
+    return found

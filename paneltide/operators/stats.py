@@ -13,19 +13,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions.columns import names_from_table
-from paneltide.operators.quantiles import quantile_row
+from paneltide.operators.quantiles import long_values, quantile_table
 
 # Thresholds of the feature filter.
 HIGH_CORRELATION = 0.9
 LOW_VARIANCE = 0.01
 
+# Up to here columns are aggregated side by side; beyond, in long form.
+MAX_WIDE_COLUMNS = 20
+
 # Up to here every pair is its own aggregate; beyond, one Gram matrix holds all pairs.
 MAX_PAIR_COLUMNS = 4
 
 
 def _per_column(df: DataFrame, cols: Sequence[str],
                 stats: dict[str, Callable[[str], Column]]) -> DataFrame:
-    """One aggregate over ``df``, then one row per column: (feature, stat, ...)."""
+    """Statistics of each numeric column in one aggregate: (feature, stat, ...).
+
+    A few columns are aggregated side by side. Many would make a plan of thousands of
+    aggregates, so they go in long form, grouped by column with map-side combine.
+    """
+    if len(cols) > MAX_WIDE_COLUMNS:
+        return long_values(df, cols).groupBy("feature").agg(
+            *[f("x").alias(n) for n, f in stats.items()])
     row = df.agg(*[F.struct(*[f(c).alias(n) for n, f in stats.items()]).alias(c) for c in cols])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), *[F.col(c)[n].alias(n) for n in stats])
@@ -41,9 +51,8 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def column_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    row = quantile_row(df, cols, [0.5], exact)
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("median")) for c in cols])))
+    return quantile_table(df, cols, [0.5], exact).select(
+        "feature", F.col("values")[0].alias("median"))
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -64,34 +73,30 @@ def describe_table(df: DataFrame, cols: Sequence[str] | None = None,
     Numeric columns fill the numeric bounds, other columns the text bounds.
     """
     cols = list(cols or df.columns)
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
-
-    def number(c: str, e: Column) -> Column:
-        return e.cast("double") if c in numeric else F.lit(None).cast("double")
-
-    def text(c: str, e: Column) -> Column:
-        return F.lit(None).cast("string") if c in numeric else e.cast("string")
-
-    basics = _per_column(df, cols, {
-        "count": F.count,
-        "nulls": lambda c: F.count_if(F.col(c).isNull()),
-        "mean": lambda c: number(c, F.avg(c) if c in numeric else F.lit(None)),
-        "std": lambda c: number(c, F.stddev_samp(c) if c in numeric else F.lit(None)),
-        "min": lambda c: number(c, F.min(c)),
-        "max": lambda c: number(c, F.max(c)),
-        "min_text": lambda c: text(c, F.min(c)),
-        "max_text": lambda c: text(c, F.max(c)),
-    })
-    ranked = [c for c in cols if c in numeric]
-    names = ["q25", "q50", "q75"]
-    if not ranked:
-        return basics.select("*", *[F.lit(None).cast("double").alias(n) for n in names])
-    row = quantile_row(df, ranked, [0.25, 0.5, 0.75], exact)
-    by_column = row.select(F.map_from_arrays(
-        F.array(*[F.lit(c) for c in ranked]), F.array(*ranked))).scalar()
-    return (basics.withColumn("__q", F.try_element_at(by_column, F.col("feature")))
-                  .select("*", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-                  .drop("__q"))
+    numeric = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    others = [c for c in cols if c not in set(numeric)]
+    parts = []
+    if numeric:
+        moments = _per_column(df, numeric, {
+            "count": F.count, "nulls": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg,
+            "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"),
+            "max": lambda c: F.max(c).cast("double")})
+        quartiles = quantile_table(df, numeric, [0.25, 0.5, 0.75], exact)
+        parts.append(moments.join(quartiles, "feature").select(
+            *moments.columns, *[F.lit(None).cast("string").alias(n) for n in ("min_text", "max_text")],
+            *[F.col("values")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]))
+    if others:
+        # Date and text order agree, so bounds may be taken on text.
+        text = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("t"))
+            for c in others])))
+        none = F.lit(None).cast("double")
+        parts.append(text.groupBy("feature").agg(
+            F.count("t").alias("count"), F.count_if(F.col("t").isNull()).alias("nulls"),
+            F.min("t").alias("min_text"), F.max("t").alias("max_text")).select(
+            "feature", "count", "nulls", *[none.alias(n) for n in ("mean", "std", "min", "max")],
+            "min_text", "max_text", *[none.alias(n) for n in ("q25", "q50", "q75")]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paneltide.operators.quantiles import percentile_cut, quantile_row
+from paneltide.operators.quantiles import percentile_cut, quantile_table
 
 QS = [0.0, 0.2, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -20,11 +20,11 @@ def values(spark):
                                        "nothing double").repartition(7).cache()
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_values": 10, "max_bracket": 20},
-                                    {"max_values": 10, "max_bracket": 1}])
+@pytest.mark.parametrize("limits", [{}, {"max_rows": 10, "max_bracket": 20},
+                                    {"max_rows": 10, "max_bracket": 1}])
 def test_exact_quantiles_equal_numpy(values, limits):
     cols = ["wide", "mostly_zero", "few", "same", "nothing"]
-    got = quantile_row(values, cols, QS, **limits).first()
+    got = dict(quantile_table(values, cols, QS, **limits).collect())
     for c in cols:
         data = np.array([r[0] for r in values.select(c).where(F.col(c).isNotNull()).collect()], float)
         if not len(data):
@@ -34,7 +34,7 @@ def test_exact_quantiles_equal_numpy(values, limits):
 
 
 def test_approximate_quantiles_are_near(values):
-    got = quantile_row(values, ["wide"], [0.5], exact=False).first()["wide"][0]
+    got = quantile_table(values, ["wide"], [0.5], exact=False).first()["values"][0]
     data = np.array([r[0] for r in values.select("wide").collect()])
     assert abs((data <= got).mean() - 0.5) < 0.01
 
