@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from paneltide.operators.ordered import AFTER_ALL, BEFORE_ALL, carry_fill, entity_window, with_frames
-from paneltide.operators.quantiles import quantile_row
+from paneltide.operators.stats import column_means, column_median
 from paneltide.spec import PanelSpec
 
 
@@ -80,21 +80,18 @@ def fill_across_entities(df: DataFrame, spec: PanelSpec,
     return carry_fill(df, list(spec.cell), (), cols, True, True)
 
 
-def fill_from_row(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace nulls by the values of a one-row table with the same column names."""
-    row = stats.select(F.struct(*cols)).scalar()
-    filled = df.select("*", row.alias("__fill"))
-    return filled.select(*[
-        F.coalesce(F.col(c), F.col("__fill")[c]).alias(c) if c in set(cols) else F.col(c)
-        for c in df.columns])
+def fill_constants(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
+    """Replace the nulls of each column by one number."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast("double"))
+                           for c, v in values.items()})
 
 
 def fill_column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return fill_from_row(df, df.agg(*[F.avg(c).alias(c) for c in cols]), cols)
+    return fill_constants(df, dict(column_means(df, cols).collect()))
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    return fill_from_row(df, quantile_row(df, cols, 0.5, exact), cols)
+    return fill_constants(df, dict(column_median(df, cols, exact).collect()))
 
 
 def impute_chain(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None,

@@ -48,13 +48,6 @@ def quantile_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float], exac
     return df.sparkSession.createDataFrame(rows, "feature string, values array<double>")
 
 
-def quantile_row(df: DataFrame, cols: Sequence[str], q: float, exact: bool = True) -> DataFrame:
-    """One row with the quantile of each column under the column's name."""
-    by_name = quantile_table(df, cols, [q], exact).agg(F.map_from_entries(F.collect_list(
-        F.struct("feature", F.col("values")[0]))).alias("m"))
-    return by_name.select(*[F.try_element_at("m", F.lit(c)).alias(c) for c in cols])
-
-
 def percentile_cut(df: DataFrame, column: str, q: float = 0.2, exact: bool = True) -> DataFrame:
     """One row with the ``q`` quantile of a column."""
     return quantile_table(df, [column], [q], exact).select(F.col("values")[0].alias("cut"))

@@ -26,7 +26,7 @@ MAX_WIDE_COLUMNS = 20
 MAX_PAIR_COLUMNS = 4
 
 
-def _per_column(df: DataFrame, cols: Sequence[str],
+def per_column(df: DataFrame, cols: Sequence[str],
                 stats: dict[str, Callable[[str], Column]]) -> DataFrame:
     """Statistics of each numeric column in one aggregate: (feature, stat, ...).
 
@@ -43,11 +43,11 @@ def _per_column(df: DataFrame, cols: Sequence[str],
 
 
 def column_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _per_column(df, cols, {"variance": F.var_samp})
+    return per_column(df, cols, {"variance": F.var_samp})
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _per_column(df, cols, {"mean": F.avg})
+    return per_column(df, cols, {"mean": F.avg})
 
 
 def column_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
@@ -77,7 +77,7 @@ def describe_table(df: DataFrame, cols: Sequence[str] | None = None,
     others = [c for c in cols if c not in set(numeric)]
     parts = []
     if numeric:
-        moments = _per_column(df, numeric, {
+        moments = per_column(df, numeric, {
             "count": F.count, "nulls": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg,
             "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"),
             "max": lambda c: F.max(c).cast("double")})
