@@ -20,6 +20,7 @@ from paneltide.spec import PanelSpec
 
 BLOCK_ROWS = 100_000
 ROW, PART, POS, BLOCK, OWN = "__row", "__part", "__pos", "__block", "__own"
+SALT = "__salt"
 BEFORE_ALL = Window.unboundedPreceding
 AFTER_ALL = Window.unboundedFollowing
 
@@ -37,11 +38,13 @@ def full_order(df: DataFrame, spec: PanelSpec) -> list[str]:
 def sorted_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-sort ``df`` and pin the result: adds the part and the row number in it.
 
-    The ranges cover the full key, so one large entity spreads over many parts. The
-    checkpoint keeps the parts fixed for the steps that read them more than once.
+    The ranges cover the full key, so one large entity spreads over many parts, and a
+    random last key spreads rows that are equal in the whole order. The checkpoint keeps
+    the parts fixed for the steps that read them more than once.
     """
-    numbered = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-                  .withColumn(ROW, F.monotonically_increasing_id()))
+    salted = df.withColumn(SALT, F.rand(0))
+    numbered = (salted.repartitionByRange(*order, SALT).sortWithinPartitions(*order, SALT)
+                      .withColumn(ROW, F.monotonically_increasing_id()).drop(SALT))
     pinned = checkpoint_stage(numbered)
     # monotonically_increasing_id holds the part in the bits above 33.
     return pinned.withColumns({

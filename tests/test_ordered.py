@@ -13,6 +13,15 @@ from paneltide.operators import ordered as O
 from paneltide.operators import sequences as S
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_parts(spark):
+    """Keep small shuffles in all their partitions, so that rows lie in many parts."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One entity holds most rows, others one to a few; a third of the values are null."""
@@ -71,6 +80,11 @@ def test_block_sequences(skewed, small_limits, run):
     compare(skewed, run, "subdistrict_code", "start", "position", "date", "a", "b")
 
 
+def test_large_entity_lies_in_many_parts(skewed):
+    parts = O.sorted_parts(skewed, ["subdistrict_code", "date"])
+    assert parts.where("subdistrict_code = 1").select(O.PART).distinct().count() > 4
+
+
 def test_positions_follow_the_order(skewed):
     got = O.with_position(skewed, ["subdistrict_code", "date"]).orderBy(O.POS).collect()
     assert [r[O.POS] for r in got] == list(range(skewed.count()))
@@ -101,6 +115,15 @@ def test_sequences_across_entities(skewed, small_limits):
         assert [m.row.a for m in r.y] == [q.a for q in rows[i + 1:i + 13]]
 
 
+def test_copies_spread_over_parts(spark):
+    rows = [row(1, 0, 1.0)] * 4000 + [row(2, n, 2.0) for n in range(40)]
+    parts = O.sorted_parts(panel(spark, rows), ["subdistrict_code", "date"])
+    sizes = [r["count"] for r in parts.groupBy(O.PART).count().collect()]
+    assert sum(sizes) == 4040 and len(sizes) > 4 and max(sizes) < 1500
+    filled = I.forward_fill(panel(spark, rows), MEASURED, ["a"])
+    assert filled.count() == 4040
+
+
 def test_null_entity_is_kept(spark, small_limits):
     rows = [row(1, n, 1.0 if n % 7 == 0 else None) for n in range(80)]
     rows += [(None, "S", 1, "D", 1, None, None, "Total", r[8], r[9], 1) for r in rows[:20]]
