@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import sharding, url_filter
+from paneltide.llm import minhash_dedup, sharding, url_filter
 from paneltide.llm.tables import table
 
 URL_BLOCK = ("net/", "example.com/de/")
@@ -24,9 +24,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     [1.0] * SHARDS, grown_weight=1.0)
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op5_sharding": op5_sharding,
+    "op8_minhash_dedup": op8_minhash_dedup,
 }
 
 # SQL counterparts; none where DuckDB lacks a function (CRC-32, tokens) or SQL a model.
