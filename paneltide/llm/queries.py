@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import minhash_dedup, sharding, url_filter
+from paneltide.llm import decontaminate, minhash_dedup, sharding, url_filter
+from paneltide.llm.oracle import OP4_DECONTAMINATE
 from paneltide.llm.tables import table
 
 URL_BLOCK = ("net/", "example.com/de/")
@@ -19,6 +20,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  URL_BLOCK, URL_ALLOW)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                       table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]),
                                     [1.0] * SHARDS, grown_weight=1.0)
@@ -30,9 +36,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op8_minhash_dedup": op8_minhash_dedup,
 }
 
 # SQL counterparts; none where DuckDB lacks a function (CRC-32, tokens) or SQL a model.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_decontaminate": OP4_DECONTAMINATE}
