@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import decontaminate, minhash_dedup, sharding, url_filter
+from paneltide.llm import decontaminate, minhash_dedup, packing, sharding, url_filter
 from paneltide.llm.oracle import OP4_DECONTAMINATE
 from paneltide.llm.tables import table
 
 URL_BLOCK = ("net/", "example.com/de/")
 URL_ALLOW = ("example.net/en/", "org/fr/")
 SHARDS = 40
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     [1.0] * SHARDS, grown_weight=1.0)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), TOKENIZER)
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -38,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op8_minhash_dedup": op8_minhash_dedup,
 }
 
