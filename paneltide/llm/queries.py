@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import decontaminate, minhash_dedup, packing, sharding, url_filter
+from paneltide.llm import (decontaminate, minhash_dedup, packing, quality, sharding, toxicity,
+                           url_filter)
 from paneltide.llm.oracle import OP4_DECONTAMINATE
 from paneltide.llm.tables import table
 
@@ -22,6 +23,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  URL_BLOCK, URL_ALLOW)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                   table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents", ["doc_id", "text"]),
                                        table(spark, sf_dir, "benchmark", ["item_id", "text"]))
@@ -36,15 +42,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), TOKENIZER)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                 table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op8_minhash_dedup": op8_minhash_dedup,
 }
 
