@@ -145,6 +145,18 @@ def _buckets(met: DataFrame) -> DataFrame:
             .select(F.xxhash64("x", "y").alias("key"), "node", "centrality"))
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """One of each buckets with the same nodes: close documents share most of their tables.
+
+    Contents are told apart by counts and sums of hashes, which are combined before the shuffle.
+    """
+    content = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+               F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("s")]
+    kept = (buckets.groupBy("key").agg(*content).where("n > 1")
+            .groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"))
+    return buckets.join(kept, "key")
+
+
 def _members(buckets: DataFrame) -> DataFrame:
     """Rows of buckets with two members or more, each with its bucket's centre, itself left out."""
     centres = (buckets.groupBy("key")
@@ -175,7 +187,8 @@ def find_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) that connect what is linked among ``nodes`` (node, halves)."""
     spark = docs.sparkSession
     met = stage_via_parquet(table_keys(nodes))
-    members = stage_via_parquet(_members(_buckets(met)))
+    members = stage_via_parquet(_members(_different(_buckets(met))))
+    linear = members.count()
     wanted = stage_via_parquet(members.select("node").union(members.select("centre")).distinct())
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("node").alias("doc_id"))
@@ -185,39 +198,57 @@ def find_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     links = spark.createDataFrame([], "u long, v long")
     while True:
         checked = stage_via_parquet(_verify(members.select("node", "centre").distinct(), sets))
-        links = links.unionByName(checked.where(_linked()).select(
-            F.col("node").alias("u"), F.col("centre").alias("v")))
-        rated = (members.join(checked, ["node", "centre"])
-                 .withColumn("distance", 1 - F.col("shared") / F.col("total"))
-                 .withColumn("linked", _linked()))
-        outer = stage_via_parquet(rated.where(~F.col("linked"))
-                                  .select("key", "node", "centrality", "distance"))
+        links = links.unionByName(_as_links(checked))
+        rated = stage_via_parquet(
+            members.join(checked, ["node", "centre"])
+            .select("key", "node", "centrality", _linked().alias("linked"),
+                    (1 - F.col("shared") / F.col("total")).alias("distance")))
+        outer = rated.where(~F.col("linked"))
         if outer.isEmpty():
             return links
-        # Components so far: a pair within one of them needs no comparison.
-        joined = stage_via_parquet(connected_components(links))
-        near = _across(rated, outer, joined)
-        crossed = _verify(near, sets).where(_linked())
-        links = stage_via_parquet(links.unionByName(crossed.select(
-            F.col("node").alias("u"), F.col("centre").alias("v"))))
-        members = stage_via_parquet(_members(outer.select("key", "node", "centrality")))
-        if members.isEmpty():
-            return links
+        # A pair within one of the components so far needs no comparison.
+        parts = stage_via_parquet(connected_components(links))
+        labelled = rated.join(parts, "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        pairs = _across(labelled)
+        left = outer.groupBy("key").count().agg(
+            F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+        # Both ways compare the same pairs; the rest is done at once when that is linear work.
+        if left <= linear:
+            pairs = pairs.unionByName(_among(labelled.where(~F.col("linked"))))
+            return links.unionByName(_as_links(_verify(pairs.distinct(), sets)))
+        links = stage_via_parquet(links.unionByName(_as_links(_verify(pairs.distinct(), sets))))
+        members = stage_via_parquet(_members(_different(outer.select("key", "node", "centrality"))))
 
 
-def _across(rated: DataFrame, outer: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of one bucket, one linked to the centre and one not, that may still be linked."""
+def _as_links(checked: DataFrame) -> DataFrame:
+    return checked.where(_linked()).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+
+
+def _side(rows: DataFrame, suffix: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(c + suffix) for c in
+                                ("node", "distance", "component")])
+
+
+def _within_reach(pairs: DataFrame) -> DataFrame:
+    """Pairs of different components whose distances to the centre allow a link."""
     reach = 1 - LINK_PERCENT / 100 + 1e-9
-    label = joined.select("node", "component")
-    ring = (outer.where(F.col("distance") <= 2 * reach).join(label, "node", "left")
-            .select("key", F.col("node").alias("y"), F.col("distance").alias("dy"),
-                    F.coalesce("component", "node").alias("cy")))
-    inner = (rated.where("linked").join(label, "node", "left")
-             .select("key", F.col("node").alias("x"), F.col("distance").alias("dx"),
-                     F.coalesce("component", "node").alias("cx")))
-    return (ring.join(inner, "key")
-            .where((F.col("dy") - F.col("dx") <= reach) & (F.col("cx") != F.col("cy")))
-            .select(F.col("y").alias("node"), F.col("x").alias("centre")).distinct())
+    return (pairs.where(F.abs(F.col("distance_y") - F.col("distance_x")) <= reach)
+            .where("component_x <> component_y")
+            .select(F.col("node_y").alias("node"), F.col("node_x").alias("centre")))
+
+
+def _across(labelled: DataFrame) -> DataFrame:
+    """Pairs of one bucket, one linked to the centre and one not, that may still be linked."""
+    ring = labelled.where(~F.col("linked")
+                          & (F.col("distance") <= 2 * (1 - LINK_PERCENT / 100) + 1e-9))
+    return _within_reach(_side(ring, "_y").join(_side(labelled.where("linked"), "_x"), "key"))
+
+
+def _among(outer: DataFrame) -> DataFrame:
+    """Pairs of one bucket, neither linked to the centre, that may be linked."""
+    pairs = _side(outer, "_y").join(_side(outer, "_x"), "key").where("node_x < node_y")
+    return _within_reach(pairs)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
