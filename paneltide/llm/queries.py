@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import (decontaminate, minhash_dedup, packing, quality, sharding, toxicity,
+from paneltide.llm import (decontaminate, minhash_dedup, packing, pii, quality, sharding, toxicity,
                            url_filter)
 from paneltide.llm.oracle import OP4_DECONTAMINATE
 from paneltide.llm.tables import table
@@ -51,6 +51,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op10_pii": op10_pii,
 }
 
 # SQL counterparts; none where DuckDB lacks a function (CRC-32, tokens) or SQL a model.
