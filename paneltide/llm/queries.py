@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paneltide.llm import (decontaminate, minhash_dedup, packing, pii, quality, sharding, toxicity,
-                           url_filter)
+from paneltide.llm import (decontaminate, minhash_dedup, neighbours, packing, pii, quality, sharding,
+                           toxicity, url_filter)
 from paneltide.llm.oracle import OP4_DECONTAMINATE
 from paneltide.llm.tables import table
 
@@ -18,6 +19,11 @@ SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]),
+                              F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages", ["page_id", "url"]),
                                  URL_BLOCK, URL_ALLOW)
@@ -56,6 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
