@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import (decontaminate, minhash_dedup, neighbours, packing, pii, quality, sharding,
+from paneltide.llm import (decontaminate, html_text, minhash_dedup, neighbours, packing, pii, quality, sharding,
                            toxicity, url_filter)
 from paneltide.llm.oracle import OP4_DECONTAMINATE
 from paneltide.llm.tables import table
@@ -57,6 +57,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
 }
 
