@@ -4,13 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from paneltide.llm.decontaminate import decontaminate
+from paneltide.llm.minhash_dedup import near_duplicates
+from paneltide.llm.packing import pack_documents
+from paneltide.llm.pii import redact
+from paneltide.llm.tables import by_row, table
+from paneltide.llm.toxicity import score_toxicity
 from paneltide.sources.io import stage_via_parquet
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+_KEY = ["doc_id", "text_key"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    toxic = stage_via_parquet(scored.where("predicted = 1").select(*_KEY).distinct())
+    return by_row(docs, toxic, "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays, once.
+
+    Documents without a doc_id are in no group and stay.
+    """
+    found = stage_via_parquet(near_duplicates(docs.select("doc_id", "text")))
+    gone = stage_via_parquet(found.where(~F.col("kept")).select(*_KEY).distinct())
+    left = by_row(docs, gone, "left_anti")
+    # A kept id on several rows: one row of it stays. Texts of other rows aren't shuffled.
+    again = stage_via_parquet(found.where("kept and doc_id is not null").groupBy("doc_id").count()
+                              .where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return (left.join(again, "doc_id", "left_anti").select(*docs.columns)
+            .unionByName(repeated.select(*docs.columns)))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate(docs.select("doc_id", "text"),
+                          table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    gone = stage_via_parquet(found.where("contaminated").select(*_KEY).distinct())
+    return by_row(docs, gone, "left_anti").select(*docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the sequences."""
+    return pack_documents(docs.select("doc_id", "text"), TOKENIZER)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_pii),
+    ("packing", pack),
+]
 
 # The scores, tokens and links of the stages have no SQL form.
 ORACLE_SQL = None

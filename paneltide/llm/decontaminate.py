@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.tables import lower_ascii
+from paneltide.llm.tables import lower_ascii, text_key
 from paneltide.sources.io import stage_via_parquet
 
 GRAM = 5
@@ -112,14 +112,14 @@ def _passes(h: Column, table: Column) -> Column:
 
 
 def _candidates(docs: DataFrame, table: Column, short: list[int]) -> DataFrame:
-    """Staged (row, doc_id, n_words, first, n, fingerprint, at, around): candidate k-grams.
+    """Staged (row, doc_id, text_key, n_words, first, n, fingerprint, at, around): candidates.
 
     Every document has at least one row (``first`` is true on one of them); documents without
     candidates have null in the other columns. ``at`` is the k-gram's place from 0 and
     ``around`` the words from ``reach`` before it to where its last window ends.
     """
     reach = GRAMS_IN_WINDOW - 1
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(),
                        words_of(F.col("text")).alias("words"))
     rows = with_grams(rows, [GRAM, *short])
 
@@ -139,7 +139,7 @@ def _candidates(docs: DataFrame, table: Column, short: list[int]) -> DataFrame:
     kept_here = F.exists(F.sequence(begin, F.greatest(last, begin)), lambda i: F.array_min(
         F.slice(f"h{GRAM}", i + 1, GRAMS_IN_WINDOW)) >= F.get(f"h{GRAM}", at))
     winnowed = (F.col("hit.n") < WINDOW) | ((last >= begin) & kept_here)
-    out = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"),
+    out = rows.select("row", "doc_id", "text_key", F.size("words").cast("long").alias("n_words"),
                       (F.coalesce("nth", F.lit(0)) == 0).alias("first"),
                       F.when(winnowed, F.col("hit.n")).alias("n"), hashes.alias("fingerprint"),
                       at.alias("at"), begin.alias("begin"),
@@ -160,7 +160,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Hits of the benchmark windows in every document.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Per row of ``docs``: doc_id,
-    n_words, n_hit (words inside any occurrence), n_items, items_sha256 and contaminated. Null
+    n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated, text_key. Null
     and empty texts have no words; an empty benchmark hits nothing; items without words and
     null item_ids count for nothing; repeated rows get one answer each.
     """
@@ -190,8 +190,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
                  .groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items")))
     answer = covered.join(items_hit, "row")
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
-    return (found.where("first").select("row", "doc_id", "n_words").join(answer, "row", "left")
+    return (found.where("first").select("row", "doc_id", "n_words", "text_key").join(answer, "row", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.sha2(listed, 256).alias("items_sha256"),
-                    F.col("n_hit").isNotNull().alias("contaminated")))
+                    F.col("n_hit").isNotNull().alias("contaminated"), "text_key"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.llm.components import connected_components
+from paneltide.llm.tables import text_key
 from paneltide.sources.io import stage_via_parquet
 
 SHINGLE = 3
@@ -97,6 +98,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             halves = iter(half_signatures(some).view(np.int64) if some else ())
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(),
+                "text_key": part["text_key"].to_numpy(),
                 "n_shingles": [len(s) for s in sets],
                 "key_a": np.array([_mixed(s).sum(dtype=np.uint64) for s in sets],
                                   dtype=np.uint64).view(np.int64),
@@ -114,11 +116,10 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and the short signatures."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, text_key, n_shingles, a 128-bit key of the set, and the short signatures."""
     # Ids cross as text, so that a null among them doesn't turn the others into floats.
-    return (rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-            .mapInPandas(_signatures, "doc_id string, n_shingles long, key_a long, key_b long, "
+    return (docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key())
+            .mapInPandas(_signatures, "doc_id string, text_key long, n_shingles long, key_a long, key_b long, "
                                       "halves array<long>")
             .withColumn("doc_id", F.col("doc_id").cast("long")))
 
@@ -252,7 +253,7 @@ def _among(outer: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row (columns doc_id and text).
+    """doc_id, n_shingles, component_id, text_key, kept of every row (columns doc_id and text).
 
     Equal sets are one node, its smallest doc_id; copies are never compared. Documents without
     words are linked with nothing, and neither are rows whose doc_id is null (component null).
@@ -273,6 +274,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spread = named.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (salted.join(spread, [*same, "_salt"], "left")
-            .select("doc_id", "n_shingles", component.alias("component_id"))
+            .select("doc_id", "n_shingles", component.alias("component_id"), "text_key")
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -15,6 +15,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paneltide.llm.tables import BROADCAST_KEYS
 from paneltide.sources.io import stage_via_parquet
 
 # The kinds in the order they are listed in, and their patterns. Repetitions are
@@ -155,16 +156,12 @@ def learn_patterns(instances: DataFrame) -> DataFrame:
     return patterns.where(F.col("confidence") >= MIN_CONFIDENCE)
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """Personal data of every row (columns doc_id and text; null text counts as empty).
+def _find(rows: DataFrame) -> DataFrame:
+    """Base spans per kind and ``more``, the spans of learned patterns, for every row.
 
-    doc_id, the number of base spans per kind, base_sha256 and spans. The base spans are those
-    of the fixed patterns; ``spans`` also holds what the learned patterns found, under the kind
-    of the pattern's seeds and never overlapping a base span. Repeated rows get one answer each.
-    Texts without any digit and ``@`` have no spans and take part in nothing.
+    ``rows`` has row, text (not null) and any columns to carry along; text is kept where there
+    are spans, else null.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                       F.coalesce("text", F.lit("")).alias("text"))
     found = base_spans(rows).withColumn(
         "candidates", spans_of(F.col("text"), CANDIDATE, "[0-9]"))
     base = F.concat(*[F.col(k) for k in KINDS])
@@ -176,18 +173,69 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = stage_via_parquet(found.withColumn("text", F.when(any_span, F.col("text"))))
     instances = stage_via_parquet(_instances(found.where("text is not null")))
     patterns = learn_patterns(instances)
-    more = (instances.where("kind is null and context is not null").drop("kind")
-            .join(patterns, "context").groupBy("row")
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("more")))
-    full = found.drop("text", "candidates").join(more, "row", "left")
-
-    def merged(kind: str) -> Column:
-        extra = F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:string>>")),
-                         lambda s: s["kind"] == kind)
-        place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        return F.array_sort(F.concat(F.transform(kind, place), F.transform(extra, place)))
-
-    return full.select(
+    more = stage_via_parquet(
+        instances.where("kind is null and context is not null").drop("kind")
+        .join(patterns, "context").groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("more")))
+    few = more.count() <= BROADCAST_KEYS
+    return (found.drop("candidates").join(F.broadcast(more) if few else more, "row", "left")
+            .withColumn("more", F.coalesce("more", F.array().cast(
+                "array<struct<start:int,end:int,kind:string>>"))))
+
+
+def _places(kind: str) -> Column:
+    """Start and end of all spans of a kind, in order."""
+    learned = F.filter("more", lambda s: s["kind"] == kind)
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    return F.array_sort(F.concat(F.transform(kind, place), F.transform(learned, place)))
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
+    """Personal data of every row (columns doc_id and text; null text counts as empty).
+
+    doc_id, the number of base spans per kind, base_sha256 and spans. The base spans are those
+    of the fixed patterns; ``spans`` also holds what the learned patterns found, under the kind
+    of the pattern's seeds and never overlapping a base span. Repeated rows get one answer each.
+    Texts without any digit and ``@`` have no spans and take part in nothing.
+    """
+    found = _find(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+                              F.coalesce("text", F.lit("")).alias("text")))
+    return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(listed({k: F.col(k) for k in KINDS}), 256).alias("base_sha256"),
-        listed({k: merged(k) for k in KINDS}).alias("spans"))
+        listed({k: _places(k) for k in KINDS}).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, with every span of ``text`` replaced by its kind.
+
+    ``n_chars``, where there is one, follows the text. Spans that overlap are replaced once,
+    under the kind of the first. Null texts stay null.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _find(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("doc"),
+                              F.coalesce("text", F.lit("")).alias("text")))
+
+    def marked(kind: str) -> Column:
+        return F.transform(_places(kind), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    spans = F.array_sort(F.concat(*[marked(k) for k in KINDS]))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]),
+                         F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["start"] >= state["at"], F.struct(
+            s["end"].alias("at"), F.concat(state["parts"], F.array(piece)).alias("parts"))).otherwise(
+            F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts")))
+
+    joined = F.aggregate(spans, begin, step, lambda s: F.concat(
+        F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    new = F.when(F.size(spans) > 0, joined).otherwise(F.col("doc.text"))
+    found = found.withColumn("new", new)
+    replaced = {"text": F.col("new"), "n_chars": F.when(
+        F.size(spans) > 0, F.length("new").cast("long")).otherwise(F.col("doc.n_chars"))
+        if "n_chars" in docs.columns else None}
+    return found.select(*[(replaced[c] if c in replaced else F.col(f"doc.`{c}`")).alias(c)
+                          for c in docs.columns])

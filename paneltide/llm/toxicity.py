@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.llm.labelled import MAX_LABELLED, fold_of, labelled_sample
+from paneltide.llm.tables import text_key
 from paneltide.sources.io import stage_via_parquet
 
 FOLDS = 4
@@ -113,22 +114,22 @@ def learned_words(texts: DataFrame) -> list[str]:
 
 
 def with_features(docs: DataFrame, learned: list[str]) -> DataFrame:
-    """(doc_id, features): one row per row of ``docs``; null text counts as empty."""
+    """(doc_id, text_key, features): one row per row of ``docs``; null text counts as empty."""
     known = frozenset(learned)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [text_features(t, known) for t in batch["text"].fillna("")]
-            yield batch[["doc_id"]].assign(features=values)
+            yield batch[["doc_id", "text_key"]].assign(features=values)
 
     # Ids cross as text, so that a null among them doesn't turn the others into floats.
-    return (docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-            .mapInPandas(measure, "doc_id string, features array<double>")
+    return (docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key())
+            .mapInPandas(measure, "doc_id string, text_key long, features array<double>")
             .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row (columns doc_id and text).
+    """doc_id, held_out, score, predicted, text_key of every row (columns doc_id and text).
 
     Fitted on at most ``bound`` labelled documents (labels: doc_id, toxic) outside the held-out
     fold. Without examples of both labels among them every score is the share of label 1 there,
@@ -151,19 +152,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED
     total = sum(counts.values())
     if any(not counts.get((False, y)) for y in (0.0, 1.0)):
         share = sum(n for (_, y), n in counts.items() if y) / total if total else 0.0
-        return _answer(rows.select("doc_id", held_out, F.lit(float(share)).alias("score")))
+        return _answer(rows.select("doc_id", held_out, F.lit(float(share)).alias("score"), "text_key"))
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
                           seed=7, maxMemoryInMB=64).fit(sample.where(~calibrates))
     raw = vector_to_array("probability")[1].alias("raw")
     fitted = model.transform(sample.where(calibrates)).select(raw, "label")
     scored = model.transform(rows.withColumn("vector", array_to_vector("features")))
-    scored = scored.select("doc_id", held_out, raw)
+    scored = scored.select("doc_id", held_out, raw, "text_key")
     calibrated = F.col("raw")
     if all(counts.get((True, y)) for y in (0.0, 1.0)):
         steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="iso")
         scored = steps.fit(fitted).transform(scored)
         calibrated = (1 - TIE_BREAK) * F.col("iso") + TIE_BREAK * F.col("raw")
-    return _answer(scored.select("doc_id", "held_out", calibrated.alias("score")))
+    return _answer(scored.select("doc_id", "held_out", calibrated.alias("score"), "text_key"))
 
 
 def _answer(scored: DataFrame) -> DataFrame:
