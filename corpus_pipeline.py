@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +11,13 @@ from paneltide.llm.decontaminate import decontaminate
 from paneltide.llm.minhash_dedup import near_duplicates
 from paneltide.llm.packing import pack_documents
 from paneltide.llm.pii import redact
+from paneltide.llm.queries import TOKENIZER
 from paneltide.llm.tables import by_row, table
 from paneltide.llm.toxicity import score_toxicity
 from paneltide.sources.io import stage_via_parquet
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 _KEY = ["doc_id", "text_key"]
 
 

@@ -9,8 +9,11 @@ bit f is set while one with f free places is open.
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,9 +25,9 @@ from paneltide.sources.io import stage_via_parquet
 LENGTH = 2048
 END_ID = 0
 OPEN_SEQUENCES = 512
+LONG_RUN = 20_000
 #: Tokens of a stream: it bounds what one task packs, and costs at most the sequences left open.
 STREAM_TOKENS = 16_000_000
-TEXTS_AT_ONCE = 32
 
 _PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -36,28 +39,50 @@ def _cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(max(0, end - length) if end > first else 0, end) for end in ends]
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH,
-                    end_id: int = END_ID) -> DataFrame:
-    """One row per piece of every document: doc_id, piece, start, length, ids_crc32."""
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+class Vocabulary(NamedTuple):
+    """A byte-level vocabulary: its tokenizer file, and the same ids as ranks.
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
+    The ranks are merged several times as fast. Their pattern, which cuts a text into what is
+    merged on its own, fails on runs of white space of hundreds of thousands of characters, so
+    texts with runs of ``LONG_RUN`` go through the tokenizer file.
+    """
+
+    tokenizer: str
+    ranks: str
+    pattern: str
+
+    def encoder(self) -> Callable[[str], list[int]]:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(tokenizer)
-        coder.encode_special_tokens = True  # their names in a text are ordinary text
+        with open(self.ranks, "rb") as file:
+            ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, file)}
+        fast = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks,
+                                 special_tokens={})
+        whole = Tokenizer.from_file(self.tokenizer)
+        whole.encode_special_tokens = True  # their names in a text are ordinary text
+        long_run = re.compile(r"\s{%d}" % LONG_RUN)
+
+        def encode(text: str) -> list[int]:
+            if len(text) >= LONG_RUN and long_run.search(text):
+                return whole.encode(text, add_special_tokens=False).ids
+            return fast.encode_ordinary(text)
+
+        return encode
+
+
+def tokenize_pieces(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH,
+                    end_id: int = END_ID) -> DataFrame:
+    """One row per piece of every document: doc_id, piece, start, length, ids_crc32."""
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = vocabulary.encoder()
         for batch in batches:
-            for at in range(0, len(batch), TEXTS_AT_ONCE):
-                part = batch.iloc[at:at + TEXTS_AT_ONCE]
-                coded = coder.encode_batch_fast(part["text"].fillna("").tolist(),
-                                                add_special_tokens=False)
-                rows = []
-                for doc_id, code in zip(part["doc_id"], coded, strict=True):
-                    ids = np.array([*code.ids, end_id], dtype="<u4")
-                    for i, (a, b) in enumerate(_cut(len(ids), length)):
-                        rows.append((doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"].fillna(""), strict=True):
+                ids = np.array([*encode(text), end_id], dtype="<u4")
+                for i, (a, b) in enumerate(_cut(len(ids), length)):
+                    rows.append((doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     # Ids cross as text, so that a null among them doesn't turn the others into floats.
     return (docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -119,10 +144,10 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH) -> DataFrame:
     """Pack every document (columns doc_id and text) into sequences of ``length`` tokens.
 
     Null text counts as empty: a document of its end id alone. Repeated rows are packed each.
     An empty table gives no rows.
     """
-    return pack(stage_via_parquet(tokenize_pieces(docs, tokenizer, length)), length)
+    return pack(stage_via_parquet(tokenize_pieces(docs, vocabulary, length)), length)

@@ -16,7 +16,9 @@ from paneltide.llm.tables import table
 URL_BLOCK = ("net/", "example.com/de/")
 URL_ALLOW = ("example.net/en/", "org/fr/")
 SHARDS = 40
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN)
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
