@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
                                                            F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (both.where("v > u").join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -5,11 +5,16 @@ Every pair of a signature of the first and one of the second is the key of one t
 ``HALVES ** 2`` tables cost ``2 * HALVES * HALF_ROWS`` minhashes. With 8 and 3, two documents
 of similarity 0.85 share a table with a chance of 99.9 %, of 0.9 with 99.99 %.
 
-Within a bucket nothing is compared all against all. The bucket's most central document is
-compared with the others; what it isn't linked to goes on as a smaller bucket. A document that
-the centre is not linked to can be linked to one that it is linked to only if their Jaccard
-distances to the centre differ by no more than the link distance: these pairs, and no others,
-are compared as well. So no link among the documents of a bucket is lost.
+Within a bucket nothing is compared all against all. A first pass compares the members of each
+bucket of some tables with its most central document; that joins most groups of copies. Buckets
+of all tables that still hold documents of several components then go through a second pass. Its
+centre is compared with all others; what it isn't linked to goes on as a smaller bucket. A document
+that the centre is not linked to can be linked to one that it is linked to only if their Jaccard
+distances to the centre differ by no more than the link distance: these pairs, and no others, are
+compared as well. So no link between components is lost among the documents of a bucket.
+
+Before whole sets are compared, a pair must have sizes that allow a link and agree in
+``MIN_EQUAL`` of its short signatures, which a pair of similarity 0.85 misses once in 15,000.
 """
 
 from __future__ import annotations
@@ -31,9 +36,17 @@ HALVES = 8
 HALF_ROWS = 3
 SEED = 20_240_229
 TEXTS_AT_ONCE = 64
+#: Below this similarity to a centre nothing is linked to what the centre is linked to.
+RING_PERCENT = 2 * LINK_PERCENT - 100
+MIN_EQUAL = 3
+#: Of the tables, one in so many is in the first pass.
+FIRST_PASS = 4
 #: A list of this many ids is some 10 MB as a broadcast table; longer ones are shuffled.
 BROADCAST_IDS = 500_000
 
+#: The rest of all buckets is compared at once when that is so many times the first comparisons.
+REST_FACTOR = 1
+
 _N_HASHES = 2 * HALVES * HALF_ROWS
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -124,60 +137,95 @@ def signatures(docs: DataFrame) -> DataFrame:
             .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
-def table_keys(nodes: DataFrame) -> DataFrame:
-    """(node, centrality, keys): the tables in which a node may meet another one.
+def _shared_halves(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(node, component, centrality, a, b): the short signatures that a node shares.
 
-    A table key can only be shared if both of its halves are, so halves that occur once are
-    dropped before any pair is formed. ``centrality`` counts the documents met in all halves.
+    A table key can only be shared if both of its halves are, so halves that occur once, or in
+    one component only, are dropped before any pair of them is formed. ``centrality`` counts the
+    documents met in all halves.
     """
     halves = nodes.select("node", F.posexplode("halves").alias("half", "value"))
-    shared = (halves.groupBy("half", "value").agg(F.count("*").alias("n")).where("n > 1"))
-    side = lambda first: F.array_compact(F.collect_list(F.when(first, F.col("value"))))
-    met = (halves.join(shared, ["half", "value"]).groupBy("node")
-           .agg(side(F.col("half") < HALVES).alias("a"), side(F.col("half") >= HALVES).alias("b"),
-                F.sum("n").alias("centrality"))
-           .where((F.size("a") > 0) & (F.size("b") > 0)))
-    return met
-
-
-def _buckets(met: DataFrame) -> DataFrame:
-    """(key, node, centrality), one row per table of a node."""
-    return (met.withColumn("x", F.explode("a")).withColumn("y", F.explode("b"))
-            .select(F.xxhash64("x", "y").alias("key"), "node", "centrality"))
-
-
-def _different(buckets: DataFrame) -> DataFrame:
-    """One of each buckets with the same nodes: close documents share most of their tables.
-
-    Contents are told apart by counts and sums of hashes, which are combined before the shuffle.
+    own = F.col("node").alias("component")
+    halves = (halves.select("*", own) if parts is None else
+              halves.join(parts, "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
+    shared = (halves.groupBy("half", "value")
+              .agg(F.count("*").alias("n"), F.min("component").alias("least"),
+                   F.max("component").alias("most")).where("least < most")
+              .select("half", "value", "n"))
+    side = lambda first: F.array_compact(F.collect_list(F.when(
+        first, F.struct("half", "value"))))
+    return (halves.join(shared, ["half", "value"]).groupBy("node")
+            .agg(F.min("component").alias("component"), F.sum("n").alias("centrality"),
+                 side(F.col("half") < HALVES).alias("a"), side(F.col("half") >= HALVES).alias("b"))
+            .where((F.size("a") > 0) & (F.size("b") > 0)))
+
+
+def _buckets(met: DataFrame, first_pass: bool) -> DataFrame:
+    """(key, node, component, centrality), one row per table of a node.
+
+    Buckets that lie in one component are dropped, and of buckets with the same nodes one is
+    kept: close documents share most of their tables. Contents are told apart by counts and sums
+    of hashes, which are combined before the shuffle.
     """
-    content = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
-               F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("s")]
-    kept = (buckets.groupBy("key").agg(*content).where("n > 1")
-            .groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"))
-    return buckets.join(kept, "key")
-
-
-def _members(buckets: DataFrame) -> DataFrame:
-    """Rows of buckets with two members or more, each with its bucket's centre, itself left out."""
+    rows = met.withColumn("x", F.explode("a")).withColumn("y", F.explode("b"))
+    if first_pass:
+        rows = rows.where((F.col("x.half") + F.col("y.half")) % FIRST_PASS == 0)
+    rows = rows.select(F.xxhash64("x", "y").alias("key"), "node", "component", "centrality")
+    kept = (rows.groupBy("key")
+            .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                 F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("s"),
+                 F.min("component").alias("least"), F.max("component").alias("most"),
+                 F.max(F.struct("centrality", (-F.col("node")).alias("minus"))).alias("top"))
+            .where("least < most").groupBy("n", "x", "s")
+            .agg(F.min(F.struct("key", (-F.col("top.minus")).alias("centre"))).alias("k"))
+            .select("k.key", "k.centre"))
+    return rows.join(kept, "key")
+
+
+def _centred(buckets: DataFrame) -> DataFrame:
+    """Buckets with two members or more, each row with its bucket's centre."""
     centres = (buckets.groupBy("key")
                .agg(F.count("*").alias("n"),
                     F.max(F.struct("centrality", (-F.col("node")).alias("minus"))).alias("top"))
                .where("n > 1").select("key", (-F.col("top.minus")).alias("centre")))
-    return buckets.join(centres, "key").where("node <> centre")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add ``shared`` and ``total``, the sizes of intersection and union, to (node, centre)."""
-    one = sets.select("node", F.col("shingles").alias("s"))
-    other = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("t"))
-    sized = (pairs.join(one, "node").join(other, "centre")
-             .select("node", "centre", F.size(F.array_intersect("s", "t")).alias("shared"),
-                     F.size("s").alias("n"), F.size("t").alias("m"))
-             .withColumn("total", F.col("n") + F.col("m") - F.col("shared")))
-    best = F.max(F.struct((F.col("shared") / F.col("total")).alias("ratio"), "shared", "total"))
-    return (sized.groupBy("node", "centre").agg(best.alias("best"))
-            .select("node", "centre", "best.shared", "best.total"))
+    return buckets.join(centres, "key")
+
+
+class _Verifier:
+    """Compares pairs on their whole sets, made anew from the texts that occur in pairs."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame) -> None:
+        self.docs = docs.select("doc_id", "text")
+        self.nodes = nodes
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """(node, centre, shared, total) of the pairs that may be linked, sizes of intersection
+        and union; pairs whose sizes or signatures rule a link out are left out."""
+        n = lambda side: self.nodes.select(
+            F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"),
+            F.col("halves").alias(f"halves_{side}"))
+        small, large = F.least("n_node", "n_centre"), F.greatest("n_node", "n_centre")
+        hopeful = stage_via_parquet(
+            pairs.distinct().join(n("node"), "node").join(n("centre"), "centre")
+            .where(small * 100 >= large * RING_PERCENT)
+            .where(F.size(F.array_intersect("halves_node", "halves_centre")) >= MIN_EQUAL)
+            .select("node", "centre").distinct())
+        wanted = stage_via_parquet(hopeful.select(F.col("node").alias("doc_id")).union(
+            hopeful.select("centre")).distinct())
+        few = wanted.count() <= BROADCAST_IDS
+        texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+        sets = stage_via_parquet(texts.mapInPandas(_sets, "node long, shingles array<long>"))
+        one = sets.select("node", F.col("shingles").alias("s"))
+        other = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("t"))
+        sized = (hopeful.join(one, "node").join(other, "centre")
+                 .select("node", "centre", F.size(F.array_intersect("s", "t")).alias("shared"),
+                         F.size("s").alias("n"), F.size("t").alias("m"))
+                 .withColumn("total", F.col("n") + F.col("m") - F.col("shared")))
+        # Rows that share an id may have several texts: their closest pair counts.
+        best = F.max(F.struct((F.col("shared") / F.col("total")).alias("ratio"), "shared", "total"))
+        return (sized.groupBy("node", "centre").agg(best.alias("best"))
+                .select("node", "centre", "best.shared", "best.total"))
 
 
 def _linked() -> Column:
@@ -185,41 +233,35 @@ def _linked() -> Column:
 
 
 def find_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect what is linked among ``nodes`` (node, halves)."""
-    spark = docs.sparkSession
-    met = stage_via_parquet(table_keys(nodes))
-    members = stage_via_parquet(_members(_different(_buckets(met))))
-    linear = members.count()
-    wanted = stage_via_parquet(members.select("node").union(members.select("centre")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("node").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id",
-                                               "left_semi")
-    sets = stage_via_parquet(texts.mapInPandas(_sets, "node long, shingles array<long>"))
-    links = spark.createDataFrame([], "u long, v long")
+    """Links (u, v) that connect what is linked among ``nodes`` (node, n_shingles, halves)."""
+    verify = _Verifier(docs, nodes)
+    met = stage_via_parquet(_shared_halves(nodes, None))
+    pairs = _buckets(met, True).where("node <> centre").select("node", "centre")
+    links = stage_via_parquet(_as_links(verify(pairs)))
+    parts = stage_via_parquet(connected_components(links))
+    met = stage_via_parquet(_shared_halves(nodes, parts))
+    buckets = stage_via_parquet(_buckets(met, False))
+    linear = buckets.count()
     while True:
-        checked = stage_via_parquet(_verify(members.select("node", "centre").distinct(), sets))
-        links = links.unionByName(_as_links(checked))
+        members = buckets.where("node <> centre")
+        checked = stage_via_parquet(verify(members.select("node", "centre")))
         rated = stage_via_parquet(
-            members.join(checked, ["node", "centre"])
-            .select("key", "node", "centrality", _linked().alias("linked"),
-                    (1 - F.col("shared") / F.col("total")).alias("distance")))
+            members.join(checked, ["node", "centre"], "left")
+            .select("key", "node", "component", "centrality",
+                    F.coalesce(_linked(), F.lit(False)).alias("linked"),
+                    F.coalesce(1 - F.col("shared") / F.col("total"), F.lit(1.0)).alias("distance")))
+        links = links.unionByName(_as_links(checked))
         outer = rated.where(~F.col("linked"))
-        if outer.isEmpty():
-            return links
-        # A pair within one of the components so far needs no comparison.
-        parts = stage_via_parquet(connected_components(links))
-        labelled = rated.join(parts, "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
-        pairs = _across(labelled)
         left = outer.groupBy("key").count().agg(
             F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+        if left is None:
+            return links
+        pairs = _across(rated)
         # Both ways compare the same pairs; the rest is done at once when that is linear work.
-        if left <= linear:
-            pairs = pairs.unionByName(_among(labelled.where(~F.col("linked"))))
-            return links.unionByName(_as_links(_verify(pairs.distinct(), sets)))
-        links = stage_via_parquet(links.unionByName(_as_links(_verify(pairs.distinct(), sets))))
-        members = stage_via_parquet(_members(_different(outer.select("key", "node", "centrality"))))
+        if left <= REST_FACTOR * linear:
+            return links.unionByName(_as_links(verify(pairs.unionByName(_among(outer)))))
+        links = stage_via_parquet(links.unionByName(_as_links(verify(pairs))))
+        buckets = stage_via_parquet(_centred(outer.select("key", "node", "component", "centrality")))
 
 
 def _as_links(checked: DataFrame) -> DataFrame:
@@ -239,11 +281,10 @@ def _within_reach(pairs: DataFrame) -> DataFrame:
             .select(F.col("node_y").alias("node"), F.col("node_x").alias("centre")))
 
 
-def _across(labelled: DataFrame) -> DataFrame:
+def _across(rated: DataFrame) -> DataFrame:
     """Pairs of one bucket, one linked to the centre and one not, that may still be linked."""
-    ring = labelled.where(~F.col("linked")
-                          & (F.col("distance") <= 2 * (1 - LINK_PERCENT / 100) + 1e-9))
-    return _within_reach(_side(ring, "_y").join(_side(labelled.where("linked"), "_x"), "key"))
+    ring = rated.where(~F.col("linked") & (F.col("distance") <= 1 - RING_PERCENT / 100 + 1e-9))
+    return _within_reach(_side(ring, "_y").join(_side(rated.where("linked"), "_x"), "key"))
 
 
 def _among(outer: DataFrame) -> DataFrame:
@@ -263,8 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["key_a", "key_b", "n_shingles"]
     groups = stage_via_parquet(filled.groupBy(*same).agg(F.min("doc_id").alias("node")))
-    nodes = (filled.join(groups.withColumnRenamed("node", "doc_id"), [*same, "doc_id"])
-             .select(F.col("doc_id").alias("node"), "halves").dropDuplicates(["node"]))
+    nodes = stage_via_parquet(filled.join(groups.withColumnRenamed("node", "doc_id"), [*same, "doc_id"])
+             .select(F.col("doc_id").alias("node"), "n_shingles", "halves")
+             .dropDuplicates(["node"]))
     parts = connected_components(find_links(docs, nodes))
     named = (groups.join(parts, "node", "left")
              .select(*same, F.coalesce("component", "node").alias("component_id")))

@@ -243,9 +243,10 @@ def nearest(rows: DataFrame, is_query, k: int) -> DataFrame:
     met = ranked.groupBy("query_id").agg(F.count("*").alias("met"))
     short = (queries.join(met.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
              .where(F.coalesce("met", F.lit(0)) < min(k, n_vectors - 1)))
+    short = stage_via_parquet(short)
     n_short = short.count()
     if n_short:
-        data = vectors.select("*", F.lit(0).cast("long").alias("block"),
+        data = vectors.select("vec_id", F.col("vector").alias("vector"), F.lit(0).cast("long").alias("block"),
                               F.lit(0).cast("long").alias("bucket"))
         asked = short.select(F.col("vec_id").alias("query_id"), "vector",
                              F.lit(0).cast("long").alias("block"),
