@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.queries import (
-    CODES, EVENT_PERIOD, IND, LISTED, MISSING, ROUND_COLS, SEQ_COLS, TOP, TRAIN_END, VAL_END,
+    CODES, EVENT_PERIOD, IND, LISTED, MISSING, SEQ_COLS, TOP, TRAIN_END, VAL_END,
     VARIANCE_DECIMALS, bundle_names, decimals,
 )
 from paneltide.spec import ENTITY_ATTRS
@@ -216,7 +216,7 @@ SPLIT = (f"CASE WHEN date <= {day(TRAIN_END)} THEN 'train' WHEN date <= {day(VAL
          "ELSE 'test' END AS split")
 LISTED_ROWS = f"(SELECT unnest([{days(LISTED)}]) AS date)"
 ENTITIES = f"(SELECT DISTINCT {ATTRS} FROM panel)"
-FIRST_ROUND = ROUND_COLS + bundle_names(ROUND_COLS)
+FIRST_ROUND = bundle_names(IND)
 PARTIAL = PANEL + f", part AS (SELECT * FROM panel WHERE date NOT IN ({days(MISSING)}))"
 
 
@@ -344,9 +344,9 @@ ORACLE: dict[str, str] = {
     "densify_full": select(DENSE, f"{COLUMNS} FROM dense"),
     "feature_bundle": f"{PANEL}, b AS ({bundle(IND, 'panel', CELLS)}) SELECT {CELLS}, {rounded_names(bundle_names(IND))} FROM b",
     "feature_bundle_rounds": (
-        f"{PANEL}, b1 AS ({bundle(ROUND_COLS, 'panel', CELLS + ', district_code, ' + ', '.join(ROUND_COLS))}), "
-        f"b2 AS ({bundle(FIRST_ROUND, 'b1', CELLS + ', ' + ', '.join(bundle_names(ROUND_COLS)))}) "
-        f"SELECT {CELLS}, {rounded_names(bundle_names(ROUND_COLS) + bundle_names(FIRST_ROUND))} FROM b2"),
+        f"{PANEL}, b1 AS ({bundle(IND, 'panel', CELLS + ', district_code')}), "
+        f"b2 AS ({bundle(FIRST_ROUND, 'b1', CELLS + ', ' + ', '.join(FIRST_ROUND))}) "
+        f"SELECT {CELLS}, {rounded_names(FIRST_ROUND + bundle_names(FIRST_ROUND))} FROM b2"),
     "model_matrix": (
         f"{PANEL}, b AS ({bundle(IND, 'panel', f'{ATTRS}, sector, date, {INDS}')}) "
         f"SELECT {INDS}, {rounded_names(bundle_names(IND))}, date, {YEAR_MONTH}, subdistrict_name, "
@@ -383,9 +383,10 @@ ORACLE: dict[str, str] = {
                     f"SELECT *, 'y' AS side FROM ({windows(12, 1)})",
     "sequences_across_entities": (
         f"{PANEL}, numbered AS (SELECT {CELLS}, {SEQ}, row_number() OVER (ORDER BY subdistrict_code, date) - 1 AS i, "
-        f"count(*) OVER () AS n FROM panel) SELECT s.i AS window_id, CAST(position AS INTEGER) AS position, "
-        f"r.subdistrict_code, r.date, {', '.join('r.' + c for c in SEQ_COLS)} FROM numbered s, {STEPS} k "
-        "JOIN numbered r ON r.i = s.i + position WHERE s.i < s.n - 12"),
+        f"count(*) OVER () AS n FROM panel) SELECT side, s.i AS window_id, CAST(position AS INTEGER) AS position, "
+        f"r.subdistrict_code, r.date, {', '.join('r.' + c for c in SEQ_COLS)} FROM numbered s, {STEPS} k, "
+        "(VALUES ('x', 0), ('y', 1)) AS sides(side, ahead) "
+        "JOIN numbered r ON r.i = s.i + position + ahead WHERE s.i < s.n - 12"),
     "pseudo_label": select(PANEL, f"{CELLS}, net_revenue AS score, CAST(net_revenue < (SELECT quantile_cont(net_revenue, 0.2) "
                                   "FROM panel) AS INTEGER) AS pseudo_label FROM panel"),
     "select_top_features": select(PANEL, f"* FROM ({long_rows(IND, 'panel', 'value')}) WHERE feature IN "

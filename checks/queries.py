@@ -28,8 +28,7 @@ from paneltide.sources.supply_panel import INDICATORS, SPEC, TOTAL, raw_panel, t
 
 IND = list(INDICATORS)
 CELL = list(SPEC.cell)
-SEQ_COLS = ["qty", "revenue", "returned_qty"]
-ROUND_COLS = ["qty", "returned_qty", "n_lines"]
+SEQ_COLS = IND
 MISSING = [dt.date(1995, 4, 1), dt.date(1995, 5, 1)]
 LISTED = [dt.date(1995, 4, 1), dt.date(2001, 12, 1)]
 TRAIN_END, VAL_END = dt.date(1999, 12, 31), dt.date(2000, 12, 31)
@@ -466,10 +465,10 @@ def feature_bundle(spark, d):
 
 
 def feature_bundle_rounds(spark, d):
-    first = ROUND_COLS + bundle_names(ROUND_COLS)
-    names = bundle_names(ROUND_COLS) + bundle_names(first)
-    panel = staged_panel(spark, d).select(*CELL, "district_code", *ROUND_COLS)
-    df = X.feature_bundle(panel, SPEC, ROUND_COLS, rounds=2, stage=io.stage_via_parquet)
+    first = bundle_names(IND)
+    names = first + bundle_names(first)
+    panel = staged_panel(spark, d).select(*CELL, "district_code", *IND)
+    df = X.feature_bundle(panel, SPEC, IND, rounds=2, stage=io.stage_via_parquet)
     return rounded(cells(df, names), names)
 
 
@@ -582,8 +581,12 @@ def sequences_io(spark, d):
 
 def sequences_across_entities(spark, d):
     windows = S.sequences_across_entities(total_panel(spark, d), SPEC, SEQ_COLS)
-    return (S.explode_window(windows, "x", ["window_id"])
-             .select("window_id", "position", "subdistrict_code", "row.*"))
+
+    def side(name):
+        return (S.explode_window(windows, name, ["window_id"]).withColumn("side", F.lit(name))
+                 .select("side", "window_id", "position", "subdistrict_code", "row.*"))
+
+    return side("x").unionByName(side("y"))
 
 
 def staged_model_panel(spark, d):

@@ -104,8 +104,3 @@ def union_by_name_pad(a: DataFrame, b: DataFrame) -> DataFrame:
 def union_aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two tables with the same columns, then whole-row distinct."""
     return a.unionByName(b.select(*a.columns)).distinct()
-
-
-def to_rows(stats: DataFrame, structs: Iterable[Column]) -> DataFrame:
-    """Turn one wide row of statistics into one row per struct."""
-    return stats.select(F.inline(F.array(*structs)))

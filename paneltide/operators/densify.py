@@ -22,6 +22,22 @@ def distinct_entities(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.select(*spec.attrs).distinct()
 
 
+def _attributes(spec: PanelSpec) -> list[str]:
+    return list(dict.fromkeys([*spec.entity, *spec.attrs]))
+
+
+def latest_entities(df: DataFrame, spec: PanelSpec, *more: Column) -> DataFrame:
+    """One row per entity with its attributes at its last month, e.g. after a change of name.
+
+    Among rows of that month the largest values count, taken together.
+    """
+    rest = [c for c in _attributes(spec) if c not in spec.entity]
+    last = F.max(F.struct(spec.time, *rest)).alias("__last")
+    return df.groupBy(*spec.entity).agg(last, *more).select(
+        *spec.entity, *[F.col("__last")[c].alias(c) for c in rest],
+        *[c for c in ("__have",) if more])
+
+
 def distinct_dates(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.select(spec.time).distinct().orderBy(spec.time)
 
@@ -68,9 +84,9 @@ def _absent_cells(df: DataFrame, spec: PanelSpec, months: Column) -> DataFrame:
 
     The set per entity holds distinct months only, however many rows the entity has.
     """
-    present = df.groupBy(*spec.attrs).agg(F.collect_set(spec.time).alias("__have"))
+    present = latest_entities(df, spec, F.collect_set(spec.time).alias("__have"))
     return present.select(
-        *spec.attrs,
+        *_attributes(spec),
         F.explode(F.array_except(months, F.col("__have"))).alias(spec.time))
 
 
@@ -106,7 +122,7 @@ def densify_missing(df: DataFrame, spec: PanelSpec,
                     slice_value: str | None = None) -> DataFrame:
     """Add the months that the whole table lacks to every entity."""
     missing = missing_months_global(df, spec.time)
-    cells = cross_entities_dates(distinct_entities(df, spec), missing, spec.time)
+    cells = cross_entities_dates(latest_entities(df, spec), missing, spec.time)
     return _append(df, cells, spec, slice_value)
 
 

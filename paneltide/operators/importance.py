@@ -17,21 +17,23 @@ TOP_K = 20
 
 
 def forest_importance(df: DataFrame, cols: Sequence[str], label: str = "pseudo_label",
-                      trees: int = TREES, seed: int = SEED, max_depth: int = 10) -> DataFrame:
+                      trees: int = TREES, seed: int = SEED, max_depth: int = 10,
+                      partitions: int = 16, memory_mb: int = 1024) -> DataFrame:
     """Impurity importance of each feature in a random forest: (feature, importance).
 
-    Reads ``df`` several times, so pass a staged table. Training makes many passes over
-    the same rows; a table with fewer partitions than cores is spread out first.
+    Reads ``df`` several times, so pass a staged table. ``max_depth`` (30 at most) bounds the
+    trees. Rows are dealt by a hash of their values over ``partitions`` and sorted in each, so
+    the result depends on neither the input's partitions nor the number of cores. A level of
+    the trees takes one pass as long as its statistics fit in ``memory_mb``.
     """
     assembled = VectorAssembler(inputCols=list(cols), outputCol="features").transform(
         df.select(F.col(label).cast("double").alias("label"),
                   *[F.col(c).cast("double").alias(c) for c in cols]))
     forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth,
-                                    featureSubsetStrategy="sqrt")
-    rows_in = assembled.select("label", "features")
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows_in.rdd.getNumPartitions() < cores:
-        rows_in = rows_in.repartition(cores)
+                                    featureSubsetStrategy="sqrt", maxMemoryInMB=memory_mb)
+    row = F.xxhash64("label", *cols)
+    rows_in = (assembled.repartition(partitions, row).sortWithinPartitions("label", *cols)
+               .select("label", "features"))
     model = forest.fit(rows_in)
     rows = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from paneltide.operators.ordered import AFTER_ALL, BEFORE_ALL, carry_fill, entity_window, with_frames
+from paneltide.operators.ordered import (
+    AFTER_ALL, BEFORE_ALL, carry_fill, entity_window, full_order, with_frames,
+)
 from paneltide.operators.stats import column_means, column_median
+from paneltide.sources.io import stage_via_parquet
 from paneltide.spec import PanelSpec
 
 
@@ -40,19 +43,18 @@ def _entity_fill(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None,
                  forward: bool, backward: bool) -> DataFrame:
     cols = list(cols or spec.values(df))
     if spec.has_hot_entity(df):
-        order = [*spec.cell, *[c for c in df.columns if c not in spec.cell]]
-        return carry_fill(df, order, spec.entity, cols, forward, backward)
-    up = entity_window(spec).rowsBetween(BEFORE_ALL, 0)
+        return carry_fill(df, full_order(df, spec), spec.entity, cols, forward, backward)
+    up = entity_window(df, spec).rowsBetween(BEFORE_ALL, 0)
     if forward and backward:
         # What is still null after the forward fill lies before the first value.
-        whole = Window.partitionBy(*spec.entity).orderBy(spec.time).rowsBetween(BEFORE_ALL, AFTER_ALL)
+        whole = entity_window(df, spec).rowsBetween(BEFORE_ALL, AFTER_ALL)
         new = {c: F.coalesce(F.last(c, True).over(up), F.first(c, True).over(whole)) for c in cols}
     elif forward:
         new = {c: F.last(c, True).over(up) for c in cols}
     else:
         # Descending order with a growing frame: one pass, where a frame that shrinks
         # towards the end would be evaluated anew for every row.
-        down = Window.partitionBy(*spec.entity).orderBy(F.desc(spec.time)).rowsBetween(BEFORE_ALL, 0)
+        down = entity_window(df, spec, descending=True).rowsBetween(BEFORE_ALL, 0)
         new = {c: F.last(c, True).over(down) for c in cols}
     return df.withColumns(new)
 
@@ -96,12 +98,11 @@ def median_impute(df: DataFrame, cols: Sequence[str], exact: bool = True) -> Dat
 
 def impute_chain(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None,
                  across: bool = False, size: int = 3,
-                 stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 stage: Callable[[DataFrame], DataFrame] | None = stage_via_parquet) -> DataFrame:
     """Forward fill, backward fill, rolling mean, then the column mean.
 
-    The column means need a second pass over the smoothed panel. ``stage`` (for example
-    ``stage_via_parquet``) materialises it in between, so that a large panel is shuffled
-    once.
+    The column means need a second pass over the smoothed panel. ``stage`` materialises it
+    in between, so that a large panel is shuffled once; with None it is computed twice.
     """
     cols = list(cols or spec.values(df))
     filled = fill_across_entities(df, spec, cols) if across else fill_both(df, spec, cols)

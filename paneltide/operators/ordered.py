@@ -14,6 +14,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import types as T
 
 from paneltide.session import checkpoint_stage
 from paneltide.spec import PanelSpec
@@ -25,16 +26,33 @@ BEFORE_ALL = Window.unboundedPreceding
 AFTER_ALL = Window.unboundedFollowing
 
 
-def entity_window(spec: PanelSpec) -> WindowSpec:
-    return Window.partitionBy(*spec.entity).orderBy(spec.time)
-
-
 def full_order(df: DataFrame, spec: PanelSpec) -> list[str]:
-    """Entity, time, then every other sortable column, so that repeated cells are ordered."""
-    rest = [c for c in df.columns if c not in spec.cell]
+    """Entity, time, then every other sortable column, so that repeated cells are ordered.
+
+    Where cells are declared unique, entity and time are the whole order. Maps and variants
+    can't be sorted and are skipped.
+    """
+    if spec.cells_unique:
+        return list(spec.cell)
+    rest = [f.name for f in df.schema.fields if f.name not in spec.cell and _sortable(f.dataType)]
     return [*spec.cell, *rest]
 
 
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def entity_window(df: DataFrame, spec: PanelSpec, descending: bool = False) -> WindowSpec:
+    """The rows of an entity in the order that the block path uses, or in its reverse."""
+    order = full_order(df, spec)[len(spec.entity):]
+    return Window.partitionBy(*spec.entity).orderBy(
+        *[F.desc(c) if descending else F.asc(c) for c in order])
+
+
 def sorted_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-sort ``df`` and pin the result: adds the part and the row number in it.
 
@@ -91,7 +109,7 @@ def with_frames(df: DataFrame, spec: PanelSpec, before: int, after: int,
     ``after`` rows ahead within an entity.
     """
     if not spec.has_hot_entity(df):
-        return df.withColumns(dict(build(entity_window(spec))))
+        return df.withColumns(dict(build(entity_window(df, spec))))
     blocks = into_blocks(with_position(df, full_order(df, spec)), before, after, block_rows)
     window = Window.partitionBy(BLOCK, *spec.entity).orderBy(POS)
     return (blocks.withColumns(dict(build(window))).where(F.col(OWN))

@@ -41,7 +41,7 @@ def quantile_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float], exac
     if not exact:
         found = F.percentile_approx("x", [float(q) for q in qs], ACCURACY)
         return values.groupBy("feature").agg(found.alias("values"))
-    if df.select(*cols).limit(max_rows + 1).count() <= max_rows:
+    if df.count() <= max_rows:
         found = F.percentile("x", F.array(*[F.lit(float(q)) for q in qs]))
         return values.groupBy("feature").agg(found.alias("values"))
     rows = _by_rank(values, cols, qs, max_bracket)
@@ -77,14 +77,16 @@ class _Bracket:
 def _by_rank(values: DataFrame, cols: Sequence[str], qs: Sequence[float],
              max_bracket: int) -> list[tuple[str, list[float | None]]]:
     bounds = {r.feature: r for r in values.groupBy("feature").agg(
-        F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+        F.count("x").alias("n"), F.count_if(F.isnan("x")).alias("nan"), F.min("x").alias("low"),
+        F.max(F.when(~F.isnan("x"), F.col("x"))).alias("high")).collect()}
     brackets: dict[tuple[str, int], _Bracket] = {}
     for c in cols:
         b = bounds[c]
         for q in qs if b.n else ():
             at = (b.n - 1) * q
             for rank in (math.floor(at), math.ceil(at)):
-                brackets[c, rank] = _Bracket(c, rank, b.low, b.high, 0, b.n)
+                if rank < b.n - b.nan:
+                    brackets[c, rank] = _Bracket(c, rank, b.low, b.high, 0, b.n - b.nan)
     while wide := [b for b in brackets.values() if b.low < b.high and b.inside > max_bracket]:
         _narrow(values, wide)
     value = _pick(values, brackets)
@@ -93,8 +95,11 @@ def _by_rank(values: DataFrame, cols: Sequence[str], qs: Sequence[float],
         if not bounds[c].n:
             return None
         at = (bounds[c].n - 1) * q
-        low, high = value[c, math.floor(at)], value[c, math.ceil(at)]
-        return low + (at - math.floor(at)) * (high - low)
+        # NaN ranks after every number, as in Spark's percentile, whose formula this is.
+        low, high = (value.get((c, rank), math.nan) for rank in (math.floor(at), math.ceil(at)))
+        if low == high or math.floor(at) == math.ceil(at):
+            return low
+        return (math.ceil(at) - at) * low + (at - math.floor(at)) * high
 
     return [(c, [interpolated(c, q) for q in qs]) for c in cols]
 

@@ -22,20 +22,24 @@ LOW_VARIANCE = 0.01
 # Up to here columns are aggregated side by side; beyond, in long form.
 MAX_WIDE_COLUMNS = 20
 
-# Up to here every pair is its own aggregate; beyond, one Gram matrix holds all pairs.
-MAX_PAIR_COLUMNS = 4
-
 
 def per_column(df: DataFrame, cols: Sequence[str],
                 stats: dict[str, Callable[[str], Column]]) -> DataFrame:
     """Statistics of each numeric column in one aggregate: (feature, stat, ...).
 
     A few columns are aggregated side by side. Many would make a plan of thousands of
-    aggregates, so they go in long form, grouped by column with map-side combine.
+    aggregates, so they go in long form, grouped by column with map-side combine. Both ways
+    take the values as doubles and give one row per asked column, an empty table included.
     """
+    cols = list(cols)
     if len(cols) > MAX_WIDE_COLUMNS:
-        return long_values(df, cols).groupBy("feature").agg(
-            *[f("x").alias(n) for n, f in stats.items()])
+        # One row without a value per column keeps the group of a column of an empty table.
+        none = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string").select(
+            "feature", F.lit(None).cast("double").alias("x"), F.lit(False).alias("real"))
+        rows = long_values(df, cols).withColumn("real", F.lit(True)).unionByName(none)
+        return rows.groupBy("feature").agg(*[f("x").alias(n) for n, f in stats.items()])
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols],
+                   F.lit(True).alias("real"))
     row = df.agg(*[F.struct(*[f(c).alias(n) for n, f in stats.items()]).alias(c) for c in cols])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), *[F.col(c)[n].alias(n) for n in stats])
@@ -78,7 +82,8 @@ def describe_table(df: DataFrame, cols: Sequence[str] | None = None,
     parts = []
     if numeric:
         moments = per_column(df, numeric, {
-            "count": F.count, "nulls": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg,
+            "count": F.count, "nulls": lambda c: F.count_if(F.col(c).isNull() & F.col("real")),
+            "mean": F.avg,
             "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"),
             "max": lambda c: F.max(c).cast("double")})
         quartiles = quantile_table(df, numeric, [0.25, 0.5, 0.75], exact)
@@ -105,7 +110,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Rows (col_a, col_b, r, n); r is null where a column is constant on the shared rows.
     """
     cols = list(cols)
-    upper = _pairwise(df, cols) if len(cols) <= MAX_PAIR_COLUMNS else _from_gram(df, cols)
+    upper = _from_gram(df, cols)
     mirrored = upper.where("col_a <> col_b").select(
         F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r", "n")
     return upper.unionByName(mirrored)
@@ -115,22 +120,6 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return [*((c, c) for c in cols), *combinations(cols, 2)]
 
 
-def _pairwise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    aggs = []
-    for i, (a, b) in enumerate(_pairs(cols)):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
-        # try_divide: a constant column has no correlation, it is not an error.
-        aggs += [F.try_divide(F.covar_samp(x, y), spread).alias(f"r{i}"),
-                 F.count_if(both).alias(f"n{i}")]
-    row = df.agg(*aggs)
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                 F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-        for i, (a, b) in enumerate(_pairs(cols))])))
-
-
 def _from_gram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All pairs from one pass over three parts per column: present, value, square.
 

@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from paneltide.session import stage_path
 
-# The most rows that may pass through one task into one file.
-MAX_SINGLE_FILE_ROWS = 1_000_000
-
 
 def scan_csv(spark: SparkSession, path: str,
              schema: T.StructType | str | None = None) -> DataFrame:
@@ -37,14 +34,14 @@ def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def sink_csv_single(df: DataFrame, path: str, order: Sequence[str],
-                    mode: str = "overwrite") -> None:
-    """One sorted CSV file for a small report; larger tables get sorted part files."""
-    small = df.limit(MAX_SINGLE_FILE_ROWS + 1).count() <= MAX_SINGLE_FILE_ROWS
-    if small:
-        # repartition, not coalesce: the work before it stays parallel.
-        out = df.repartition(1).sortWithinPartitions(*order)
-    else:
-        out = df.orderBy(*order)
+                    mode: str = "overwrite", single: bool = True) -> None:
+    """A sorted CSV report: one file, for which all rows pass through one task.
+
+    Call it with ``single=False`` for a table too large for that: it gets files sorted by
+    range, which give the same rows in the same order when read by name.
+    """
+    # repartition, not coalesce: the work before it stays parallel.
+    out = df.repartition(1).sortWithinPartitions(*order) if single else df.orderBy(*order)
     out.write.mode(mode).csv(path, header=True)
 
 

@@ -36,10 +36,8 @@ def related(spark):
     return frame, df
 
 
-@pytest.mark.parametrize("limit", [0, 50])
-def test_correlation_equals_pandas(related, monkeypatch, limit):
+def test_correlation_equals_pandas(related):
     frame, df = related
-    monkeypatch.setattr(T, "MAX_PAIR_COLUMNS", limit)
     got = {(r.col_a, r.col_b): (r.r, r.n) for r in T.correlation_matrix(df, list(frame)).collect()}
     expected = frame.corr()
     assert len(got) == len(frame.columns) ** 2
@@ -220,7 +218,6 @@ def test_single_file_and_round_trip(spark, waves, tmp_path):
     assert [r.date for r in back.collect()] == sorted(r.date for r in small.collect())
 
 
-def test_large_report_keeps_many_files(spark, waves, tmp_path, monkeypatch):
-    monkeypatch.setattr(io, "MAX_SINGLE_FILE_ROWS", 10)
-    io.sink_csv_single(waves.select("id"), str(tmp_path / "many"), ["id"])
+def test_large_report_in_sorted_files(spark, waves, tmp_path):
+    io.sink_csv_single(waves.select("id"), str(tmp_path / "many"), ["id"], single=False)
     assert io.scan_csv(spark, str(tmp_path / "many")).count() == waves.count()
