@@ -182,7 +182,8 @@ def judge_urls(rows: DataFrame, block: Sequence[str], allow: Sequence[str],
     characters is allowed, and so is every url while one of the classes has no example.
     """
     host, path = host_and_path(F.col("url"))
-    known = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
+    # Ids cross as text, so that a null among them doesn't turn the others into floats.
+    known = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     known = known.withColumn("rule", matching_rule(F.col("host"), F.col("path"),
                                                    [*block, *allow]))
     by_rule = F.when(F.col("rule").isin(list(allow)), 1).when(F.col("rule").isNotNull(), 0)
@@ -195,4 +196,5 @@ def judge_urls(rows: DataFrame, block: Sequence[str], allow: Sequence[str],
     decided = F.when(F.col("accepted") == 1, "allow").when(F.col("accepted") == 0, "block")
     return (score_urls(known, model)
             .withColumn("verdict", F.coalesce(decided, F.when(allowed, "allow").otherwise("block")))
-            .select("page_id", "host", "path", "rule", "verdict", "log_ratio", "p_accept"))
+            .select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule",
+                    "verdict", "log_ratio", "p_accept"))

@@ -33,6 +33,9 @@ def test_hosts_paths_and_rules(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict or verdict is None and r.verdict in ("allow", "block")
     assert judged(spark, []) == {}
+    big = spark.createDataFrame([(2 ** 62 + 1, "http://a.net/"), (None, "http://a.net/")],
+                                "page_id long, url string")
+    assert {r.page_id for r in url_filter.judge_urls(big, BLOCK, ALLOW).collect()} == {2 ** 62 + 1, None}
     assert judged(spark, ["http://a.net/", "http://b.com/"])[1].verdict == "allow"
 
 
