@@ -7,11 +7,18 @@ of similarity 0.85 share a table with a chance of 99.9 %, of 0.9 with 99.99 %.
 
 Within a bucket nothing is compared all against all. A first pass compares the members of each
 bucket of some tables with its most central document; that joins most groups of copies. Buckets
-of all tables that still hold documents of several components then go through a second pass. Its
-centre is compared with all others; what it isn't linked to goes on as a smaller bucket. A document
-that the centre is not linked to can be linked to one that it is linked to only if their Jaccard
-distances to the centre differ by no more than the link distance: these pairs, and no others, are
-compared as well. So no link between components is lost among the documents of a bucket.
+of all tables that still hold documents of several components then go through a second pass, in
+which each is compared with its centre as well.
+
+What the comparison leaves open is found from differences. Let a document have ``a`` shingles that
+the centre lacks and lack ``m`` of the centre's. Two documents x and y of which ``o`` added shingles
+are shared differ in at least a_x + a_y - 2 o + abs(m_x - m_y) shingles, and a link allows
+(n_x + n_y) * 15 / 185. So a pair is linked only if it shares enough added shingles, which few
+documents do that the centre isn't linked to, or if both have hardly any; then one of them is
+shorter than the centre. These pairs, and no others, are compared. That loses no link among
+documents near the centre. The others go on as a smaller bucket. A document that is far from the
+centre and one that is near it but not linked to it are met in the tables whose minhashes aren't
+the centre's.
 
 Before whole sets are compared, a pair must have sizes that allow a link and agree in
 ``MIN_EQUAL`` of its short signatures, which a pair of similarity 0.85 misses once in 15,000.
@@ -36,8 +43,8 @@ HALVES = 8
 HALF_ROWS = 3
 SEED = 20_240_229
 TEXTS_AT_ONCE = 64
-#: Below this similarity to a centre nothing is linked to what the centre is linked to.
-RING_PERCENT = 2 * LINK_PERCENT - 100
+#: From this similarity to its centre on, a document is judged by its differences from it.
+NEAR_PERCENT = 50
 MIN_EQUAL = 3
 #: Of the tables, one in so many is in the first pass.
 FIRST_PASS = 4
@@ -199,16 +206,17 @@ class _Verifier:
         self.docs = docs.select("doc_id", "text")
         self.nodes = nodes
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(node, centre, shared, total) of the pairs that may be linked, sizes of intersection
-        and union; pairs whose sizes or signatures rule a link out are left out."""
+    def __call__(self, pairs: DataFrame, added: bool = False) -> DataFrame:
+        """(node, centre, shared, total, n, missing, added) of the pairs that may be near: sizes
+        of intersection, union and node, how much of the centre it lacks, and what it adds, as
+        32-bit hashes, if it is near. Pairs whose sizes or signatures rule that out are left out."""
         n = lambda side: self.nodes.select(
             F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"),
             F.col("halves").alias(f"halves_{side}"))
         small, large = F.least("n_node", "n_centre"), F.greatest("n_node", "n_centre")
         hopeful = stage_via_parquet(
             pairs.distinct().join(n("node"), "node").join(n("centre"), "centre")
-            .where(small * 100 >= large * RING_PERCENT)
+            .where(small * 100 >= large * NEAR_PERCENT)
             .where(F.size(F.array_intersect("halves_node", "halves_centre")) >= MIN_EQUAL)
             .select("node", "centre").distinct())
         wanted = stage_via_parquet(hopeful.select(F.col("node").alias("doc_id")).union(
@@ -219,13 +227,22 @@ class _Verifier:
         one = sets.select("node", F.col("shingles").alias("s"))
         other = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("t"))
         sized = (hopeful.join(one, "node").join(other, "centre")
-                 .select("node", "centre", F.size(F.array_intersect("s", "t")).alias("shared"),
-                         F.size("s").alias("n"), F.size("t").alias("m"))
-                 .withColumn("total", F.col("n") + F.col("m") - F.col("shared")))
+                 .withColumn("shared", F.size(F.array_intersect("s", "t")))
+                 .withColumn("n", F.size("s"))
+                 .withColumn("missing", F.size("t") - F.col("shared"))
+                 .withColumn("total", F.col("n") + F.col("missing")))
+        if added:
+            low = F.transform(F.array_except("s", "t"), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+            sized = sized.withColumn("added", F.when(_near(), low))
         # Rows that share an id may have several texts: their closest pair counts.
-        best = F.max(F.struct((F.col("shared") / F.col("total")).alias("ratio"), "shared", "total"))
+        rest = ["shared", "total", "n", "missing", *(["added"] if added else [])]
+        best = F.max(F.struct((F.col("shared") / F.col("total")).alias("ratio"), *rest))
         return (sized.groupBy("node", "centre").agg(best.alias("best"))
-                .select("node", "centre", "best.shared", "best.total"))
+                .select("node", "centre", *[f"best.{c}" for c in rest]))
+
+
+def _near() -> Column:
+    return F.col("shared") * 100 >= F.col("total") * NEAR_PERCENT
 
 
 def _linked() -> Column:
@@ -244,55 +261,75 @@ def find_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     linear = buckets.count()
     while True:
         members = buckets.where("node <> centre")
-        checked = stage_via_parquet(verify(members.select("node", "centre")))
-        rated = stage_via_parquet(
-            members.join(checked, ["node", "centre"], "left")
-            .select("key", "node", "component", "centrality",
-                    F.coalesce(_linked(), F.lit(False)).alias("linked"),
-                    F.coalesce(1 - F.col("shared") / F.col("total"), F.lit(1.0)).alias("distance")))
+        checked = stage_via_parquet(verify(members.select("node", "centre"), added=True))
         links = links.unionByName(_as_links(checked))
-        outer = rated.where(~F.col("linked"))
-        left = outer.groupBy("key").count().agg(
-            F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
-        if left is None:
-            return links
-        pairs = _across(rated)
-        # Both ways compare the same pairs; the rest is done at once when that is linear work.
-        if left <= REST_FACTOR * linear:
-            return links.unionByName(_as_links(verify(pairs.unionByName(_among(outer)))))
+        near = checked.where(_near())
+        far = stage_via_parquet(members.join(near.select("node", "centre"), ["node", "centre"], "left_anti")
+                                .select("key", "node", "component", "centrality"))
+        pairs = _by_differences(near.join(met.select("node", "component"), "node"))
+        left = far.groupBy("key").count().agg(
+            F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+        # Both ways find the same links; the rest is done at once when that is linear work.
+        finish = left <= REST_FACTOR * linear
+        if finish and left:
+            pairs = pairs.unionByName(_among(far))
         links = stage_via_parquet(links.unionByName(_as_links(verify(pairs))))
-        buckets = stage_via_parquet(_centred(outer.select("key", "node", "component", "centrality")))
+        if finish:
+            return links
+        buckets = stage_via_parquet(_centred(far))
 
 
 def _as_links(checked: DataFrame) -> DataFrame:
     return checked.where(_linked()).select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 
-def _side(rows: DataFrame, suffix: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(c + suffix) for c in
-                                ("node", "distance", "component")])
-
-
-def _within_reach(pairs: DataFrame) -> DataFrame:
-    """Pairs of different components whose distances to the centre allow a link."""
-    reach = 1 - LINK_PERCENT / 100 + 1e-9
-    return (pairs.where(F.abs(F.col("distance_y") - F.col("distance_x")) <= reach)
-            .where("component_x <> component_y")
+def _side(rows: DataFrame, suffix: str, on: list[str]) -> DataFrame:
+    return rows.select(*on, *[F.col(c).alias(c + suffix) for c in rows.columns if c not in on])
+
+
+def _by_differences(near: DataFrame) -> DataFrame:
+    """Pairs (node, centre) of documents near one centre, at least one of them not linked to it,
+    whose differences from it allow a link between different components."""
+    open_centres = stage_via_parquet(near.where(~_linked()).select("centre").distinct())
+    few = open_centres.count() <= BROADCAST_IDS
+    rows = stage_via_parquet(
+        near.join(F.broadcast(open_centres) if few else open_centres, "centre", "left_semi")
+        .select("centre", "node", "component", _linked().alias("linked"), "n", "missing", "added"))
+    sized = rows.withColumn("a", F.size("added")).drop("added")
+    may_differ = (F.col("n_x") + F.col("n_y")) * ((100 - LINK_PERCENT) / (100 + LINK_PERCENT)) + 1e-6
+    differ = F.col("a_x") + F.col("a_y") + F.abs(F.col("missing_x") - F.col("missing_y"))
+    others = (F.col("component_x") != F.col("component_y"))
+
+    # Pairs that share added shingles, met in those that occur in several components.
+    on = ["centre", "shingle"]
+    each = rows.withColumn("a", F.size("added")).withColumn("shingle", F.explode("added")).drop("added")
+    several = (each.groupBy(*on).agg(F.min("component").alias("least"), F.max("component").alias("most"),
+                                     F.every("linked").alias("closed"))
+               .where("least < most and not closed").select(*on))
+    each = each.join(several, on)
+    met = (_side(each.where("not linked"), "_y", on).join(_side(each, "_x", on), on)
+           .where(others & (F.col("linked_x") | (F.col("node_x") < F.col("node_y"))))
+           .groupBy("centre", "node_x", "node_y", "n_x", "n_y", "a_x", "a_y", "missing_x", "missing_y")
+           .agg(F.count("*").alias("o")).where(differ - 2 * F.col("o") <= may_differ))
+
+    # Pairs that need share none: one is shorter than the centre, and both add little.
+    most_added = F.col("n") * ((100 - LINK_PERCENT) / (100 + LINK_PERCENT) * (1 + 100 / LINK_PERCENT))
+    little = sized.where(F.col("a") <= most_added)
+    shorter = little.where("a < missing")
+    unshared = (_side(shorter, "_x", ["centre"]).join(_side(little, "_y", ["centre"]), "centre")
+                .where(others & (~F.col("linked_x") | ~F.col("linked_y")) & (differ <= may_differ)))
+    pair = lambda found: found.select(F.col("node_y").alias("node"), F.col("node_x").alias("centre"))
+    return pair(met).unionByName(pair(unshared))
+
+
+def _among(far: DataFrame) -> DataFrame:
+    """Pairs of different components of one bucket."""
+    far = far.select("key", "node", "component")
+    return (_side(far, "_y", ["key"]).join(_side(far, "_x", ["key"]), "key")
+            .where("node_x < node_y and component_x <> component_y")
             .select(F.col("node_y").alias("node"), F.col("node_x").alias("centre")))
 
 
-def _across(rated: DataFrame) -> DataFrame:
-    """Pairs of one bucket, one linked to the centre and one not, that may still be linked."""
-    ring = rated.where(~F.col("linked") & (F.col("distance") <= 1 - RING_PERCENT / 100 + 1e-9))
-    return _within_reach(_side(ring, "_y").join(_side(rated.where("linked"), "_x"), "key"))
-
-
-def _among(outer: DataFrame) -> DataFrame:
-    """Pairs of one bucket, neither linked to the centre, that may be linked."""
-    pairs = _side(outer, "_y").join(_side(outer, "_x"), "key").where("node_x < node_y")
-    return _within_reach(pairs)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, text_key, kept of every row (columns doc_id and text).
 

@@ -32,8 +32,22 @@ def family(seed, n, edits, length=120):
     return out
 
 
+def cuts(seed, n, length=150):
+    """One text, its beginnings and ends, some with a few words put in or left out."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(length)]
+    out = [base]
+    for _ in range(n):
+        copy = base[r.randrange(length // 4):length - r.randrange(length // 4)]
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(copy))
+            copy = copy[:at] + [f"x{r.randrange(9)}"] * r.randrange(2) + copy[at + r.randrange(3):]
+        out.append(copy)
+    return [" ".join(ws) for ws in out]
+
+
 def near_cases():
-    texts = [*family(1, 30, 2), *family(2, 40, 6), *family(3, 3, 0), *family(4, 25, 10, 300),
+    texts = [*cuts(5, 40), *cuts(6, 40, 80), *family(7, 60, 12, 150), *family(1, 30, 2), *family(2, 40, 6), *family(3, 3, 0), *family(4, 25, 10, 300),
              "", None, "one", "ONE", "one two", "one  two\n", "a b c", "É b c", "é b c", " \t\n"]
     ids = random.Random(0).sample(range(1000), len(texts))
     return list(zip(ids, texts))
