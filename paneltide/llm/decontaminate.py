@@ -160,10 +160,15 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Hits of the benchmark windows in every document.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Per row of ``docs``: doc_id,
-    n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated, text_key. Null
+    n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated. Null
     and empty texts have no words; an empty benchmark hits nothing; items without words and
     null item_ids count for nothing; repeated rows get one answer each.
     """
+    return contamination(docs, items).drop("text_key")
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As ``decontaminate``, with text_key, which tells rows apart that share a doc_id."""
     windows = stage_via_parquet(_item_windows(items.where("item_id is not null")).distinct())
     few = windows.count() <= BROADCAST_WINDOWS
     short = sorted(r["n"] for r in windows.where(F.col("n") < WINDOW).select("n").distinct()

@@ -10,9 +10,11 @@ bit f is set while one with f free places is open.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +30,8 @@ OPEN_SEQUENCES = 512
 LONG_RUN = 20_000
 #: Tokens of a stream: it bounds what one task packs, and costs at most the sequences left open.
 STREAM_TOKENS = 16_000_000
+#: And its rows, where pieces are short.
+STREAM_ROWS = 1_000_000
 
 _PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -51,31 +55,43 @@ class Vocabulary(NamedTuple):
     ranks: str
     pattern: str
 
-    def encoder(self) -> Callable[[str], list[int]]:
-        import tiktoken
-        from tokenizers import Tokenizer
 
-        with open(self.ranks, "rb") as file:
-            ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, file)}
-        fast = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks,
-                                 special_tokens={})
-        whole = Tokenizer.from_file(self.tokenizer)
-        whole.encode_special_tokens = True  # their names in a text are ordinary text
-        long_run = re.compile(r"\s{%d}" % LONG_RUN)
+@cache
+def _whole(vocabulary: Vocabulary) -> object:
+    from tokenizers import Tokenizer
 
-        def encode(text: str) -> list[int]:
-            if len(text) >= LONG_RUN and long_run.search(text):
-                return whole.encode(text, add_special_tokens=False).ids
-            return fast.encode_ordinary(text)
+    return Tokenizer.from_file(vocabulary.tokenizer)
 
-        return encode
+
+@cache
+def encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
+    """Ids of a text as the tokenizer file gives them without special tokens added; names of its
+    special tokens in the text get their own ids. Built once per worker process."""
+    import tiktoken
+
+    with open(vocabulary.ranks, "rb") as file:
+        ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, file)}
+    with open(vocabulary.tokenizer, encoding="utf-8") as file:
+        named = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    fast = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks,
+                             special_tokens=named)
+    long_run = re.compile(r"\s{%d}" % LONG_RUN)
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and long_run.search(text):
+            return _whole(vocabulary).encode(text, add_special_tokens=False).ids
+        if any(name in text for name in named):
+            return fast.encode(text, allowed_special="all")
+        return fast.encode_ordinary(text)
+
+    return encode
 
 
 def tokenize_pieces(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH,
                     end_id: int = END_ID) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32."""
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = vocabulary.encoder()
+        encode = encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"].fillna(""), strict=True):
@@ -125,8 +141,8 @@ def best_fit(lengths: list[int], length: int = LENGTH,
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with doc_id, piece, start, length, ids_crc32."""
-    tokens = pieces.agg(F.sum("length")).first()[0] or 0
-    n_streams = max(1, -(-tokens // STREAM_TOKENS))
+    tokens, rows = pieces.agg(F.sum("length"), F.count("*")).first()
+    n_streams = max(1, -(-(tokens or 0) // STREAM_TOKENS), -(-rows // STREAM_ROWS))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = pieces.select("*", order.alias("_order"),
                           F.pmod(F.hash("doc_id", "piece", "ids_crc32"), F.lit(n_streams))

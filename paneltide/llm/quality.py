@@ -120,7 +120,10 @@ def fit_machine(sample: DataFrame) -> Machine:
     @F.udf(VectorUDT())
     def vector(values, buckets, weights):
         x = _scaled(np.array(values), mean, deviation)
-        return Vectors.sparse(size, [*range(n), *(n + b for b in buckets)], [*x.tolist(), *weights])
+        # The fit takes each stored place as an input of its own: zeros must not be stored.
+        stored = np.flatnonzero(x)
+        return Vectors.sparse(size, [*stored.tolist(), *(n + b for b in buckets)],
+                              [*x[stored].tolist(), *weights])
 
     vectors = stage_via_parquet(rows.select("label", vector("structure", "buckets", "weights")
                                             .alias("features")))

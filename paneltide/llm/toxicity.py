@@ -53,7 +53,8 @@ SIGNS = str.maketrans("013457@$!|", "oieastasil")
 
 _TOKEN = re.compile(r"[^\W_]+")
 _CAPS = re.compile(r"\b[A-Z]{2,}\b")
-_DISGUISED = re.compile(r"[A-Za-z]+[@$!|*0-9]+[A-Za-z]+[@$!|*0-9A-Za-z]*")
+# Starts only where a run of letters does and never gives letters back: linear in the text.
+_DISGUISED = re.compile(r"(?<![A-Za-z])[A-Za-z]++[@$!|*0-9]++[A-Za-z]++[@$!|*0-9A-Za-z]*+")
 _STRETCHED = re.compile(r"([a-z])\1\1")
 _UPPER = np.arange(65, 91)
 _LOWER = np.arange(97, 123)
@@ -95,11 +96,13 @@ def text_features(text: str, learned: frozenset[str]) -> list[float]:
 def learned_words(texts: DataFrame) -> list[str]:
     """Words that mark toxic texts (columns text, label), the same for any order of rows.
 
-    Counted once per text, over different texts. At most ``LEARNED_WORDS`` are returned.
+    Counted once per text, over different texts; one labelled both ways counts as toxic. At most
+    ``LEARNED_WORDS`` are returned.
     """
-    rows = texts.dropDuplicates(["text"]).select("label", F.explode(F.array_distinct(F.split(
+    texts = texts.groupBy("text").agg(F.max("label").alias("label"))
+    rows = texts.select("label", F.explode(F.array_distinct(F.split(
         F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("word")).where("word <> ''")
-    totals = texts.dropDuplicates(["text"]).agg(
+    totals = texts.agg(
         F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no")).first()
     yes, no = totals["yes"] or 0.0, totals["no"] or 0.0
     if not yes or not no:
@@ -139,14 +142,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED
     # The bound on its rows makes the labelled side fit for a broadcast.
     texts = stage_via_parquet(docs.select("doc_id", "text").where("text is not null")
                               .join(F.broadcast(picked), "doc_id"))
-    learned = learned_words(texts)
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CALIBRATION_SHARE)) == 0
+    # Nothing is learned from the rows that calibrate, words included.
+    learned = learned_words(texts.where(~calibrates))
     rows = stage_via_parquet(with_features(docs, learned))
     held_out = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
     sample = stage_via_parquet(
         with_features(texts.select("doc_id", "text"), learned)
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", "label", array_to_vector("features").alias("vector")))
-    calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CALIBRATION_SHARE)) == 0
     counts = {(r["c"], r["label"]): r["n"] for r in
               sample.groupBy(calibrates.alias("c"), "label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())

@@ -77,3 +77,19 @@ def test_linear_time_score_equals_all_pairs():
                   for a, i in enumerate(keys) for j in keys[a + 1:])
     assert abs(quality.machine_score(machine, values, buckets, weights)
                - 1 / (1 + np.exp(-margin))) < 1e-12
+
+
+def test_quality_with_a_constant_structure_value(spark):
+    rows = [(i, ("good words here " if i % 2 else "bad noise there ") * (3 + i % 5)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality.score_quality(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_disguised_words_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    toxicity.text_features("a" * 1_000_000 + " id1ot " + "a1" * 200_000, frozenset())
+    assert time.perf_counter() - start < 5

@@ -67,10 +67,10 @@ def test_best_fit_is_bounded_and_full():
 def test_pieces_and_places(spark):
     long = " ".join(str(i) for i in range(3000))
     rows = [(1, "Hello world"), (2, None), (3, ""), (4, long), (None, "null id"), (1, "Hello world"),
-            (5, "a" + " " * 30_000 + "b"), (6, "<|endoftext|> Größe 漢字 😀 \x85 it's")]
+            (5, "a" + " " * 30_000 + "b"), (6, "<|endoftext|> Größe 漢字 😀 \x85 it's"), (7, "a <|endoftext|><|endoftext|>b <|endoftext"),
+            (8, "x" + "\n" * 25_000 + "<|endoftext|> y")]
     got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, 64).collect()
     coder = Tokenizer.from_file(TOKENIZER.tokenizer)
-    coder.encode_special_tokens = True
     expected = []
     for doc_id, text in rows:
         ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
