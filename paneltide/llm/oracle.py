@@ -37,3 +37,98 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
   n_hit is not null as contaminated
 from docs left join covered using (row) left join named using (row)
 """
+
+
+def _floor_mean(total: str) -> str:
+    """The whole quotient of a sum and the count n, rounded down; SQL's own rounds to zero."""
+    return f"cast(({total} - ((({total}) % n) + n) % n) // n as bigint)"
+
+
+def _op12_rounds(rounds: int, width: int) -> str:
+    """The assignments a0, a1, ... and the codebooks b1, b2, ... made from them."""
+    distance = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, width + 1))
+    sums = ", ".join(f"sum(x[{i}]) as s{i}" for i in range(1, width + 1))
+    means = ", ".join(_floor_mean(f"s{i}") for i in range(1, width + 1))
+    text = ""
+    for k in range(rounds + 1):
+        text += f"""a{k} as (select r, p, min(({distance}) * 64 + e) as m from parts join b{k} using (p) group by r, p),
+"""
+        if k < rounds:
+            text += f"""s{k} as (select p, m % 64 as e, count(*) as n, {sums} from a{k} join parts using (r, p) group by 1, 2),
+b{k + 1} as (select p, e, case when n is null then c else [{means}] end as c from b{k} left join s{k} using (p, e)),
+"""
+    return text
+
+
+OP12_VECTOR_CODES = f"""
+with kept as (
+  select row_number() over () as r, vec_id, label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+parts as (select r, p, v[p * 4 + 1:p * 4 + 4] as x from kept, range(16) as t(p)),
+picked as (
+  select r, row_number() over (order by vec_id, v) - 1 as e from kept where vec_id is not null
+  qualify e < 64),
+b0 as (select p, e, x as c from parts join picked using (r)),
+{_op12_rounds(2, 4)}
+coded as (
+  select r, string_agg(printf('%02x', m % 64), '' order by p) as code,
+    cast(sum(m // 64) as bigint) as error
+  from a2 group by r),
+rows as (select vec_id, label, code, error from kept join coded using (r)),
+digest as (
+  select sha256(string_agg(cast(v as varchar), ',' order by p, e, i)) as codebooks_sha256
+  from (select p, e, unnest(c) as v, unnest(range(1, 5)) as i from b2))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  codebooks_sha256
+from rows, digest
+"""
+
+# CRC-32 by its definition: eight steps a byte with the reversed polynomial.
+_CRC32 = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(cast({} as varchar), ''),
+  lambda ch: cast(ascii(ch) as bigint)),
+  lambda a, b: list_reduce([xor(a, b)] || cast(range(8) as bigint[]),
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP13_PREFIX_TRIE = f"""
+with own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first,
+      md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) - 1 as k
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - conv_id % 5 as base, {_CRC32.format('conv_id')} % 9 as h
+  from (select distinct conv_id from own)),
+turns as (
+  select convs.conv_id, 0 as part, k, role, text from convs join own on own.conv_id = base and k < h
+  union all
+  select conv_id, 1, k, role, text from convs join own using (conv_id) where k >= h),
+paths as (
+  select conv_id, coalesce(list(len(role) || ':' || role || text order by part, k)
+      filter (part is not null), []) as path,
+    coalesce(list(strlen(text) order by part, k) filter (part is not null), []) as bytes
+  from convs left join turns using (conv_id) group by conv_id),
+prefixes as (
+  select conv_id, d as depth, path[1:d] as path, coalesce(bytes[d], 0) as bytes, d = len(path) as ends
+  from (select *, unnest(range(0, len(path) + 1)) as d from paths)),
+nodes as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes,
+    coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '') as members
+  from prefixes group by path, depth),
+kids as (
+  select path[1:depth - 1] as path, depth - 1 as depth, count(*) as n_children
+  from nodes where depth > 0 group by 1, 2),
+counted as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (path, depth)),
+sums as (
+  select up.path, up.depth, count(*) filter (low.n_children = 0) as n_leaves,
+    cast(sum((low.n_convs - 1) * low.bytes) as bigint) as saved_tokens
+  from counted as low, unnest(range(0, low.depth + 1)) as t(d)
+  join counted as up on up.depth = d and up.path = low.path[1:d]
+  group by 1, 2)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children,
+  n_leaves, saved_tokens, sha256(n.members) as ends_sha256
+from counted as n join sums using (path, depth)
+left join counted as p on p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]
+"""

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import (decontaminate, html_text, minhash_dedup, neighbours, packing, pii, quality, sharding,
-                           toxicity, url_filter)
-from paneltide.llm.oracle import OP4_DECONTAMINATE
+from paneltide.llm import (decontaminate, html_text, minhash_dedup, neighbours, packing, pii, prefix_trie, quality,
+                           sharding, toxicity, url_filter, vector_codes)
+from paneltide.llm.oracle import OP4_DECONTAMINATE, OP12_VECTOR_CODES, OP13_PREFIX_TRIE
 from paneltide.llm.tables import table
 
 URL_BLOCK = ("net/", "example.com/de/")
@@ -67,6 +67,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_url_filter": op2_url_filter,
@@ -78,7 +86,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # SQL counterparts; none where DuckDB lacks a function (CRC-32, tokens) or SQL a model.
-ORACLE: dict[str, str] = {"op4_decontaminate": OP4_DECONTAMINATE}
+ORACLE: dict[str, str] = {
+    "op4_decontaminate": OP4_DECONTAMINATE,
+    "op12_vector_codes": OP12_VECTOR_CODES,
+    "op13_prefix_trie": OP13_PREFIX_TRIE,
+}
