@@ -132,3 +132,49 @@ select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id,
 from counted as n join sums using (path, depth)
 left join counted as p on p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]
 """
+
+
+def _shingle_components(percent: int) -> str:
+    """doc_id, n_shingles, component_id: links of different shingle sets, followed to their ends."""
+    return f"""
+with recursive docs as (
+  select row_number() over () as r, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+  from documents),
+sets as (
+  select r, doc_id, list_sort(list_distinct(case
+    when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as s
+  from docs),
+classes as (
+  select min(r) as c, min(doc_id) as least, len(s) as n, s from sets
+  where len(s) > 0 and doc_id is not null group by s),
+members as (select c, n, unnest(s) as x from classes),
+links as (
+  select a.c as u, b.c as v from members as a join members as b on a.x = b.x and a.c < b.c
+    and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}
+  group by a.c, b.c, a.n, b.n
+  having count(*) * 100 >= (a.n + b.n - count(*)) * {percent}),
+same_id as (
+  select c, doc_id from sets join classes using (s) where doc_id is not null),
+tied as (
+  select u, v from links union select a.c, b.c from same_id as a join same_id as b using (doc_id) where a.c <> b.c),
+edges as (select u, v from tied union select v, u from tied),
+reach as (select c, c as root from classes union select edges.v, root from reach join edges on edges.u = c),
+parts as (select reach.c, min(least) as component_id from reach join classes on classes.c = root group by reach.c),
+answer as (
+  select doc_id, cast(len(sets.s) as bigint) as n_shingles,
+    case when doc_id is not null then coalesce(component_id, doc_id) end as component_id
+  from sets left join classes on classes.s = sets.s and doc_id is not null left join parts using (c))
+"""
+
+
+OP8_MINHASH_DEDUP = _shingle_components(85) + """
+select *, coalesce(doc_id = component_id, true) as kept from answer
+"""
+
+OP11_SET_JOIN = _shingle_components(90) + """
+select * from answer
+"""

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneltide.llm import (decontaminate, html_text, minhash_dedup, neighbours, packing, pii, prefix_trie, quality,
-                           sharding, toxicity, url_filter, vector_codes)
-from paneltide.llm.oracle import OP4_DECONTAMINATE, OP12_VECTOR_CODES, OP13_PREFIX_TRIE
+                           set_join, sharding, toxicity, url_filter, vector_codes)
+from paneltide.llm.oracle import (OP4_DECONTAMINATE, OP8_MINHASH_DEDUP, OP11_SET_JOIN, OP12_VECTOR_CODES,
+                                   OP13_PREFIX_TRIE)
 from paneltide.llm.tables import table
 
 URL_BLOCK = ("net/", "example.com/de/")
@@ -56,7 +57,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("text_key")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op11_set_join": op11_set_join,
     "op12_vector_codes": op12_vector_codes,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -93,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # SQL counterparts; none where DuckDB lacks a function (CRC-32, tokens) or SQL a model.
 ORACLE: dict[str, str] = {
     "op4_decontaminate": OP4_DECONTAMINATE,
+    "op8_minhash_dedup": OP8_MINHASH_DEDUP,
+    "op11_set_join": OP11_SET_JOIN,
     "op12_vector_codes": OP12_VECTOR_CODES,
     "op13_prefix_trie": OP13_PREFIX_TRIE,
 }

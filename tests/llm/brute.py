@@ -45,7 +45,7 @@ def shingles(text):
     return {tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
 
 
-def components(docs):
+def components(docs, percent=85):
     """{doc_id: (n_shingles, component)} with every pair compared."""
     sets = {i: shingles(t) for i, t in docs if i is not None}
     label = {i: i for i in sets}
@@ -58,7 +58,7 @@ def components(docs):
     for a in sets:
         for b in sets:
             both, one = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-            if a < b and both and both * 100 >= 85 * one:
+            if a < b and both and both * 100 >= percent * one:
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
     return {i: (len(s), root(i)) for i, s in sets.items()}
