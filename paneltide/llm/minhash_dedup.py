@@ -5,87 +5,46 @@ Every pair of a signature of the first and one of the second is the key of one t
 ``HALVES ** 2`` tables cost ``2 * HALVES * HALF_ROWS`` minhashes. With 8 and 3, two documents
 of similarity 0.85 share a table with a chance of 99.9 %, of 0.9 with 99.99 %.
 
-Within a bucket nothing is compared all against all. A first pass compares the members of each
-bucket of some tables with its most central document; that joins most groups of copies. Buckets
-of all tables that still hold documents of several components then go through a second pass, in
-which each is compared with its centre as well.
-
-What the comparison leaves open is found from differences. Let a document have ``a`` shingles that
-the centre lacks and lack ``m`` of the centre's. Two documents x and y of which ``o`` added shingles
-are shared differ in at least a_x + a_y - 2 o + abs(m_x - m_y) shingles, and a link allows
-(n_x + n_y) * 15 / 185. So a pair is linked only if it shares enough added shingles, which few
-documents do that the centre isn't linked to, or if both have hardly any; then one of them is
-shorter than the centre. These pairs, and no others, are compared. That loses no link among
-documents near the centre. The others go on as a smaller bucket. A document that is far from the
-centre and one that is near it but not linked to it are met in the tables whose minhashes aren't
-the centre's.
-
-Before whole sets are compared, a pair must have sizes that allow a link and agree in
-``MIN_EQUAL`` of its short signatures, which a pair of similarity 0.85 misses once in 15,000.
+Three passes find the links among the members of buckets. The first compares the members of some
+tables with the most central document of their bucket, the second does so in all tables, for
+buckets that still hold several components; that joins most groups of copies at linear cost. What
+is left are members of different components in one bucket. The third pass tests them, in blocks, on
+parity bitmaps: the number of unequal bits of two bitmaps is a lower bound of the number of shingles
+that only one of the sets has, so pairs it rules out can't link. Only pairs it leaves open become
+rows. Two blocks that lie wholly in the centre's component aren't compared.
+
+So every pair that shares a bucket is either in one component already, or ruled out, or compared on
+whole sets: nothing is lost but what banding misses. Work on bitmaps grows with the square of the
+members of a bucket that are linked neither to its centre nor through it; rows and shuffles don't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.llm.components import connected_components
+from paneltide.llm.shingles import (SET, Compare, alpha, as_links, bitmap, folded, join_hot, mixed, set_keys,
+                                    texts_and_sets, tied_texts, unequal_bits)
 from paneltide.llm.tables import text_key
 from paneltide.sources.io import stage_via_parquet
 
-SHINGLE = 3
 LINK_PERCENT = 85
 HALVES = 8
 HALF_ROWS = 3
 SEED = 20_240_229
-TEXTS_AT_ONCE = 64
-#: From this similarity to its centre on, a document is judged by its differences from it.
-NEAR_PERCENT = 50
-MIN_EQUAL = 3
 #: Of the tables, one in so many is in the first pass.
 FIRST_PASS = 4
-#: A list of this many ids is some 10 MB as a broadcast table; longer ones are shuffled.
-BROADCAST_IDS = 500_000
-
-#: The rest of all buckets is compared at once when that is so many times the first comparisons.
-REST_FACTOR = 1
+#: Members of one block of a bucket.
+BLOCK = 512
+#: Words of bitmaps compared at once.
+WORDS_AT_ONCE = 2_000_000
 
 _N_HASHES = 2 * HALVES * HALF_ROWS
-_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for factor in _MIX:
-        x = (x ^ (x >> np.uint64(33))) * factor
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted 64-bit hashes of the distinct shingles of each text.
-
-    Words are split at ASCII white space and A-Z lower-cased, on bytes. Fewer words than a
-    shingle make one shingle of all of them, none an empty set.
-    """
-    words = [t.encode().lower().split() for t in texts]
-    flat = np.array([w for ws in words for w in ws] + [b""], dtype=object)[:-1]
-    hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
-    out, start = [], 0
-    for ws in words:
-        h = hashes[start:start + len(ws)]
-        start += len(ws)
-        n = min(SHINGLE, len(h))
-        if n == 0:
-            out.append(np.zeros(0, dtype=np.uint64))
-            continue
-        s = np.full(len(h) - n + 1, np.uint64(n))
-        for i in range(n):
-            s = _mixed(s + h[i:len(h) - n + 1 + i])
-        out.append(np.unique(s))
-    return out
 
 
 def _hash_parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -105,42 +64,28 @@ def half_signatures(sets: list[np.ndarray]) -> np.ndarray:
         v ^= v >> np.uint64(32)
         least = np.minimum.reduceat(v, starts)
         half = j // HALF_ROWS
-        out[:, half] = _mixed(out[:, half] + least + np.uint64(half + 1))
+        out[:, half] = mixed(out[:, half] + least + np.uint64(half + 1))
     return out
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), TEXTS_AT_ONCE):
-            part = batch.iloc[at:at + TEXTS_AT_ONCE]
-            sets = shingle_sets(part["text"].fillna("").tolist())
-            some = [s for s in sets if len(s)]
-            halves = iter(half_signatures(some).view(np.int64) if some else ())
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(),
-                "text_key": part["text_key"].to_numpy(),
-                "n_shingles": [len(s) for s in sets],
-                "key_a": np.array([_mixed(s).sum(dtype=np.uint64) for s in sets],
-                                  dtype=np.uint64).view(np.int64),
-                "key_b": np.array([_mixed(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets],
-                                  dtype=np.uint64).view(np.int64),
-                "halves": [list(next(halves)) if len(s) else [] for s in sets]})
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), TEXTS_AT_ONCE):
-            part = batch.iloc[at:at + TEXTS_AT_ONCE]
-            yield pd.DataFrame({"node": part["doc_id"].to_numpy(), "shingles": [
-                s.view(np.int64) for s in shingle_sets(part["text"].fillna("").tolist())]})
+    for part, sets in texts_and_sets(batches):
+        some = [s for s in sets if len(s)]
+        halves = iter(half_signatures(some).view(np.int64) if some else ())
+        keys = [set_keys(s) for s in sets]
+        yield pd.DataFrame({
+            "doc_id": part["doc_id"].to_numpy(), "text_key": part["text_key"].to_numpy(),
+            "n_shingles": [len(s) for s in sets], "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys],
+            "halves": [list(next(halves)) if len(s) else [] for s in sets],
+            "bits": [bitmap(s) if len(s) else [] for s in sets]})
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, a 128-bit key of the set, and the short signatures."""
+    """doc_id, text_key, n_shingles, a 128-bit key of the set, the short signatures, the bitmap."""
     # Ids cross as text, so that a null among them doesn't turn the others into floats.
     return (docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key())
             .mapInPandas(_signatures, "doc_id string, text_key long, n_shingles long, key_a long, key_b long, "
-                                      "halves array<long>")
+                                      "halves array<long>, bits array<long>")
             .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -160,7 +105,7 @@ def _shared_halves(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
               .agg(F.count("*").alias("n"), F.min("component").alias("least"),
                    F.max("component").alias("most")).where("least < most")
               .select("half", "value", "n"))
-    side = lambda first: F.array_compact(F.collect_list(F.when(
+    side = lambda first: F.array_compact(F.collect_set(F.when(
         first, F.struct("half", "value"))))
     return (halves.join(shared, ["half", "value"]).groupBy("node")
             .agg(F.min("component").alias("component"), F.sum("n").alias("centrality"),
@@ -169,7 +114,7 @@ def _shared_halves(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def _buckets(met: DataFrame, first_pass: bool) -> DataFrame:
-    """(key, node, component, centrality), one row per table of a node.
+    """(key, node, component, centrality, centre, n), one row per table of a node.
 
     Buckets that lie in one component are dropped, and of buckets with the same nodes one is
     kept: close documents share most of their tables. Contents are told apart by counts and sums
@@ -186,148 +131,101 @@ def _buckets(met: DataFrame, first_pass: bool) -> DataFrame:
                  F.max(F.struct("centrality", (-F.col("node")).alias("minus"))).alias("top"))
             .where("least < most").groupBy("n", "x", "s")
             .agg(F.min(F.struct("key", (-F.col("top.minus")).alias("centre"))).alias("k"))
-            .select("k.key", "k.centre"))
+            .select("k.key", "k.centre", "n"))
     return rows.join(kept, "key")
 
 
-def _centred(buckets: DataFrame) -> DataFrame:
-    """Buckets with two members or more, each row with its bucket's centre."""
-    centres = (buckets.groupBy("key")
-               .agg(F.count("*").alias("n"),
-                    F.max(F.struct("centrality", (-F.col("node")).alias("minus"))).alias("top"))
-               .where("n > 1").select("key", (-F.col("top.minus")).alias("centre")))
-    return buckets.join(centres, "key")
-
-
-class _Verifier:
-    """Compares pairs on their whole sets, made anew from the texts that occur in pairs."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame) -> None:
-        self.docs = docs.select("doc_id", "text")
-        self.nodes = nodes
-
-    def __call__(self, pairs: DataFrame, added: bool = False) -> DataFrame:
-        """(node, centre, shared, total, n, missing, added) of the pairs that may be near: sizes
-        of intersection, union and node, how much of the centre it lacks, and what it adds, as
-        32-bit hashes, if it is near. Pairs whose sizes or signatures rule that out are left out."""
-        n = lambda side: self.nodes.select(
-            F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"),
-            F.col("halves").alias(f"halves_{side}"))
-        small, large = F.least("n_node", "n_centre"), F.greatest("n_node", "n_centre")
-        hopeful = stage_via_parquet(
-            pairs.distinct().join(n("node"), "node").join(n("centre"), "centre")
-            .where(small * 100 >= large * NEAR_PERCENT)
-            .where(F.size(F.array_intersect("halves_node", "halves_centre")) >= MIN_EQUAL)
-            .select("node", "centre").distinct())
-        wanted = stage_via_parquet(hopeful.select(F.col("node").alias("doc_id")).union(
-            hopeful.select("centre")).distinct())
-        few = wanted.count() <= BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-        sets = stage_via_parquet(texts.mapInPandas(_sets, "node long, shingles array<long>"))
-        one = sets.select("node", F.col("shingles").alias("s"))
-        other = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("t"))
-        sized = (hopeful.join(one, "node").join(other, "centre")
-                 .withColumn("shared", F.size(F.array_intersect("s", "t")))
-                 .withColumn("n", F.size("s"))
-                 .withColumn("missing", F.size("t") - F.col("shared"))
-                 .withColumn("total", F.col("n") + F.col("missing")))
-        if added:
-            low = F.transform(F.array_except("s", "t"), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-            sized = sized.withColumn("added", F.when(_near(), low))
-        # Rows that share an id may have several texts: their closest pair counts.
-        rest = ["shared", "total", "n", "missing", *(["added"] if added else [])]
-        best = F.max(F.struct((F.col("shared") / F.col("total")).alias("ratio"), *rest))
-        return (sized.groupBy("node", "centre").agg(best.alias("best"))
-                .select("node", "centre", *[f"best.{c}" for c in rest]))
-
-
-def _near() -> Column:
-    return F.col("shared") * 100 >= F.col("total") * NEAR_PERCENT
-
-
-def _linked() -> Column:
-    return F.col("shared") * 100 >= F.col("total") * LINK_PERCENT
-
-
-def find_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect what is linked among ``nodes`` (node, n_shingles, halves)."""
-    verify = _Verifier(docs, nodes)
-    met = stage_via_parquet(_shared_halves(nodes, None))
-    pairs = _buckets(met, True).where("node <> centre").select("node", "centre")
-    links = stage_via_parquet(_as_links(verify(pairs)))
-    parts = stage_via_parquet(connected_components(links))
-    met = stage_via_parquet(_shared_halves(nodes, parts))
-    buckets = stage_via_parquet(_buckets(met, False))
-    linear = buckets.count()
-    while True:
-        members = buckets.where("node <> centre")
-        checked = stage_via_parquet(verify(members.select("node", "centre"), added=True))
-        links = links.unionByName(_as_links(checked))
-        near = checked.where(_near())
-        far = stage_via_parquet(members.join(near.select("node", "centre"), ["node", "centre"], "left_anti")
-                                .select("key", "node", "component", "centrality"))
-        pairs = _by_differences(near.join(met.select("node", "component"), "node"))
-        left = far.groupBy("key").count().agg(
-            F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-        # Both ways find the same links; the rest is done at once when that is linear work.
-        finish = left <= REST_FACTOR * linear
-        if finish and left:
-            pairs = pairs.unionByName(_among(far))
-        links = stage_via_parquet(links.unionByName(_as_links(verify(pairs))))
-        if finish:
-            return links
-        buckets = stage_via_parquet(_centred(far))
-
-
-def _as_links(checked: DataFrame) -> DataFrame:
-    return checked.where(_linked()).select(F.col("node").alias("u"), F.col("centre").alias("v"))
-
-
-def _side(rows: DataFrame, suffix: str, on: list[str]) -> DataFrame:
-    return rows.select(*on, *[F.col(c).alias(c + suffix) for c in rows.columns if c not in on])
-
-
-def _by_differences(near: DataFrame) -> DataFrame:
-    """Pairs (node, centre) of documents near one centre, at least one of them not linked to it,
-    whose differences from it allow a link between different components."""
-    open_centres = stage_via_parquet(near.where(~_linked()).select("centre").distinct())
-    few = open_centres.count() <= BROADCAST_IDS
-    rows = stage_via_parquet(
-        near.join(F.broadcast(open_centres) if few else open_centres, "centre", "left_semi")
-        .select("centre", "node", "component", _linked().alias("linked"), "n", "missing", "added"))
-    sized = rows.withColumn("a", F.size("added")).drop("added")
-    may_differ = (F.col("n_x") + F.col("n_y")) * ((100 - LINK_PERCENT) / (100 + LINK_PERCENT)) + 1e-6
-    differ = F.col("a_x") + F.col("a_y") + F.abs(F.col("missing_x") - F.col("missing_y"))
-    others = (F.col("component_x") != F.col("component_y"))
-
-    # Pairs that share added shingles, met in those that occur in several components.
-    on = ["centre", "shingle"]
-    each = rows.withColumn("a", F.size("added")).withColumn("shingle", F.explode("added")).drop("added")
-    several = (each.groupBy(*on).agg(F.min("component").alias("least"), F.max("component").alias("most"),
-                                     F.every("linked").alias("closed"))
-               .where("least < most and not closed").select(*on))
-    each = each.join(several, on)
-    met = (_side(each.where("not linked"), "_y", on).join(_side(each, "_x", on), on)
-           .where(others & (F.col("linked_x") | (F.col("node_x") < F.col("node_y"))))
-           .groupBy("centre", "node_x", "node_y", "n_x", "n_y", "a_x", "a_y", "missing_x", "missing_y")
-           .agg(F.count("*").alias("o")).where(differ - 2 * F.col("o") <= may_differ))
-
-    # Pairs that need share none: one is shorter than the centre, and both add little.
-    most_added = F.col("n") * ((100 - LINK_PERCENT) / (100 + LINK_PERCENT) * (1 + 100 / LINK_PERCENT))
-    little = sized.where(F.col("a") <= most_added)
-    shorter = little.where("a < missing")
-    unshared = (_side(shorter, "_x", ["centre"]).join(_side(little, "_y", ["centre"]), "centre")
-                .where(others & (~F.col("linked_x") | ~F.col("linked_y")) & (differ <= may_differ)))
-    pair = lambda found: found.select(F.col("node_y").alias("node"), F.col("node_x").alias("centre"))
-    return pair(met).unionByName(pair(unshared))
-
-
-def _among(far: DataFrame) -> DataFrame:
-    """Pairs of different components of one bucket."""
-    far = far.select("key", "node", "component")
-    return (_side(far, "_y", ["key"]).join(_side(far, "_x", ["key"]), "key")
-            .where("node_x < node_y and component_x <> component_y")
-            .select(F.col("node_y").alias("node"), F.col("node_x").alias("centre")))
+def _open_in_blocks(percent: int) -> Callable:
+    """Pairs of one or two blocks, in different components, that sizes and bitmaps leave open."""
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for r in batch.itertuples(index=False):
+                whole = r.other_node is None
+                left = (r.node, r.part, r.size, r.bits)
+                right = left if whole else (r.other_node, r.other_part, r.other_size, r.other_bits)
+                for x in _by_words(left):
+                    for y in _by_words(right):
+                        i, j = _close(x, y, percent)
+                        keep = x[0][i] > y[0][j] if whole else np.ones(len(i), dtype=bool)
+                        found.append(np.stack([x[0][i[keep]], y[0][j[keep]]]))
+            rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pd.DataFrame({"node": rows.max(axis=0), "centre": rows.min(axis=0)})
+
+    return pairs
+
+
+def _by_words(block: tuple) -> Iterator[tuple]:
+    """The members of a block by the length of their bitmaps, which become one array each."""
+    node, part, size, bits = block
+    words = np.array([len(b) for b in bits])
+    for n in np.unique(words):
+        at = np.flatnonzero(words == n)
+        yield node[at], part[at], size[at], np.stack([bits[i] for i in at])
+
+
+def _close(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of different components whose sizes and bitmaps allow a link."""
+    i, j = np.nonzero((x[1][:, None] != y[1][None])
+                      & (np.minimum(x[2][:, None], y[2][None]) * 100
+                         >= np.maximum(x[2][:, None], y[2][None]) * percent))
+    words = min(x[3].shape[1], y[3].shape[1])
+    x_bits, y_bits = folded(x[3], words), folded(y[3], words)
+    kept, step = [], max(1, WORDS_AT_ONCE // words)
+    for at in range(0, len(i), step):
+        a, b = i[at:at + step], j[at:at + step]
+        allowed = x[2][a] + y[2][b] - 2 * alpha(x[2][a], y[2][b], percent)
+        kept.append(unequal_bits(x_bits[a], y_bits[b]) <= allowed)
+    ok = np.concatenate(kept) if kept else np.zeros(0, dtype=bool)
+    return i[ok], j[ok]
+
+
+def _open_pairs(buckets: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, centre) of different components in one bucket that bitmaps leave open."""
+    part = lambda c: F.coalesce("component", c)
+    own = (buckets.select("key", "node", "n", "centre").join(parts, "node", "left")
+           .select("key", "node", "n", "centre", part("node").alias("part")))
+    spread = (own.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"),
+                                     F.first("centre").alias("centre"))
+              .where("least < most").join(parts.withColumnRenamed("node", "centre"), "centre", "left")
+              .select("key", part("centre").alias("home")))
+    one = F.col("n") <= BLOCK
+    rows = (own.join(spread, "key").join(nodes.select("node", F.col("n").alias("size"), "bits"), "node")
+            .select("key", "n", "node", "part", "size", "bits",
+                    F.when(one, False).otherwise(F.col("part") == F.col("home")).alias("at_home"),
+                    F.when(one, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).alias("chunk")))
+    lists = ["node", "part", "size", "bits"]
+    blocks = stage_via_parquet(rows.groupBy("key", "n", "at_home", "chunk").agg(
+        *[F.collect_list(c).alias(c) for c in lists],
+        F.min("part").alias("p_least"), F.max("part").alias("p_most"),
+        F.min("size").alias("s_least"), F.max("size").alias("s_most")))
+    types = dict(blocks.dtypes)
+    alone = blocks.where("p_least < p_most").select(
+        *lists, *[F.lit(None).cast(types[c]).alias(f"other_{c}") for c in lists])
+    many = blocks.where(F.col("n") > BLOCK)
+    other = many.select("key", *[F.col(c).alias(f"other_{c}") for c in many.columns if c != "key"])
+    place = lambda s: F.struct(F.col(f"{s}at_home").alias("at_home"), F.col(f"{s}chunk").alias("chunk"))
+    cross = (many.join(other, "key").where(place("") < place("other_"))
+             .where(~(F.col("at_home") & F.col("other_at_home")))
+             .where(F.least("p_least", "other_p_least") < F.greatest("p_most", "other_p_most"))
+             .where((F.col("s_most") * 100 >= F.col("other_s_least") * percent)
+                    & (F.col("other_s_most") * 100 >= F.col("s_least") * percent))
+             .select(*lists, *[f"other_{c}" for c in lists]))
+    return alone.unionByName(cross).mapInPandas(_open_in_blocks(percent), "node long, centre long").distinct()
+
+
+def find_links(docs: DataFrame, nodes: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+    """Links (u, v) that connect what is linked among ``nodes`` (node, n, halves, bits)."""
+    compare = Compare(docs, nodes, percent)
+    links, parts = None, None
+    for first in (True, False):
+        met = stage_via_parquet(_shared_halves(nodes, parts))
+        buckets = stage_via_parquet(_buckets(met, first))
+        found = as_links(compare(buckets.where("node <> centre").select("node", "centre").distinct()))
+        links = stage_via_parquet(found if links is None else links.unionByName(found))
+        parts = stage_via_parquet(connected_components(links))
+    opened = stage_via_parquet(_open_pairs(buckets, nodes, parts, percent))
+    return stage_via_parquet(links.unionByName(as_links(compare(opened))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -335,24 +233,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one node, its smallest doc_id; copies are never compared. Documents without
     words are linked with nothing, and neither are rows whose doc_id is null (component null).
-    Repeated rows stay, each with the same answer.
+    Rows that share a doc_id are one document, which links by any of its texts; repeated rows
+    stay, each with the same answer. An empty table gives no rows.
     """
     signed = stage_via_parquet(signatures(docs))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    same = ["key_a", "key_b", "n_shingles"]
-    groups = stage_via_parquet(filled.groupBy(*same).agg(F.min("doc_id").alias("node")))
-    nodes = stage_via_parquet(filled.join(groups.withColumnRenamed("node", "doc_id"), [*same, "doc_id"])
-             .select(F.col("doc_id").alias("node"), "n_shingles", "halves")
-             .dropDuplicates(["node"]))
-    parts = connected_components(find_links(docs, nodes))
-    named = (groups.join(parts, "node", "left")
-             .select(*same, F.coalesce("component", "node").alias("component_id")))
-    # A group of copies may hold a third of all rows: spread it over salts before the join.
-    salts = 16
-    salted = signed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    spread = named.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return (salted.join(spread, [*same, "_salt"], "left")
-            .select("doc_id", "n_shingles", component.alias("component_id"), "text_key")
-            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    nodes = stage_via_parquet(filled.groupBy(*SET).agg(
+        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("halves").alias("halves"),
+        F.first("bits").alias("bits")).withColumn("n", F.col("n_shingles")))
+    classes = nodes.select(*SET, "node", "copies")
+    links = find_links(docs, nodes).unionByName(tied_texts(filled, classes))
+    named = stage_via_parquet(
+        classes.join(connected_components(links), "node", "left")
+        .select(*SET, "copies", F.coalesce("component", "node").alias("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id", "text_key"]
+    apart = (signed.where("n_shingles = 0 or doc_id is null")
+             .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
+    rows = signed.select("doc_id", *SET, "text_key").where("n_shingles > 0 and doc_id is not null")
+    return (join_hot(rows, named, SET, "copies").select(*columns).unionByName(apart)
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.llm.components import connected_components
-from paneltide.llm.minhash_dedup import shingle_sets
+from paneltide.llm.shingles import (SET, Compare, alpha, as_links, bitmap, join_hot, links, set_keys,
+                                    texts_and_sets, tied_texts)
 from paneltide.sources.io import stage_via_parquet
 
 LINK_PERCENT = 90
-TEXTS_AT_ONCE = 64
 #: At most so many common shingles are told apart by their counts (12 MB in each Python worker).
 COMMON = 2 ** 20
 LEAST_COMMON = 8
@@ -48,15 +48,6 @@ SLOTS_AT_ONCE = 500_000
 LEADER_FROM = 16
 #: Entries of one block of an index list.
 BLOCK = 512
-#: Keys with more rows than this are joined by a broadcast, if they are few, not by a shuffle.
-HOT = 10_000
-BROADCAST_HOT = 100_000
-#: A list of this many ids is some 10 MB as a broadcast table; longer ones are shuffled.
-BROADCAST_IDS = 500_000
-SALTS = 8
-
-_SET = ["key_a", "key_b", "n_shingles"]
-
 
 # Sets, in Python workers.
 
@@ -75,21 +66,6 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(32)).astype(np.uint32)
 
 
-def _keys(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, from sums over their hashes."""
-    first = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    second = (s ^ (s >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    mixed = [(x ^ (x >> np.uint64(31))).sum(dtype=np.uint64) for x in (first, second)]
-    return tuple(int(x.view(np.int64)) for x in mixed)
-
-
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for batch in batches:
-        for at in range(0, len(batch), TEXTS_AT_ONCE):
-            part = batch.iloc[at:at + TEXTS_AT_ONCE]
-            yield part, shingle_sets(part["text"].fillna("").tolist())
-
-
 def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of documents, and among them rows that hold the slots of many shingles."""
     held, n_held = [], 0
@@ -98,8 +74,8 @@ def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"doc_id": [None], "n_shingles": [None], "key_a": [None], "key_b": [None],
                              "slots": [_packed(np.sort(np.concatenate(held)))]})
 
-    for part, sets in _texts(batches):
-        keys = [_keys(s) for s in sets]
+    for part, sets in texts_and_sets(batches):
+        keys = [set_keys(s) for s in sets]
         yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets],
                             "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys], "slots": None})
         held.append(_slots(np.concatenate(sets)))
@@ -111,28 +87,6 @@ def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def alpha(n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
-    """The least intersection of linked sets of these sizes."""
-    return -(-percent * (n_x + n_y) // (100 + percent))
-
-
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """One parity bit for each of 2**k places, at least as many as the set has members."""
-    bits = max(64, 1 << (len(s) - 1).bit_length())
-    counts = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def unequal_bits(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the number of members that only one of two sets has."""
-    if len(a) < len(b):
-        a, b = b, a
-    while len(a) > len(b):
-        half = len(a) // 2
-        a = a[:half] ^ a[half:]
-    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
-
-
 def prefixes(sets: list[np.ndarray], slots: np.ndarray, counts: np.ndarray,
              percent: int) -> list[np.ndarray]:
     """The prefix of each non-empty set. ``slots`` (sorted) are common, ``counts`` times each."""
@@ -178,17 +132,6 @@ def _common_shingles(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return (found.column("slot").to_numpy().astype(np.uint32), found.column("n").to_numpy())
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join on a unique key of ``right``, whose column ``weight`` has the rows of a key in
-    ``left``. Keys of more than ``HOT`` rows don't go through the shuffle. Both must be staged."""
-    hot = right.where(F.col(weight) > HOT)
-    n_hot = hot.count()
-    if not 0 < n_hot <= BROADCAST_HOT:
-        return left.join(right, on)
-    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(weight) <= HOT), on)
-    return left.join(F.broadcast(hot), on).unionByName(cold)
-
-
 def _index(docs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     """(node, n, tokens, bits): each different set, with its prefix and parity bitmap. A doc_id on
     rows of several texts is a node of several sets."""
@@ -196,11 +139,11 @@ def _index(docs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     common = spark.sparkContext.broadcast(_common_shingles(sized))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, sets in _texts(batches):
+        for part, sets in texts_and_sets(batches):
             some = [i for i, s in enumerate(sets) if len(s)]
             if some:
                 sets = [sets[i] for i in some]
-                keys = [_keys(s) for s in sets]
+                keys = [set_keys(s) for s in sets]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].to_numpy()[some], "n_shingles": [len(s) for s in sets],
                     "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys],
@@ -208,7 +151,7 @@ def _index(docs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
 
     rows = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(
         index, "doc_id long, n_shingles long, key_a long, key_b long, tokens array<long>, bits array<long>")
-    return stage_via_parquet(rows.groupBy(*_SET).agg(
+    return stage_via_parquet(rows.groupBy(*SET).agg(
         F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
         .withColumnRenamed("n_shingles", "n"))
 
@@ -219,66 +162,7 @@ def _may_link(percent: int, n_x: Column, at_x: Column, n_y: Column, at_y: Column
             & (F.least(n_x - at_x, n_y - at_y) >= least))
 
 
-# Comparison on whole sets and on differences.
-
-class _Compare:
-    """Compares pairs (node, centre) on their whole sets, made anew from the texts in pairs."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int) -> None:
-        self.docs, self.nodes, self.percent = docs.where("doc_id is not null"), nodes, percent
-
-    def hopeful(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose bitmaps allow a link."""
-        percent = self.percent
-
-        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                n_x, n_y = batch["n_x"].to_numpy(), batch["n_y"].to_numpy()
-                allowed = n_x + n_y - 2 * alpha(n_x, n_y, percent)
-                apart = [unequal_bits(a, b) for a, b in zip(batch["bits_x"], batch["bits_y"], strict=True)]
-                yield batch.loc[np.array(apart, dtype=np.int64) <= allowed, ["node", "centre"]]
-
-        side = lambda name, s: self.nodes.select(
-            F.col("node").alias(name), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-        return (pairs.join(side("node", "x"), "node").join(side("centre", "y"), "centre")
-                .mapInPandas(test, "node long, centre long").distinct())
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(node, centre, n, linked, apart): ``apart`` is what only one of the two sets has."""
-        pairs = stage_via_parquet(self.hopeful(pairs))
-        wanted = stage_via_parquet(pairs.select(F.col("node").alias("doc_id")).union(pairs.select("centre")).distinct())
-        few = wanted.count() <= BROADCAST_IDS
-        texts = self.docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-        # Repeated rows would multiply the pairs.
-        sets = stage_via_parquet(texts.mapInPandas(_whole, "node long, key_a long, key_b long, s array<long>")
-                                 .where("size(s) > 0").groupBy("node", "key_a", "key_b")
-                                 .agg(F.first("s").alias("s")).select("node", "s"))
-        # A leader may be in any share of the pairs: its set is laid out for several tasks.
-        centres = sets.join(pairs.select(F.col("centre").alias("node")).distinct(), "node", "left_semi").select(
-            F.col("node").alias("centre"), F.col("s").alias("t"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        both = (pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-                .join(sets, "node").join(centres, ["centre", "salt"])
-                .withColumn("apart", F.array_union(F.array_except("s", "t"), F.array_except("t", "s"))))
-        return both.select("node", "centre", F.size("s").alias("n"), self.links(
-            F.size("s"), F.size("t"), F.size("apart")).alias("linked"), "apart")
-
-    def links(self, n_x: Column, n_y: Column, apart: Column) -> Column:
-        """Whether sets of these sizes, so much apart, link: all in whole numbers."""
-        shared, union = (n_x + n_y - apart), (n_x + n_y + apart)
-        return shared * 100 >= union * self.percent
-
-
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part, sets in _texts(batches):
-        keys = [_keys(s) for s in sets]
-        yield pd.DataFrame({"node": part["doc_id"].to_numpy(), "key_a": [k[0] for k in keys],
-                            "key_b": [k[1] for k in keys], "s": [s.view(np.int64) for s in sets]})
-
-
-def _as_links(compared: DataFrame) -> DataFrame:
-    return compared.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-
+# Comparison by blocks and by differences.
 
 def _block_pairs(percent: int):
     """Pairs of one or two blocks that their positions, sizes and components leave open."""
@@ -363,7 +247,7 @@ def _differences(compared: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def find_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) that connect whatever links among the sets of ``nodes``."""
-    compare = _Compare(docs, nodes, percent)
+    compare = Compare(docs, nodes, percent)
     entries = nodes.select("node", "n", F.posexplode("tokens").alias("at", "token")).withColumn(
         "at", F.col("at").cast("long"))
     sizes = stage_via_parquet(entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"))
@@ -378,8 +262,8 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
              .where(_may_link(percent, F.col("n"), F.col("at"), F.col("n_l"), F.col("at_l")))
              .select("node", F.col("leader").alias("centre")).distinct())
     compared = stage_via_parquet(compare(pairs))
-    links = stage_via_parquet(_as_links(compared))
-    parts = stage_via_parquet(connected_components(links))
+    found = stage_via_parquet(as_links(compared))
+    parts = stage_via_parquet(connected_components(found))
 
     # Then what blocks leave open: by differences from a common leader, else by whole sets.
     opened = stage_via_parquet(_open_pairs(listed, leaders, parts, percent))
@@ -390,9 +274,9 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     known = (opened.join(side("node", "x"), "node", "left").join(side("centre", "y"), "centre", "left")
              .withColumn("derived", F.coalesce(F.col("leader_x") == F.col("leader_y"), F.lit(False))))
     between = (F.size("apart_x") + F.size("apart_y") - 2 * F.size(F.array_intersect("apart_x", "apart_y")))
-    derived = known.where("derived").withColumn("linked", compare.links(F.col("n_x"), F.col("n_y"), between))
+    derived = known.where("derived").withColumn("linked", links(F.col("n_x"), F.col("n_y"), between, percent))
     rest = known.where("not derived").select("node", "centre")
-    return (links.unionByName(_as_links(derived)).unionByName(_as_links(compare(rest))))
+    return found.unionByName(as_links(derived)).unionByName(as_links(compare(rest)))
 
 
 def jaccard_components(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
@@ -408,18 +292,12 @@ def jaccard_components(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFram
         .withColumn("doc_id", F.col("doc_id").cast("long")))
     rows = sized.where("slots is null").drop("slots")
     nodes = _index(docs, sized, percent)
-    links = find_links(docs, nodes, percent)
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stage_via_parquet(
-        filled.groupBy(*_SET).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    # One document with several texts ties their sets together.
-    several = (filled.distinct().groupBy("doc_id").agg(F.count("*").alias("texts"))
-               .where("texts > 1").select("doc_id"))
-    ties = (filled.join(several, "doc_id", "left_semi").join(classes, _SET)
-            .select(F.col("doc_id").alias("u"), F.col("node").alias("v")).where("u <> v"))
-    parts = connected_components(links.unionByName(ties))
+        filled.groupBy(*SET).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    parts = connected_components(find_links(docs, nodes, percent).unionByName(tied_texts(filled, classes)))
     named = stage_via_parquet(classes.join(parts, "node", "left")
-                              .select(*_SET, "copies", F.coalesce("component", "node").alias("component_id")))
+                              .select(*SET, "copies", F.coalesce("component", "node").alias("component_id")))
     apart = rows.where("n_shingles = 0 or doc_id is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return join_hot(filled, named, _SET, "copies").select("doc_id", "n_shingles", "component_id").unionByName(apart)
+    return join_hot(filled, named, SET, "copies").select("doc_id", "n_shingles", "component_id").unionByName(apart)

@@ -53,10 +53,9 @@ def near_cases():
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("finish", [True, False])
-def test_components_equal_brute_force(spark, monkeypatch, finish):
-    if not finish:      # every bucket goes through rounds until nothing is left
-        monkeypatch.setattr(minhash_dedup, "REST_FACTOR", 0)
+@pytest.mark.parametrize("block", [minhash_dedup.BLOCK, 8])
+def test_components_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)      # a small one: pairs of blocks
     rows = near_cases()
     docs = documents(spark, [*rows, rows[0], (None, "a b c"), (None, None)])
     got = near_duplicates(docs).collect()
@@ -70,6 +69,13 @@ def test_components_equal_brute_force(spark, monkeypatch, finish):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_one_id_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    got = near_duplicates(documents(spark, [(5, a), (5, b), (9, a), (7, b + " more"), (8, "else where")])).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {
+        (5, 5, True), (9, 5, False), (7, 5, False), (8, 8, True)}
+
+
 def test_no_documents(spark):
     assert near_duplicates(documents(spark, [(1, "")]).limit(0)).collect() == []
     assert near_duplicates(documents(spark, [(7, None)])).first().component_id == 7

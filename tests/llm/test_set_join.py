@@ -5,8 +5,9 @@ import random
 import numpy as np
 from brute import components
 
-from paneltide.llm import set_join
-from paneltide.llm.set_join import _packed, _unpacked, bitmap, jaccard_components, unequal_bits
+from paneltide.llm import set_join, shingles
+from paneltide.llm.set_join import _packed, _unpacked, jaccard_components
+from paneltide.llm.shingles import bitmap, unequal_bits
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -40,10 +41,10 @@ def test_all_components_are_found(spark, monkeypatch):
     extra = [(None, rows[0][1], "c"), (None, None, "c"), rows[1], rows[1]]
     table = spark.createDataFrame([*rows, *extra], SCHEMA).repartition(6)
     # Long lists, several blocks and hot keys at any size; then the usual limits.
-    for leader, block, hot in ((3, 16, 20), (set_join.LEADER_FROM, set_join.BLOCK, set_join.HOT)):
+    for leader, block, hot in ((3, 16, 20), (set_join.LEADER_FROM, set_join.BLOCK, shingles.HOT)):
         monkeypatch.setattr(set_join, "LEADER_FROM", leader)
         monkeypatch.setattr(set_join, "BLOCK", block)
-        monkeypatch.setattr(set_join, "HOT", hot)
+        monkeypatch.setattr(shingles, "HOT", hot)
         got = jaccard_components(table).collect()
         assert len(got) == len(rows) + len(extra)
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {
