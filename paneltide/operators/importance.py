@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from paneltide.functions.columns import select_from_table
+from paneltide.operators.forest import SMALL_ROWS, impurity_decreases
 
 # Trees, seed and number of selected features.
 TREES = 100
@@ -17,25 +17,21 @@ TOP_K = 20
 
 
 def forest_importance(df: DataFrame, cols: Sequence[str], label: str = "pseudo_label",
-                      trees: int = TREES, seed: int = SEED, max_depth: int = 10,
-                      partitions: int = 16, memory_mb: int = 1024) -> DataFrame:
+                      trees: int = TREES, seed: int = SEED, key: Sequence[str] = (),
+                      small_rows: int = SMALL_ROWS) -> DataFrame:
     """Impurity importance of each feature in a random forest: (feature, importance).
 
-    Reads ``df`` several times, so pass a staged table. ``max_depth`` (30 at most) bounds the
-    trees. Rows are dealt by a hash of their values over ``partitions`` and sorted in each, so
-    the result depends on neither the input's partitions nor the number of cores. A level of
-    the trees takes one pass as long as its statistics fit in ``memory_mb``.
+    Trees grow until their leaves are pure. Each tree's decreases are taken as shares of its sum;
+    the importance is their mean over the trees, and 0 for all features if nothing can be split.
+    Reads ``df`` several times, so pass a staged table. The result depends on neither the input's
+    partitions nor the number of cores.
     """
-    assembled = VectorAssembler(inputCols=list(cols), outputCol="features").transform(
-        df.select(F.col(label).cast("double").alias("label"),
-                  *[F.col(c).cast("double").alias(c) for c in cols]))
-    forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth,
-                                    featureSubsetStrategy="sqrt", maxMemoryInMB=memory_mb)
-    row = F.xxhash64("label", *cols)
-    rows_in = (assembled.repartition(partitions, row).sortWithinPartitions("label", *cols)
-               .select("label", "features"))
-    model = forest.fit(rows_in)
-    rows = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
+    found = impurity_decreases(df, cols, label, trees, seed, key, small_rows)
+    sums = found.sum(axis=1, keepdims=True)
+    shares = np.divide(found, sums, out=np.zeros_like(found), where=sums > 0).mean(axis=0)
+    if shares.sum() > 0:
+        shares = shares / shares.sum()
+    rows = [(c, float(v)) for c, v in zip(cols, shares, strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
