@@ -68,13 +68,18 @@ def reconstruction_score(windows: DataFrame, model: Reconstruction,
         offsets = np.arange(len(x) + 1, dtype=np.int32) * width
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(per.ravel()))
 
-    width = len(model.indicators)
-    names = F.array(*[F.lit(c) for c in model.indicators])
+    return add_errors(windows, squared(F.col(features)), model.indicators, model.length, name)
+
+
+def add_errors(windows: DataFrame, squared: Column, indicators: Sequence[str], length: int,
+               name: str = "error") -> DataFrame:
+    """Add error, worst indicator and shares, given each indicator's squared error of a window."""
+    names = F.array(*[F.lit(c) for c in indicators])
     total = F.aggregate("__sq", F.lit(0.0), lambda a, b: a + b)
     parts: Column = F.transform("__sq", lambda s: F.coalesce(F.try_divide(s, total), F.lit(0.0)))
-    return (windows.withColumn("__sq", squared(F.col(features)))
+    return (windows.withColumn("__sq", squared)
                    .withColumns({
-                       name: total / (model.length * width),
+                       name: total / (length * len(indicators)),
                        f"{name}_indicator": F.element_at(
                            names, F.array_position("__sq", F.array_max("__sq")).cast("int")),
                        f"{name}_share": F.map_from_arrays(names, parts)})
