@@ -30,14 +30,21 @@ def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])))
 
 
+def every_column(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, x) with a null for each column: keeps the group of a column of an empty table."""
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    return names.select("feature", F.lit(None).cast("double").alias("x"))
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float], exact: bool = True,
                    max_rows: int = MAX_EXACT_ROWS,
                    max_bracket: int = MAX_BRACKET_ROWS) -> DataFrame:
     """(feature, values): per column an array with its quantiles in the order of ``qs``.
 
-    With ``exact`` the input is read more than once; pass a staged table.
+    With ``exact`` the input is read more than once; pass a staged table. A column without values
+    has a row of null.
     """
-    values = long_values(df, cols)
+    values = long_values(df, cols).unionByName(every_column(df, cols))
     if not exact:
         found = F.percentile_approx("x", [float(q) for q in qs], ACCURACY)
         return values.groupBy("feature").agg(found.alias("values"))

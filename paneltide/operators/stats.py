@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from itertools import combinations
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions.columns import names_from_table
-from paneltide.operators.quantiles import long_values, quantile_table
+from paneltide.operators.quantiles import every_column, long_values, quantile_table
 
 # Thresholds of the feature filter.
 HIGH_CORRELATION = 0.9
@@ -22,6 +19,13 @@ LOW_VARIANCE = 0.01
 # Up to here columns are aggregated side by side; beyond, in long form.
 MAX_WIDE_COLUMNS = 20
 
+# Columns of one block of the matrix of products, and the bytes of blocks a task may add up.
+GRAM_BLOCK = 128
+GRAM_BYTES = 256 << 20
+# Rows multiplied at once, and shares in which the blocks of all tasks are added up first.
+GRAM_ROWS = 4096
+GRAM_SHARES = 16
+
 
 def per_column(df: DataFrame, cols: Sequence[str],
                 stats: dict[str, Callable[[str], Column]]) -> DataFrame:
@@ -34,8 +38,7 @@ def per_column(df: DataFrame, cols: Sequence[str],
     cols = list(cols)
     if len(cols) > MAX_WIDE_COLUMNS:
         # One row without a value per column keeps the group of a column of an empty table.
-        none = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string").select(
-            "feature", F.lit(None).cast("double").alias("x"), F.lit(False).alias("real"))
+        none = every_column(df, cols).withColumn("real", F.lit(False))
         rows = long_values(df, cols).withColumn("real", F.lit(True)).unionByName(none)
         return rows.groupBy("feature").agg(*[f("x").alias(n) for n, f in stats.items()])
     df = df.select(*[F.col(c).cast("double").alias(c) for c in cols],
@@ -72,7 +75,8 @@ def sample_count(df: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFr
 
 def describe_table(df: DataFrame, cols: Sequence[str] | None = None,
                    exact: bool = True) -> DataFrame:
-    """Count, nulls, mean, deviation, bounds and quartiles; one row per column.
+    """Count, nulls, mean, deviation, bounds and quartiles; one row per column, also of a table
+    without rows.
 
     Numeric columns fill the numeric bounds, other columns the text bounds.
     """
@@ -93,11 +97,13 @@ def describe_table(df: DataFrame, cols: Sequence[str] | None = None,
     if others:
         # Date and text order agree, so bounds may be taken on text.
         text = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("t"))
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("t"), F.lit(True).alias("real"))
             for c in others])))
         none = F.lit(None).cast("double")
+        text = text.unionByName(every_column(df, others).select(
+            "feature", F.lit(None).cast("string").alias("t"), F.lit(False).alias("real")))
         parts.append(text.groupBy("feature").agg(
-            F.count("t").alias("count"), F.count_if(F.col("t").isNull()).alias("nulls"),
+            F.count("t").alias("count"), F.count_if(F.col("t").isNull() & F.col("real")).alias("nulls"),
             F.min("t").alias("min_text"), F.max("t").alias("max_text")).select(
             "feature", "count", "nulls", *[none.alias(n) for n in ("mean", "std", "min", "max")],
             "min_text", "max_text", *[none.alias(n) for n in ("q25", "q50", "q75")]))
@@ -107,56 +113,122 @@ def describe_table(df: DataFrame, cols: Sequence[str] | None = None,
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r of every ordered pair over the rows where both are present.
 
-    Rows (col_a, col_b, r, n); r is null where a column is constant on the shared rows.
+    Rows (col_a, col_b, r, n); r is null where a column is constant on the shared rows. Values are
+    centred and scaled by column, so that products keep their digits. Each task multiplies its
+    Arrow batches block by block of ``GRAM_BLOCK`` columns; the blocks of all tasks are added up by
+    block, one at a time in memory, and turned into pairs where they are added.
     """
     cols = list(cols)
-    upper = _from_gram(df, cols)
-    mirrored = upper.where("col_a <> col_b").select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r", "n")
-    return upper.unionByName(mirrored)
-
-
-def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
-    return [*((c, c) for c in cols), *combinations(cols, 2)]
-
-
-def _from_gram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All pairs from one pass over three parts per column: present, value, square.
-
-    With values centred on the column mean and zero where absent, the Gram matrix of the
-    joined vector holds the count, the sums, the squares and the cross product of each
-    pair over its shared rows. The matrix has (3 x columns) squared entries, whatever the
-    number of rows.
-    """
-    p = len(cols)
-    row = df.agg(*[F.avg(c).alias(c) for c in cols], *[F.stddev_pop(c).alias(f"{c}__s")
-                                                       for c in cols]).first()
-    mean = {c: row[c] or 0.0 for c in cols}
-    scale = {c: row[f"{c}__s"] or 1.0 for c in cols}
-    centred = [((F.col(c).cast("double") - mean[c]) / scale[c]) for c in cols]
-    parts = df.select(
-        *[F.col(c).isNotNull().cast("double").alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.coalesce(x, F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(centred)],
-        *[F.coalesce(x * x, F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(centred)])
-    vectors = VectorAssembler(inputCols=parts.columns, outputCol="v").transform(parts).select("v")
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")) \
-        .computeGramianMatrix().toArray()
-    n = gram[:p, :p]
-    sum_a, sq_a = gram[p:2 * p, :p], gram[2 * p:, :p]
-    cross = gram[p:2 * p, p:2 * p]
+    moments = {r["feature"]: r for r in per_column(df, cols, {
+        "mean": F.avg, "scale": F.stddev_pop}).collect()}       # one row per column
+    values = df.select(*[
+        ((F.col(c).cast("double") - (moments[c]["mean"] or 0.0)) / (moments[c]["scale"] or 1.0)).alias(f"x{i}")
+        for i, c in enumerate(cols)])
+    blocks = values.mapInArrow(_block_products(len(cols)), _BLOCK_SCHEMA)
+    for share in ("share", None):
+        keys = ["a", "b", *([share] if share else [])]
+        blocks = (blocks.repartition(*keys).sortWithinPartitions(*keys)
+                  .mapInArrow(_added_up(None if share else cols),
+                              _BLOCK_SCHEMA if share else "col_a string, col_b string, r double, n bigint"))
+    return blocks
+
+
+# Products of the columns of block a with those of block b: rows where both are present, sums and
+# squares of either over those rows, and the cross products, one after the other.
+_BLOCK_SCHEMA = "a int, b int, share int, products array<double>"
+_PRODUCTS = 6
+
+
+def _block_products(p: int) -> Callable:
+    n_blocks = -(-p // GRAM_BLOCK)
+    pairs = [(a, b) for a in range(n_blocks) for b in range(a, n_blocks)]
+    room = max(1, GRAM_BYTES // (8 * _PRODUCTS * GRAM_BLOCK ** 2))
+
+    def block(x: np.ndarray, k: int) -> np.ndarray:
+        return x[:, k * GRAM_BLOCK:(k + 1) * GRAM_BLOCK]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        share = TaskContext.get().partitionId() % GRAM_SHARES
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (a, b), products in held.items():
+                yield _block_row(a, b, share, products)
+            held.clear()
+
+        for batch in batches:
+            for at in range(0, len(batch), GRAM_ROWS):
+                columns = [c.slice(at, GRAM_ROWS) for c in batch.columns]
+                there = np.stack([np.asarray(c.is_valid()) for c in columns], axis=1).astype(float)
+                x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+                squares = x * x
+                for a, b in pairs:
+                    m_a, m_b = block(there, a), block(there, b)
+                    new = np.stack([m_a.T @ m_b, block(x, a).T @ m_b, m_a.T @ block(x, b),
+                                    block(squares, a).T @ m_b, m_a.T @ block(squares, b),
+                                    block(x, a).T @ block(x, b)])
+                    held[a, b] = held[a, b] + new if (a, b) in held else new
+                    if len(held) > room:
+                        yield from flush()
+        yield from flush()
+
+    return multiply
+
+
+def _block_row(a: int, b: int, share: int, products: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([a], pa.int32()), pa.array([b], pa.int32()), pa.array([share], pa.int32()),
+         pa.array([products.ravel()], pa.list_(pa.float64()))], names=["a", "b", "share", "products"])
+
+
+def _added_up(cols: Sequence[str] | None) -> Callable:
+    """Adds up equal blocks of sorted rows: to one row each, or to pairs of ``cols``."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def done() -> pa.RecordBatch:
+            return _block_row(*key, total) if cols is None else _pair_rows(cols, key[0], key[1], total)
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "share")), strict=True)
+            for i, own in enumerate(keys):
+                own = own if cols is None else (*own[:2], 0)
+                products = batch.column("products")[i].values.to_numpy(zero_copy_only=False)
+                if own == key:
+                    total = total + products
+                else:
+                    if key is not None:
+                        yield done()
+                    key, total = own, products
+        if key is not None:
+            yield done()
+
+    return add
+
+
+def _pair_rows(cols: Sequence[str], a: int, b: int, products: np.ndarray) -> pa.RecordBatch:
+    """Both orders of the pairs of two blocks, a pair of a column with itself once."""
+    left, right = (np.arange(k * GRAM_BLOCK, min((k + 1) * GRAM_BLOCK, len(cols))) for k in (a, b))
+    n, sum_a, sum_b, sq_a, sq_b, cross = products.reshape(_PRODUCTS, len(left), len(right))
     with np.errstate(divide="ignore", invalid="ignore"):
-        cov = cross - sum_a * sum_a.T / n
-        var_a = sq_a - sum_a * sum_a / n
+        var_a, var_b = sq_a - sum_a * sum_a / n, sq_b - sum_b * sum_b / n
         # Rounding leaves a tiny positive rest where a column is constant on shared rows.
-        constant = (var_a <= 1e-12 * np.maximum(sq_a, 1e-300)) | (n < 2)
-        r = cov / np.sqrt(var_a * var_a.T)
-    r[constant | constant.T] = np.nan
-    np.fill_diagonal(r, np.where(np.isnan(np.diag(r)), np.nan, 1.0))
-    where = {c: i for i, c in enumerate(cols)}
-    rows = [(a, b, None if np.isnan(v) else float(v), int(n[i, j]))
-            for a, b in _pairs(cols)
-            for i, j in [(where[a], where[b])] for v in [r[i, j]]]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double, n bigint")
+        constant = ((var_a <= 1e-12 * np.maximum(sq_a, 1e-300)) | (var_b <= 1e-12 * np.maximum(sq_b, 1e-300))
+                    | (n < 2))
+        r = (cross - sum_a * sum_b / n) / np.sqrt(var_a * var_b)
+    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+    r, none, n = np.where(i == j, 1.0, r.ravel()), (constant.ravel() | np.isnan(r.ravel())), n.ravel()
+    upper = i <= j if a == b else np.ones(len(i), dtype=bool)
+    i, j, r, none, n = i[upper], j[upper], r[upper], none[upper], n[upper]
+    other = i != j
+    names = pa.array(cols, pa.string())
+    take = lambda x, y: names.take(pa.array(np.concatenate([x, y[other]])))
+    return pa.RecordBatch.from_arrays(
+        [take(i, j), take(j, i), pa.array(np.concatenate([r, r[other]]), pa.float64(),
+                                         mask=np.concatenate([none, none[other]])),
+         pa.array(np.concatenate([n, n[other]]).astype(np.int64))], names=["col_a", "col_b", "r", "n"])
 
 
 def high_corr_pairs(correlations: DataFrame, threshold: float = HIGH_CORRELATION) -> DataFrame:
