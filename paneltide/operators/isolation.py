@@ -52,34 +52,29 @@ def tree_samples(df: DataFrame, key: Sequence[str], cols: Sequence[str], trees:
                  rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """(tree, draw, x): ``rows`` rows per tree without replacement, chosen by hashes.
 
-    A pool of at most trees x rows rows is drawn from the table by one hash of the key.
-    A full pool is dealt out to the trees; from a smaller one, which is the whole table,
-    each tree takes the rows with its lowest hashes. ``key`` names
-    columns that identify a row; the choice then depends on keys and seed, not on how the
-    table is partitioned. Pool and samples have a fixed size, whatever the size of the
-    table.
+    Each tree takes the rows with the lowest hashes of (tree, row), so every tree has a sample of
+    its own, drawn in the same way from a table of any size. Rows whose hash is over twice the
+    share that is needed on average are dropped where they are read; should a tree get too few
+    that way, the share is doubled. ``key`` names columns that identify a row; the choice then
+    depends on keys and seed, not on how the table is partitioned.
     """
-    pool_rows = trees * rows
-    ticket = _ticket(key, seed)
-    total = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    # Twice the pool on average: few rows reach the sort, and never too few for a pool
-    # of thousands. A table up to twice the pool takes part in full.
-    likely = F.col("ticket") * total < 2.0 * pool_rows
-    pool = (df.select(ticket.alias("ticket"), F.array(*[F.col(c).cast("double") for c in cols])
-                      .alias("x"))
-              .where(likely).orderBy("ticket", "x").limit(pool_rows))
-    place = F.row_number().over(Window.orderBy("ticket", "x")) - 1
-    pool = checkpoint_stage(pool.withColumn("slot", place))
-    size = pool.count()
-    if size >= pool_rows:
-        # Slots are in random order, so each run of slots is a random sample.
-        return pool.select(F.floor(F.col("slot") / rows).cast("int").alias("tree"),
-                           F.col("slot").alias("draw"), "x")
-    draws = (pool.select("slot", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-                 .withColumn("draw", F.xxhash64(F.lit(seed), "tree", "slot")))
-    order = F.row_number().over(Window.partitionBy("tree").orderBy("draw"))
-    chosen = draws.withColumn("__rank", order).where(F.col("__rank") <= rows)
-    return chosen.join(pool.select("slot", "x"), "slot").select("tree", "draw", "x")
+    ticket = _ticket(key, seed).alias("ticket")
+    x = F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
+    tickets = df.select(ticket, x)
+    total = df.count()
+    share, enough = 2.0 * rows / max(total, 1), min(rows, total)
+    while True:
+        bound = int(min(share, 1.0) * (2 ** 63 - 1))
+        own = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, "ticket"), 1).alias("draw")))
+        drawn = tickets.select("ticket", "x", F.explode(F.filter(own, lambda d: d["draw"] <= bound)).alias("d"))
+        rank = F.row_number().over(Window.partitionBy("d.tree").orderBy("d.draw", "x"))
+        chosen = checkpoint_stage(drawn.withColumn("__rank", rank).where(F.col("__rank") <= rows)
+                                  .select("d.tree", "d.draw", "x"))
+        fewest = chosen.groupBy("tree").count().agg(F.min("count"), F.count("*")).first()
+        if share >= 1.0 or (fewest[1] == trees and fewest[0] >= enough):
+            return chosen
+        share *= 2
 
 
 def _grow(rows: int, seed: int):
@@ -157,26 +152,41 @@ class Forest:
         return Forest(tuple(cols), feature, threshold, path[:, slots // 2:], mean_path(sampled))
 
 
+def _paths(nodes: tuple, x: np.ndarray, trees: Sequence[int]) -> np.ndarray:
+    """(tree, row) path lengths of the rows of x in some of the trees."""
+    feature, threshold, path = nodes
+    levels = int(np.log2(feature.shape[1] + 1)) - 1
+    row, flat = np.arange(len(x)) * x.shape[1], np.ascontiguousarray(x).ravel()
+    out = np.empty((len(trees), len(x)))
+    for i, t in enumerate(trees):
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range(levels):
+            value = flat.take(row + feature[t].take(node))
+            node = 2 * node + 1 + (value > threshold[t].take(node))
+        out[i] = path[t].take(node - (2 ** levels - 1))
+    return out
+
+
 def _scorer(forest: Forest):
     """Function (node arrays, rows x features) -> scores (lower = more anomalous)."""
-    trees, slots = forest.feature.shape
-    levels, norm, offset = int(np.log2(slots + 1)) - 1, forest.norm or 1.0, SCORE_OFFSET
+    trees, norm, offset = len(forest.feature), forest.norm or 1.0, SCORE_OFFSET
 
     def score(nodes: tuple, x: np.ndarray) -> np.ndarray:
-        feature, threshold, path = nodes
-        total, row = np.zeros(len(x)), np.arange(len(x)) * x.shape[1]
-        flat = np.ascontiguousarray(x).ravel()
+        total = np.zeros(len(x))
         for t in range(trees):
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(levels):
-                value = flat.take(row + feature[t].take(node))
-                node = 2 * node + 1 + (value > threshold[t].take(node))
-            total += path[t].take(node - (2 ** levels - 1))
+            total += _paths(nodes, x, [t])[0]
         return offset - 2.0 ** (-(total / trees) / norm)
 
     return score
 
 
+def trees_by_feature(forest: Forest) -> list[list[int]]:
+    """For each feature the trees that split on it; a permutation changes no other tree."""
+    inner = np.isfinite(forest.threshold)
+    return [np.flatnonzero((inner & (forest.feature == j)).any(axis=1)).tolist()
+            for j in range(len(forest.features))]
+
+
 def isolation_forest_score(df: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
     """Add the decision score: below 0 is more anomalous than average."""
     nodes = df.sparkSession.sparkContext.broadcast(forest.nodes)
@@ -205,7 +215,8 @@ def permutation_importance(df: DataFrame, forest: Forest, key: Sequence[str],
     Rows are dealt into random buckets by a hash of the key. Within a bucket each row
     takes the feature values of the next row in hash order, and the last row those of
     the first, which permutes every feature with one shuffle. All features are then
-    rescored one by one in the same batch.
+    rescored one by one in the same batch, each through the trees that split on it; the path
+    lengths of the other trees are kept.
     """
     cols = list(forest.features)
     total = df.agg(F.count(F.lit(1))).scalar()
@@ -218,18 +229,23 @@ def permutation_importance(df: DataFrame, forest: Forest, key: Sequence[str],
     paired = dealt.select(
         "x", F.coalesce(F.lead("x").over(ring), F.first("x").over(whole)).alias("other"))
     nodes = df.sparkSession.sparkContext.broadcast(forest.nodes)
-    score, width = _scorer(forest), len(cols)
+    width, trees, norm = len(cols), len(forest.feature), forest.norm or 1.0
+    using = trees_by_feature(forest)
 
     @F.arrow_udf("array<double>")
     def changes(rows: pa.Array, others: pa.Array) -> pa.Array:
         a = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
         b = others.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
-        base = score(nodes.value, a)
-        out = np.empty((len(a), width))
-        for j in range(width):
-            changed = a.copy()
-            changed[:, j] = b[:, j]
-            out[:, j] = score(nodes.value, changed) - base
+        base = _paths(nodes.value, a, range(trees))
+        total = base.sum(axis=0)
+        before = 2.0 ** (-(total / trees) / norm)
+        out = np.zeros((len(a), width))
+        for j, own in enumerate(using):
+            if own:
+                changed = a.copy()
+                changed[:, j] = b[:, j]
+                moved = total + (_paths(nodes.value, changed, own) - base[own]).sum(axis=0)
+                out[:, j] = before - 2.0 ** (-(moved / trees) / norm)
         offsets = np.arange(len(a) + 1, dtype=np.int32) * width
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
