@@ -403,3 +403,17 @@ for _name in ("sink_csv", "sink_parquet", "stage_via_parquet", "checkpoint_stage
 ORACLE["sink_parquet"] = select(PANEL, f"{COLUMNS}, CAST(year(date) AS INTEGER) AS year FROM panel")
 for _name in ("sink_csv_single", "cache_stage", "sort_time"):
     ORACLE[_name] = ORACLE["monthly_trends"]
+ORACLE["resumed_chain"] = ORACLE["impute_chain"]
+ORACLE["lag_features_bucketed"] = ORACLE["lag_features"]
+ORACLE["sequences_in_splits"] = (
+    DENSE + f", numbered AS (SELECT {CELLS}, {SEQ}, split, row_number() OVER (PARTITION BY subdistrict_code, split "
+    "ORDER BY date) AS i, count(*) OVER (PARTITION BY subdistrict_code, split) AS n FROM "
+    f"(SELECT *, {SPLIT} FROM dense)) SELECT s.subdistrict_code, s.split, s.date AS start, CAST(position AS INTEGER) AS position, r.date, "
+    f"{', '.join('r.' + c for c in SEQ_COLS)} FROM numbered s, {STEPS} k JOIN numbered r ON "
+    "r.subdistrict_code = s.subdistrict_code AND r.split = s.split AND r.i = s.i + position WHERE s.i <= s.n - 11")
+ORACLE["lag_features_monthly"] = ORACLE["lag_features"]
+ORACLE["scan_csv_checked"] = select(PANEL, f"id, {CELLS}, {INDS} FROM panel WHERE id % 5 <> 0")
+ORACLE["profile_by_months"] = PANEL + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, count(*) - count({c}) AS nulls, count(*) FILTER ({c} = 0) AS zeros, "
+    f"CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, true AS distinct_near, true AS median_near "
+    "FROM panel WHERE year(date) BETWEEN 1994 AND 1996" for c in IND)

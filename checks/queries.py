@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
@@ -15,15 +17,20 @@ from paneltide.operators import features as X
 from paneltide.operators import impute as I
 from paneltide.operators import importance as M
 from paneltide.operators import isolation as A
+from paneltide.operators import monthly as Y
 from paneltide.operators import profile as P
 from paneltide.operators import quantiles as Q
 from paneltide.operators import reconstruct as R
+from paneltide.operators import recurrent as N
 from paneltide.operators import scale as Z
 from paneltide.operators import sequences as S
 from paneltide.operators import stats as T
 from paneltide.plans.anomaly import model_panel
 from paneltide.session import checkpoint_stage, stage_path
 from paneltide.sources import io
+from paneltide.sources.checked_csv import scan_csv_checked as read_checked
+from paneltide.sources.bucketed import overwrite_months, sink_bucketed
+from paneltide.sources.stages import StageCatalogue
 from paneltide.sources.supply_panel import INDICATORS, SPEC, TOTAL, raw_panel, total_panel
 
 IND = list(INDICATORS)
@@ -104,6 +111,18 @@ def scan_csv(spark, d):
     return io.scan_csv(spark, path, panel.schema)
 
 
+def scan_csv_checked(spark, d):
+    """Good rows of files in which some lines have a faulty number and some dates another format."""
+    panel = total_panel(spark, d).select("id", "subdistrict_code", "date", *IND)
+    path = stage_path(spark, "faulty-csv")
+    written = panel.withColumns({
+        "qty": F.when(F.col("id") % 5 == 0, F.lit("n/a")).otherwise(F.col("qty").cast("string")),
+        "date": F.when(F.col("subdistrict_code") % 2 == 0, F.date_format("date", "dd.MM.yyyy"))
+                 .otherwise(F.col("date").cast("string"))})
+    io.sink_csv(written, path)
+    return read_checked(spark, path, panel.schema, ("yyyy-MM-dd", "dd.MM.yyyy")).rows
+
+
 def scan_parquet(spark, d):
     return io.scan_parquet(spark, f"{d}/lineitem.parquet")
 
@@ -338,6 +357,30 @@ def lag_features(spark, d):
     return cells(df, [f"{c}_lag{k}" for c in IND for k in X.LAGS])
 
 
+def lag_features_monthly(spark, d):
+    """Lags delivery by delivery (a year each): every one reads the carried rows and itself."""
+    panel, state, parts = staged_panel(spark, d).select(*CELL, *IND), None, []
+    years = panel.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    for year in range(years[0], years[1] + 1):
+        got, state = Y.with_month(state, panel.where(F.year("date") == year), SPEC, max(X.LAGS),
+                                  lambda df: X.lag_features(df, SPEC, IND))
+        parts.append(io.stage_via_parquet(cells(got, [f"{c}_lag{k}" for c in IND for k in X.LAGS])))
+        state = io.stage_via_parquet(state)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def lag_features_bucketed(spark, d):
+    """Lags on the bucketed table, two months of which were delivered again."""
+    table, path = f"panel_{uuid.uuid4().hex}", stage_path(spark, "bucketed")
+    panel = staged_panel(spark, d)
+    late = F.col("date").isin(MISSING)
+    old = panel.withColumns({c: F.when(late, F.lit(0)).otherwise(F.col(c)).cast(panel.schema[c].dataType)
+                             for c in IND})
+    sink_bucketed(old, SPEC, table, path, buckets=4)
+    df = X.lag_features(overwrite_months(panel.where(late), SPEC, table), SPEC, IND)
+    return cells(df, [f"{c}_lag{k}" for c in IND for k in X.LAGS])
+
+
 def rolling_mean_features(spark, d):
     names = [f"{c}_roll_avg3" for c in IND]
     return rounded(cells(X.rolling_mean_features(dense(spark, d), SPEC, IND), names), names)
@@ -373,6 +416,17 @@ def impute_chain(spark, d):
     return rounded(cells(I.impute_chain(dense(spark, d), SPEC, IND, stage=io.stage_via_parquet), IND), IND)
 
 
+def resumed_chain(spark, d):
+    """The impute chain, left after its first stage and taken up again from there."""
+    chain = f"resumed-{uuid.uuid4().hex}"
+    StageCatalogue(spark, chain)(dense(spark, d))
+    with StageCatalogue(spark, chain) as stage:
+        filled = I.impute_chain(stage(dense(spark, d)), SPEC, IND, stage=stage)
+        if len(stage.reused) != 1:
+            raise RuntimeError("the finished stage was not found again")
+        return io.stage_via_parquet(rounded(cells(filled, IND), IND))
+
+
 def impute_chain_across(spark, d):
     filled = I.impute_chain(dense(spark, d), SPEC, IND, across=True, stage=io.stage_via_parquet)
     return rounded(cells(filled, IND), IND)
@@ -546,6 +600,24 @@ def column_profile(spark, d):
     return out
 
 
+def profile_by_months(spark, d):
+    """Profile of a period merged from the sketches of its months, with its estimates held against
+    exact values: distinct within 6 %, the median between the exact 48 and 52 % points."""
+    panel = staged_panel(spark, d)
+    sketches = io.stage_via_parquet(Y.month_sketches(panel, SPEC, IND))
+    period = F.col("month").between(F.lit(dt.date(1994, 1, 1)), F.lit(dt.date(1996, 12, 1)))
+    got = Y.merged_profile(sketches.where(period), (0.5,))
+    rows = panel.where(F.year("date").between(1994, 1996))
+    exact = rows.agg(*[F.struct(F.count_distinct(c).alias("d"), F.percentile(c, F.lit(0.48)).alias("a"),
+                                F.percentile(c, F.lit(0.52)).alias("b")).alias(c) for c in IND])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["d"].alias("d"),
+                                                     F.col(c)["a"].alias("a"), F.col(c)["b"].alias("b")) for c in IND])))
+    return got.join(exact, "feature").select(
+        "feature", "n", "nulls", "zeros", "low", "high",
+        (F.abs(F.col("distinct") - F.col("d")) <= 0.06 * F.col("d")).alias("distinct_near"),
+        F.col("q50").between(F.col("a"), F.col("b")).alias("median_near"))
+
+
 def column_profile_histogram(spark, d):
     out = P.column_histogram(staged_panel(spark, d), ["qty", "revenue", "returned_qty", "max_line"])
     return out.withColumns({c: to_decimals(F.col(c), 6) for c in ("low", "high")})
@@ -572,6 +644,11 @@ def sequences_autoencode(spark, d):
     return S.explode_window(windows, "window", ["subdistrict_code", "start"])
 
 
+def sequences_in_splits(spark, d):
+    windows = S.sequences_in_splits(D.split_by_date(dense(spark, d), TRAIN_END, VAL_END), SPEC, SEQ_COLS)
+    return S.explode_window(windows, "window", ["subdistrict_code", "split", "start"])
+
+
 def sequences_io(spark, d):
     windows = S.sequences_io(dense(spark, d), SPEC, SEQ_COLS)
     x = S.explode_window(windows, "x", ["subdistrict_code", "start"]).withColumn("side", F.lit("x"))
@@ -615,7 +692,7 @@ def pseudo_label(spark, d):
 def forest_importance(spark, d):
     panel, forest = fitted_forest(spark, d)
     scored = io.stage_via_parquet(A.isolation_forest_score(panel, forest))
-    return M.forest_importance(A.pseudo_label(scored), IND)
+    return M.forest_importance(io.stage_via_parquet(A.pseudo_label(scored)), IND, key=CELL)
 
 
 def permutation_importance(spark, d):
@@ -646,6 +723,15 @@ def reconstruction_fit(spark, d):
 def reconstruction_score(spark, d):
     windows, model = fitted_windows(spark, d)
     return R.reconstruction_score(windows, model).select(
+        "subdistrict_code", "start", "end", "split", "error", "error_indicator",
+        F.to_json("error_share").alias("error_share"))
+
+
+def recurrent_score(spark, d):
+    """A small network, few passes: the size of the state and the passes are parameters."""
+    windows, _ = fitted_windows(spark, d)
+    model = N.recurrent_fit(windows.where("split = 'train'"), IND, S.SEQUENCE_LENGTH, hidden=16, layers=1, passes=20)
+    return N.recurrent_score(windows, model).select(
         "subdistrict_code", "start", "end", "split", "error", "error_indicator")
 
 
@@ -657,7 +743,7 @@ def reconstruction_evaluate(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    scan_csv, scan_parquet, literal_rows, sink_csv, sink_csv_single, sink_parquet,
+    scan_csv, scan_csv_checked, scan_parquet, literal_rows, sink_csv, sink_csv_single, sink_parquet,
     stage_via_parquet, cache_stage,
     filter_slice, filter_date, filter_entity, select_cols, select_exclude, select_by_dtype,
     select_from_table, select_existing, drop_cols, rename_cols, with_column, pad_nulls,
@@ -666,7 +752,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     distinct_entities, distinct_rows, distinct_dates, monthly_trends, describe_table,
     date_bounds, table_shape, sample_count, column_variance, column_means, column_median,
     percentile_cut,
-    rolling_mean_impute, lag_features, rolling_mean_features, rolling_std_features,
+    rolling_mean_impute, lag_features, lag_features_bucketed, lag_features_monthly, rolling_mean_features, rolling_std_features,
     group_mean_feature, rolling_mean_smooth, forward_fill, backward_fill,
     fill_across_entities, sequence_window,
     sort_panel, sort_time, head_n, top_k_features,
@@ -674,14 +760,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     parse_date, parse_timestamp, date_parts, year_month_label, flag_period, cast_cols,
     null_test, between_bool,
     date_axis, densify_listed, densify_listed_union, densify_missing, densify_full,
-    impute_chain, impute_chain_across, feature_bundle, feature_bundle_rounds, model_matrix,
+    impute_chain, impute_chain_across, resumed_chain, feature_bundle, feature_bundle_rounds, model_matrix,
     split_periods, split_by_date, series_extract, trend_series,
     correlation_matrix, correlation_matrix_wide, high_corr_pairs, low_variance_cols,
     filter_features, filter_features_keep_first, median_impute, standard_scale, minmax_scale,
-    column_profile, column_profile_histogram, column_profile_top_values,
+    column_profile, profile_by_months, column_profile_histogram, column_profile_top_values,
     column_profile_duplicates,
-    sequences_io, sequences_autoencode, sequences_across_entities, isolation_forest_fit,
+    sequences_io, sequences_in_splits, sequences_autoencode, sequences_across_entities, isolation_forest_fit,
     isolation_forest_score, pseudo_label, forest_importance, permutation_importance,
-    select_top_features, reconstruction_fit, reconstruction_score, reconstruction_evaluate,
+    select_top_features, reconstruction_fit, reconstruction_score, recurrent_score, reconstruction_evaluate,
 )}
 QUERIES["checkpoint_stage"] = checkpoint_query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
@@ -40,6 +41,18 @@ def sequence_window(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None =
                        F.col(spec.time).alias("end"), "window")
 
 
+def sequences_in_splits(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None,
+                        length: int = SEQUENCE_LENGTH, split: str = "split",
+                        drop_last: bool = False) -> DataFrame:
+    """Windows inside each split: (entity, split, start, end, window).
+
+    Each split is taken as a panel of its own, so no window holds months of two splits.
+    """
+    cols = list(cols or [c for c in spec.values(df) if c != split])
+    within = replace(spec, entity=(*spec.entity, split))
+    return sequence_window(df, within, cols, length, drop_last)
+
+
 def sequences_autoencode(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None,
                          length: int = SEQUENCE_LENGTH, drop_last: bool = True) -> DataFrame:
     """Windows whose target is the window itself; by default one fewer than fits."""

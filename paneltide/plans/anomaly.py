@@ -22,8 +22,11 @@ from paneltide.operators.isolation import (
 from paneltide.operators.reconstruct import (
     reconstruction_evaluate, reconstruction_fit, reconstruction_score,
 )
+from paneltide.operators.recurrent import recurrent_fit, recurrent_score
 from paneltide.operators.scale import minmax_scale, standard_scale
-from paneltide.operators.sequences import SEQUENCE_LENGTH, flatten_window, sequence_window
+from paneltide.operators.sequences import (
+    SEQUENCE_LENGTH, flatten_window, sequence_window, sequences_in_splits,
+)
 from paneltide.operators.stats import filter_features
 from paneltide.sources.io import stage_via_parquet
 from paneltide.spec import PanelSpec
@@ -68,15 +71,29 @@ def select_indicators(panel: DataFrame, spec: PanelSpec, k: int = TOP_K, policy:
 
 def score_sequences(panel: DataFrame, spec: PanelSpec, indicators: Sequence[str],
                     train_end: dt.date = TRAIN_END, val_end: dt.date = VAL_END,
-                    length: int = SEQUENCE_LENGTH, k: int = 16,
-                    stage: Stage = stage_via_parquet) -> DataFrame:
-    """Reconstruction error of every window; scaler and model see training months only."""
+                    length: int = SEQUENCE_LENGTH, k: int = 16, model: str = "linear",
+                    within_splits: bool = False, stage: Stage = stage_via_parquet) -> DataFrame:
+    """Reconstruction error of every window; scaler and model see training months only.
+
+    ``model`` is linear (a PCA of ``k`` components) or recurrent. A window belongs to the split of
+    its last month, or, ``within_splits``, is built from the months of one split alone.
+    """
     train = panel.where(F.col(spec.time) <= F.lit(train_end))
     scaled = minmax_scale(panel, indicators, train)
-    windows = flatten_window(sequence_window(scaled, spec, indicators, length), indicators)
-    windows = stage(split_by_date(windows.drop("window"), train_end, val_end, "end"))
-    model = reconstruction_fit(windows.where("split = 'train'"), indicators, length, k)
-    return reconstruction_score(windows, model).drop("features")
+    if within_splits:
+        parted = split_by_date(scaled, train_end, val_end, spec.time)
+        windows = sequences_in_splits(parted, spec, indicators, length)
+    else:
+        windows = split_by_date(sequence_window(scaled, spec, indicators, length), train_end, val_end, "end")
+    windows = stage(flatten_window(windows, indicators).drop("window"))
+    fitting = windows.where("split = 'train'")
+    if model == "linear":
+        scored = reconstruction_score(windows, reconstruction_fit(fitting, indicators, length, k))
+    elif model == "recurrent":
+        scored = recurrent_score(windows, recurrent_fit(fitting, indicators, length))
+    else:
+        raise ValueError(f"unknown model {model!r}")
+    return scored.drop("features")
 
 
 def evaluate_sequences(scored: DataFrame, percentile: float = 95.0,

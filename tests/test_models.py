@@ -157,7 +157,7 @@ def driven(spark):
 
 def test_importances(driven):
     cols = ["n1", "n2", "key", "n3", "n4"]
-    got = M.forest_importance(driven, cols, trees=20, max_depth=4).cache()
+    got = M.forest_importance(driven, cols, trees=20).cache()
     assert got.agg(F.sum("importance")).first()[0] == pytest.approx(1)
     assert M.top_k_features(got, 1).first().feature == "key"
     assert M.select_top_features(driven, got, ["k"], 1).columns == ["k", "key"]
@@ -171,6 +171,34 @@ def test_permutation_importance(spark):
     forest = A.Forest.from_table(A.isolation_forest_fit(df, ["k"], cols, trees=30), cols)
     got = {r.feature: r.mean_abs_change for r in A.permutation_importance(df, forest, ["k"]).collect()}
     assert got["same"] == 0 and got["x"] > 0 and got["spiky"] > 0
+    using = A.trees_by_feature(forest)
+    assert using[1] == [] and sum(map(len, using)) < 3 * 30      # fewer walks than all trees each
+
+
+def test_rescoring_the_trees_of_a_feature_is_rescoring_all():
+    rng = np.random.default_rng(1)
+    feature = rng.integers(0, 3, (9, 7))
+    feature[:4][feature[:4] == 2] = 0
+    threshold = rng.normal(size=(9, 7))
+    forest = A.Forest(("a", "b", "c"), feature, threshold, rng.uniform(1, 5, (9, 4)), 4.0)
+    score, x = A._scorer(forest), rng.normal(size=(50, 3))
+    changed = x.copy()
+    changed[:, 2] = rng.normal(size=50)
+    own = A.trees_by_feature(forest)[2]
+    assert 0 < len(own) <= 5
+    base = A._paths(forest.nodes, x, range(9))
+    total = base.sum(axis=0) + (A._paths(forest.nodes, changed, own) - base[own]).sum(axis=0)
+    assert np.allclose(0.5 - 2.0 ** (-(total / 9) / 4.0), score(forest.nodes, changed))
+
+
+@pytest.mark.parametrize("n", [100, 400, 30_000])
+def test_every_tree_has_the_rows_of_its_lowest_hashes(spark, n):
+    df = spark.range(n).selectExpr("id as k", "id * 2 as x")
+    one, other = ({(r.tree, r.draw, r.x[0]) for r in A.tree_samples(d, ["k"], ["x"], 5, 64).collect()}
+                  for d in (df, df.repartition(3)))
+    assert one == other
+    per = [{x for t, _, x in one if t == tree} for tree in range(5)]
+    assert all(len(p) == 64 for p in per) and len(set.union(*per)) > 64
 
 
 @pytest.fixture(scope="module")
