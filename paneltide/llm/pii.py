@@ -32,7 +32,11 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phon
 
 #: Something shaped like an identifier: no white space, four digits or more after its first sign.
 CANDIDATE = r"(?<![A-Za-z0-9_.:/#-])[A-Za-z0-9](?:[A-Za-z_.:/#-]*+[0-9]){4}[A-Za-z0-9_.:/#-]*+"
+#: A context is made of whole words within so many characters before an identifier: longer words
+#: are no context.
 CONTEXT_CHARS = 80
+#: Matches of a text whose lengths are added up at once.
+CHUNK = 64
 ROUNDS = 3
 MIN_SEEDS = 3             # different seeds that a pattern must have before it counts
 MIN_CONFIDENCE = 0.6
@@ -40,29 +44,44 @@ PRIOR = 1.0               # unknown instances added to those of each pattern
 
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
+
+
+def _running_sums(numbers: Column) -> Column:
+    """The sums of all beginnings of an array of ints, from the sums of chunks of ``CHUNK``."""
+    def within(xs: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / CHUNK).cast("int") - 1, F.lit(0)))
+        totals = F.transform(chunks, lambda c: _sum(F.slice(xs, c * CHUNK + 1, F.lit(CHUNK))))
+        before = _let(totals, lambda ts: F.transform(ts, lambda _, c: _sum(F.slice(ts, F.lit(1), c))))
+        chunk = lambda i: F.floor(i / CHUNK).cast("int")
+        return _let(before, lambda bs: F.transform(xs, lambda _, i: F.get(bs, chunk(i)) + _sum(
+            F.slice(xs, chunk(i) * CHUNK + 1, i % CHUNK + 1))))
+
+    return _let(numbers, within)
+
+
 def spans_of(text: Column, pattern: str, hint: str,
              valid: Callable[[Column], Column] | None = None) -> Column:
-    """Leftmost, non-overlapping matches that are ``valid``: start and end in code points, match.
-
-    Only valid ones are gathered, so a text full of numbers costs time in proportion to itself.
-    """
+    """Leftmost, non-overlapping matches that are ``valid``: start and end in code points, match."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(
+        (F.length(p) + F.length(m)).alias("length"), m.alias("match")))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
-        grown = F.concat(state["spans"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), pair["match"].alias("value"))))
-        if valid is not None:
-            grown = F.when(valid(pair["match"]), grown).otherwise(state["spans"])
-        return F.struct(end.alias("at"), grown.alias("spans"))
+    def placed(ps: Column) -> Column:
+        ends = _running_sums(F.transform(ps, lambda p: p["length"]))
+        spans = F.zip_with(ps, ends, lambda p, end: F.struct(
+            (end - F.length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("value")))
+        return spans if valid is None else F.filter(spans, lambda s: valid(s["value"]))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(
-        p.alias("piece"), m.alias("match")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(text.rlike(hint), found).otherwise(empty)
+    return F.when(text.rlike(hint), _let(pairs, placed)).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -165,8 +184,8 @@ def _find(rows: DataFrame) -> DataFrame:
     found = base_spans(rows).withColumn(
         "candidates", spans_of(F.col("text"), CANDIDATE, "[0-9]"))
     base = F.concat(*[F.col(k) for k in KINDS])
-    free = F.filter("candidates", lambda c: ~F.exists(
-        base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = _let(base, lambda own: F.filter("candidates", lambda c: ~F.exists(
+        own, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     found = found.withColumn("candidates", free)
     any_span = F.size(F.concat(base, F.col("candidates"))) > 0
     # Texts are needed for contexts only, so they go along only where there are spans.

@@ -12,10 +12,11 @@ in just the symmetric difference of X and Y, so their intersection comes from tw
 
 What is left is compared in blocks of a list, cut by position and by whether sets belong to the
 leader's component. A pair of blocks is skipped as a whole if its positions and sizes allow no link
-or both belong to the leader. Pairs left over are tested on a parity bitmap (as many bits as
-shingles: each shingle that only one of the sets has flips one bit, so the number of unequal bits is
-a lower bound of the difference) and then on whole sets. No step is approximate: every link between
-different components is found.
+or both belong to the leader. Within blocks, pairs are tested on positions, sizes and a parity
+bitmap (as many bits as shingles: each shingle that only one of the sets has flips one bit, so the
+number of unequal bits is a lower bound of the difference). Only pairs that pass become rows; they
+are tested on longer bitmaps and then on differences or whole sets. No step is approximate: every
+link between different components is found.
 
 The order must be the same for all sets, but any order is right. Shingles in ``1 / COMMON`` of all
 shingle occurrences or more come last, by their count; there are at most ``COMMON`` of them,
@@ -24,16 +25,19 @@ whatever the number of documents. The others are in the order of their hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.llm.components import connected_components
-from paneltide.llm.shingles import (SET, Compare, alpha, as_links, bitmap, join_hot, links, set_keys,
-                                    texts_and_sets, tied_texts)
+from paneltide.llm.shingles import (BITS_PER_MEMBER, SET, Compare, alpha, as_links, bitmap, folded, join_hot,
+                                    links, set_keys, texts_and_sets, tied_texts, unequal_bits)
 from paneltide.sources.io import stage_via_parquet
 
 LINK_PERCENT = 90
@@ -48,6 +52,10 @@ SLOTS_AT_ONCE = 500_000
 LEADER_FROM = 16
 #: Entries of one block of an index list.
 BLOCK = 512
+#: Pairs of entries, and words of their bitmaps, compared at once.
+PAIRS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 1_000_000
+
 
 # Sets, in Python workers.
 
@@ -133,8 +141,8 @@ def _common_shingles(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(docs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """(node, n, tokens, bits): each different set, with its prefix and parity bitmap. A doc_id on
-    rows of several texts is a node of several sets."""
+    """(node, n, tokens, bits, brief): each different set, with its prefix, its parity bitmap and a
+    fold of that. A doc_id on rows of several texts is a node of several sets."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_common_shingles(sized))
 
@@ -144,15 +152,18 @@ def _index(docs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
             if some:
                 sets = [sets[i] for i in some]
                 keys = [set_keys(s) for s in sets]
+                bits = [(x, folded(x, max(1, len(x) // BITS_PER_MEMBER))) for x in map(bitmap, sets)]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].to_numpy()[some], "n_shingles": [len(s) for s in sets],
                     "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys],
-                    "tokens": prefixes(sets, *common.value, percent), "bits": [bitmap(s) for s in sets]})
+                    "tokens": prefixes(sets, *common.value, percent), "bits": [x for x, _ in bits],
+                    "brief": [x for _, x in bits]})
 
     rows = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(
-        index, "doc_id long, n_shingles long, key_a long, key_b long, tokens array<long>, bits array<long>")
+        index, "doc_id long, n_shingles long, key_a long, key_b long, tokens array<long>, bits array<long>, "
+               "brief array<long>")
     return stage_via_parquet(rows.groupBy(*SET).agg(
-        F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
+        F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("tokens", "bits", "brief")])
         .withColumnRenamed("n_shingles", "n"))
 
 
@@ -164,57 +175,122 @@ def _may_link(percent: int, n_x: Column, at_x: Column, n_y: Column, at_y: Column
 
 # Comparison by blocks and by differences.
 
-def _block_pairs(percent: int):
-    """Pairs of one or two blocks that their positions, sizes and components leave open."""
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Entries(NamedTuple):
+    """Entries of index lists, one after the other. ``words`` are the bitmaps' words, the bitmap of
+    entry i from ``begin[i]`` on, ``length[i]`` of them."""
+
+    node: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    part: np.ndarray
+    words: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+
+
+def _entries(batch: pa.RecordBatch, prefix: str = "") -> _Entries:
+    node, n, at, part, bits = (batch.column(prefix + c).flatten() for c in ("node", "n", "at", "part", "bits"))
+    sizes = pc.list_value_length(bits).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _Entries(*(x.to_numpy() for x in (node, n, at, part)), bits.flatten().to_numpy(),
+                    np.cumsum(sizes) - sizes, sizes)
+
+
+def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of the members of blocks of consecutive entries, each once."""
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.repeat(starts, sizes)
+    i = np.repeat(first + place, place)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(place) - place, place) + np.repeat(first, place)
+    return i, j
+
+
+def _left_open(x: _Entries, i: np.ndarray, y: _Entries, j: np.ndarray, percent: int) -> np.ndarray:
+    """(greater, lesser node) of the pairs of different components that may link."""
+    ok = x.part[i] != y.part[j]
+    i, j = i[ok], j[ok]
+    n_i, n_j = x.n[i], y.n[j]
+    ok = ((np.minimum(n_i, n_j) * 100 >= np.maximum(n_i, n_j) * percent)
+          & (np.minimum(n_i - x.at[i], n_j - y.at[j]) >= alpha(n_i, n_j, percent)))
+    i, j = i[ok], j[ok]
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    shapes = x.length[i] * 2 ** 32 + y.length[j]
+    for shape in np.unique(shapes):
+        same = np.flatnonzero(shapes == shape)
+        wide, high = int(shape >> 32), int(shape & (2 ** 32 - 1))
+        step = max(1, WORDS_AT_ONCE // max(wide, high))
+        for k in range(0, len(same), step):
+            a, b = i[same[k:k + step]], j[same[k:k + step]]
+            apart = unequal_bits(x.words[x.begin[a][:, None] + np.arange(wide)],
+                                 y.words[y.begin[b][:, None] + np.arange(high)])
+            near = apart <= x.n[a] + y.n[b] - 2 * alpha(x.n[a], y.n[b], percent)
+            u, v = x.node[a[near]], y.node[b[near]]
+            found.append(np.stack([np.maximum(u, v), np.minimum(u, v)]))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def _block_pairs(percent: int) -> Callable:
+    """Pairs of one or two blocks that components, sizes, positions and bitmaps leave open."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            alone = batch.column("other_node").is_null()
+            single = batch.filter(alone)
+            x = _entries(single)
+            sizes = pc.list_value_length(single.column("node")).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            # Some blocks at a time, so that their pairs fit in memory.
+            lots = np.cumsum(sizes * (sizes - 1) // 2) // PAIRS_AT_ONCE
             found = []
-            for r in batch.itertuples(index=False):
-                if r.other_node is None:
-                    i, j = np.triu_indices(len(r.node), 1)
-                    node, n, at, part = r.node, r.n, r.at, r.part
-                else:
-                    i, j = (x.ravel() for x in np.indices((len(r.node), len(r.other_node))))
-                    j = j + len(r.node)
-                    node, n, at, part = (np.concatenate(x) for x in (
-                        (r.node, r.other_node), (r.n, r.other_n), (r.at, r.other_at), (r.part, r.other_part)))
-                ok = part[i] != part[j]
-                i, j = i[ok], j[ok]
-                n_i, n_j = n[i], n[j]
-                ok = ((np.minimum(n_i, n_j) * 100 >= np.maximum(n_i, n_j) * percent)
-                      & (np.minimum(n_i - at[i], n_j - at[j]) >= alpha(n_i, n_j, percent)))
-                i, j = i[ok], j[ok]
-                if len(i):
-                    found.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]))
-            rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pd.DataFrame({"node": rows[0], "centre": rows[1]})
+            for lot in np.unique(lots):
+                own = lots == lot
+                found.append(_left_open(x, *_both(x, _pairs_within(sizes[own], starts[own])), percent))
+            double = batch.filter(pc.invert(alone))
+            for r in range(len(double)):
+                x, y = _entries(double.slice(r, 1)), _entries(double.slice(r, 1), "other_")
+                i, j = (k.ravel() for k in np.indices((len(x.node), len(y.node))))
+                found.append(_left_open(x, i, y, j, percent))
+            if found:
+                rows = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["node", "centre"])
 
     return pairs
 
 
-def _open_pairs(listed: DataFrame, leaders: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _both(x: _Entries, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, _Entries, np.ndarray]:
+    return pairs[0], x, pairs[1]
+
+
+def _open_pairs(listed: DataFrame, leaders: DataFrame, parts: DataFrame, nodes: DataFrame,
+                percent: int) -> DataFrame:
     """Pairs (node, centre) of different components that the blocks of the lists leave open."""
     home = (leaders.join(parts.withColumnsRenamed({"node": "leader", "component": "home"}), "leader", "left")
             .select("token", "size", F.coalesce("home", "leader").alias("home")))
     home = stage_via_parquet(home)
-    own = listed.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    own = stage_via_parquet(listed.join(parts, "node", "left")
+                            .withColumn("part", F.coalesce("component", "node")).drop("component"))
+    # Lists that lie in one component need nothing any more.
+    several = stage_via_parquet(own.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most"),
+                                                         F.count("*").alias("rows")).where("least < most")
+                                .select("token", "rows"))
+    own = join_hot(own, several, ["token"], "rows").drop("rows")
+    own = own.join(nodes.select("node", "n", F.col("brief").alias("bits")), ["node", "n"])
     own = stage_via_parquet(own)
     long = join_hot(own, home.withColumnRenamed("size", "weight"), ["token"], "weight").drop("weight")
     short = own.where(F.col("size") <= LEADER_FROM).withColumn("home", F.lit(None).cast("long"))
     at_home = F.coalesce(F.col("part") == F.col("home"), F.lit(False))
     one = F.col("size") <= BLOCK
     rows = long.unionByName(short, allowMissingColumns=True).select(
-        "token", "size", "node", "n", "at", "part", F.when(one, False).otherwise(at_home).alias("at_home"),
+        "token", "size", "node", "n", "at", "part", "bits", F.when(one, False).otherwise(at_home).alias("at_home"),
         F.when(one, 0).otherwise(F.floor(F.log2(F.col("at") + 1))).alias("band"),
         F.when(one, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).alias("chunk"))
     most = F.max(F.col("n") - F.col("at"))
     blocks = stage_via_parquet(rows.groupBy("token", "size", "at_home", "band", "chunk").agg(
-        *[F.collect_list(c).alias(c) for c in ("node", "n", "at", "part")], most.alias("most"),
+        *[F.collect_list(c).alias(c) for c in ("node", "n", "at", "part", "bits")], most.alias("most"),
         F.min("n").alias("n_least"), F.max("n").alias("n_most"),
         F.min("part").alias("p_least"), F.max("part").alias("p_most")))
-    lists = ["node", "n", "at", "part"]
+    lists = ["node", "n", "at", "part", "bits"]
+    types = dict(blocks.dtypes)
     alone = blocks.where("p_least < p_most").select(
-        *lists, *[F.lit(None).cast("array<long>").alias(f"other_{c}") for c in lists])
+        *lists, *[F.lit(None).cast(types[c]).alias(f"other_{c}") for c in lists])
     many = blocks.where(F.col("size") > BLOCK)
     other = many.select("token", *[F.col(c).alias(f"other_{c}") for c in many.columns if c != "token"])
     place = lambda s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in ("at_home", "band", "chunk")])
@@ -226,7 +302,7 @@ def _open_pairs(listed: DataFrame, leaders: DataFrame, parts: DataFrame, percent
              .where((F.col("n_most") * 100 >= F.col("other_n_least") * percent)
                     & (F.col("other_n_most") * 100 >= F.col("n_least") * percent))
              .select(*lists, *[f"other_{c}" for c in lists]))
-    return (alone.unionByName(cross).mapInPandas(_block_pairs(percent), "node long, centre long").distinct())
+    return alone.unionByName(cross).mapInArrow(_block_pairs(percent), "node long, centre long").distinct()
 
 
 def _differences(compared: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -266,7 +342,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     parts = stage_via_parquet(connected_components(found))
 
     # Then what blocks leave open: by differences from a common leader, else by whole sets.
-    opened = stage_via_parquet(_open_pairs(listed, leaders, parts, percent))
+    opened = stage_via_parquet(_open_pairs(listed, leaders, parts, nodes, percent))
     apart = stage_via_parquet(_differences(compared, nodes))
     side = lambda name, s: apart.select(
         F.col("node").alias(name), F.col("leader").alias(f"leader_{s}"), F.col("n").alias(f"n_{s}"),
