@@ -64,7 +64,7 @@ def tree_samples(df: DataFrame, key: Sequence[str], cols: Sequence[str], trees:
     total = df.count()
     share, enough = 2.0 * rows / max(total, 1), min(rows, total)
     while True:
-        bound = int(min(share, 1.0) * (2 ** 63 - 1))
+        bound = int(share * 2.0 ** 63) if share < 1.0 else 2 ** 63 - 1
         own = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
             t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, "ticket"), 1).alias("draw")))
         drawn = tickets.select("ticket", "x", F.explode(F.filter(own, lambda d: d["draw"] <= bound)).alias("d"))

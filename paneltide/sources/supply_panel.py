@@ -19,30 +19,35 @@ INDICATORS = ("qty", "revenue", "net_revenue", "returned_qty",
 SPEC = PanelSpec(cells_unique=True)
 
 
+# Sums that the indicators follow from, and the lines' values they add up.
+_SUMS = ("qty", "cents", "net", "returned", "discount", "tax", "n_lines")
+
+
+def _sums(lines: DataFrame, *keys: Column | str) -> DataFrame:
+    cents = F.rint(F.col("l_extendedprice") * 100)
+    values = {"qty": F.col("l_quantity"), "cents": cents,
+              "net": cents * F.rint(100 - F.col("l_discount") * 100),
+              "returned": F.when(F.col("l_returnflag") == "R", F.col("l_quantity")),
+              "discount": F.rint(F.col("l_discount") * 100), "tax": F.rint(F.col("l_tax") * 100)}
+    return lines.groupBy(*keys).agg(
+        *[F.sum(v).alias(c) for c, v in values.items()], F.count(F.lit(1)).alias("n_lines"),
+        F.max("l_linenumber").alias("max_line"))
+
+
 def _rate(c: str) -> Column:
     """Mean rate in whole basis points, cut off, as a fraction."""
-    points = F.sum(F.rint(F.col(c) * 100)) * 100
-    return F.floor(points / F.count(F.lit(1))) / F.lit(10000.0)
+    return F.floor(F.col(c) * 100 / F.col("n_lines")) / F.lit(10000.0)
 
 
 def _whole(x: Column) -> Column:
     return F.floor(x + 0.5).cast("double")
 
 
-def _indicators() -> list[Column]:
-    cents = F.rint(F.col("l_extendedprice") * 100)
-    net = cents * F.rint(100 - F.col("l_discount") * 100)
-    returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))
-    return [
-        F.sum("l_quantity").alias("qty"),
-        _whole(F.sum(cents) / 100).alias("revenue"),
-        _whole(F.sum(net) / 10000).alias("net_revenue"),
-        F.sum(returned).alias("returned_qty"),
-        _rate("l_discount").alias("avg_discount"),
-        _rate("l_tax").alias("avg_tax"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.max("l_linenumber").alias("max_line"),
-    ]
+def _indicators(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "l_suppkey", "date", "sector", "qty", _whole(F.col("cents") / 100).alias("revenue"),
+        _whole(F.col("net") / 10000).alias("net_revenue"), F.col("returned").alias("returned_qty"),
+        _rate("discount").alias("avg_discount"), _rate("tax").alias("avg_tax"), "n_lines", "max_line")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +56,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _total(lines: DataFrame) -> DataFrame:
-    return (lines.groupBy("l_suppkey", "date").agg(*_indicators())
-                 .withColumn("sector", F.lit(TOTAL)))
+    return _indicators(_sums(lines, "l_suppkey", "date").withColumn("sector", F.lit(TOTAL)))
 
 
 def _with_places(sums: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,10 +82,12 @@ def _with_places(sums: DataFrame, sf_dir: str) -> DataFrame:
 
 def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sectors of the panel."""
-    lines = _lines(spark, sf_dir)
-    by_flag = (lines.groupBy("l_suppkey", "date", F.col("l_returnflag").alias("sector"))
-                    .agg(*_indicators()))
-    return _with_places(by_flag.unionByName(_total(lines)), sf_dir)
+    by_flag = _sums(_lines(spark, sf_dir), "l_suppkey", "date", F.col("l_returnflag").alias("sector"))
+    # The total is added up from the sectors: the lines are read and shuffled once.
+    total = (by_flag.groupBy("l_suppkey", "date")
+             .agg(*[F.sum(c).alias(c) for c in _SUMS], F.max("max_line").alias("max_line"))
+             .withColumn("sector", F.lit(TOTAL)))
+    return _with_places(_indicators(by_flag).unionByName(_indicators(total)), sf_dir)
 
 
 def total_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,12 +130,12 @@ def test_isolation_forest_scores_follow_the_nodes(crowd):
 
 def test_tree_samples(crowd):
     cols = ["x", "y", "z"]
-    small = A.tree_samples(crowd, ["k"], cols)          # the pool is the whole table
+    small = A.tree_samples(crowd, ["k"], cols)
     sizes = {r.tree: (r.n, r.d) for r in small.groupBy("tree").agg(
         F.count("*").alias("n"), F.count_distinct("x").alias("d")).collect()}
     assert sizes == {t: (256, 256) for t in range(100)}
-    dealt = A.tree_samples(crowd, ["k"], cols, trees=5, rows=64)   # a full pool is dealt out
-    assert dealt.count() == 320 and dealt.select("x").distinct().count() == 320
+    few = A.tree_samples(crowd, ["k"], cols, trees=5, rows=64)
+    assert few.count() == 320 and few.distinct().count() == 320
     tiny = A.tree_samples(crowd.limit(10), ["k"], cols, trees=3)
     assert {r["count"] for r in tiny.groupBy("tree").count().collect()} == {10}
     copies = A.tree_samples(crowd.withColumn("k", F.lit(1)), (), cols, trees=5, rows=64)
