@@ -49,3 +49,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     roots = now.select(F.col("v").alias("node")).distinct()
     return (now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(roots.select("node", F.col("node").alias("component"))))
+
+
+def extended_components(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of a graph whose components are ``parts`` before ``links`` (u, v) join it.
+
+    Only links between different components go through the rounds. ``parts`` must be staged.
+    """
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    whole = lambda c: F.coalesce(f"part_{c}", c)
+    between = stage_via_parquet(
+        links.join(side("u"), "u", "left").join(side("v"), "v", "left")
+        .select("u", "v", whole("u").alias("pu"), whole("v").alias("pv")).where("pu <> pv"))
+    if between.isEmpty():
+        return parts
+    merged = stage_via_parquet(connected_components(between.select(F.col("pu").alias("u"), F.col("pv").alias("v"))))
+    above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    known = parts.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    # Nodes that had no link before: they were components of their own.
+    new = merged.join(parts.select("node"), "node", "left_anti")
+    return known.unionByName(new)

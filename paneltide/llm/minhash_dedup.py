@@ -5,11 +5,10 @@ Every pair of a signature of the first and one of the second is the key of one t
 ``HALVES ** 2`` tables cost ``2 * HALVES * HALF_ROWS`` minhashes. With 8 and 3, two documents
 of similarity 0.85 share a table with a chance of 99.9 %, of 0.9 with 99.99 %.
 
-Three passes find the links among the members of buckets. The first compares the members of some
-tables with the most central document of their bucket, the second does so in all tables, for
-buckets that still hold several components; that joins most groups of copies at linear cost. What
-is left are members of different components in one bucket. The third pass tests them, in blocks, on
-parity bitmaps: the number of unequal bits of two bitmaps is a lower bound of the number of shingles
+Two passes find the links among the members of buckets. The first compares them with the most
+central document of their bucket; that joins most groups of copies at linear cost. What is left are
+members of different components in one bucket. The second pass tests them, in blocks, on parity
+bitmaps: the number of unequal bits of two bitmaps is a lower bound of the number of shingles
 that only one of the sets has, so pairs it rules out can't link. Only pairs it leaves open become
 rows. Two blocks that lie wholly in the centre's component aren't compared.
 
@@ -27,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.components import connected_components
+from paneltide.llm.components import connected_components, extended_components
 from paneltide.llm.shingles import (SET, Compare, alpha, as_links, bitmap, folded, join_hot, mixed, set_keys,
                                     texts_and_sets, tied_texts, unequal_bits)
 from paneltide.llm.tables import text_key
@@ -37,8 +36,6 @@ LINK_PERCENT = 85
 HALVES = 8
 HALF_ROWS = 3
 SEED = 20_240_229
-#: Of the tables, one in so many is in the first pass.
-FIRST_PASS = 4
 #: Members of one block of a bucket.
 BLOCK = 512
 #: Words of bitmaps compared at once.
@@ -89,50 +86,42 @@ def signatures(docs: DataFrame) -> DataFrame:
             .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
-def _shared_halves(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """(node, component, centrality, a, b): the short signatures that a node shares.
+def _shared_halves(nodes: DataFrame) -> DataFrame:
+    """(node, centrality, a, b): the short signatures that a node shares with another.
 
-    A table key can only be shared if both of its halves are, so halves that occur once, or in
-    one component only, are dropped before any pair of them is formed. ``centrality`` counts the
-    documents met in all halves.
+    A table key can only be shared if both of its halves are, so halves that occur once are
+    dropped before any pair of them is formed. ``centrality`` counts the documents met in all
+    halves.
     """
     halves = nodes.select("node", F.posexplode("halves").alias("half", "value"))
-    own = F.col("node").alias("component")
-    halves = (halves.select("*", own) if parts is None else
-              halves.join(parts, "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
-    shared = (halves.groupBy("half", "value")
-              .agg(F.count("*").alias("n"), F.min("component").alias("least"),
-                   F.max("component").alias("most")).where("least < most")
-              .select("half", "value", "n"))
+    shared = (halves.groupBy("half", "value").agg(F.count("*").alias("n"), F.min("node").alias("least"),
+                                                  F.max("node").alias("most"))
+              .where("least < most").select("half", "value", "n"))
     side = lambda first: F.array_compact(F.collect_set(F.when(
         first, F.struct("half", "value"))))
     return (halves.join(shared, ["half", "value"]).groupBy("node")
-            .agg(F.min("component").alias("component"), F.sum("n").alias("centrality"),
+            .agg(F.sum("n").alias("centrality"),
                  side(F.col("half") < HALVES).alias("a"), side(F.col("half") >= HALVES).alias("b"))
             .where((F.size("a") > 0) & (F.size("b") > 0)))
 
 
-def _buckets(met: DataFrame, first_pass: bool) -> DataFrame:
-    """(key, node, component, centrality, centre, n), one row per table of a node.
+def _buckets(met: DataFrame) -> DataFrame:
+    """(key, node, centre, n), one row per table of a node.
 
-    Buckets that lie in one component are dropped, and of buckets with the same nodes one is
-    kept: close documents share most of their tables. Contents are told apart by counts and sums
-    of hashes, which are combined before the shuffle.
+    Buckets of one node are dropped, and of buckets with the same nodes one is kept: close
+    documents share most of their tables. Contents are told apart by counts and sums of hashes,
+    which are combined before the shuffle.
     """
-    rows = met.withColumn("x", F.explode("a")).withColumn("y", F.explode("b"))
-    if first_pass:
-        rows = rows.where((F.col("x.half") + F.col("y.half")) % FIRST_PASS == 0)
-    rows = rows.select(F.xxhash64("x", "y").alias("key"), "node", "component", "centrality")
+    rows = (met.withColumn("x", F.explode("a")).withColumn("y", F.explode("b"))
+            .select(F.xxhash64("x", "y").alias("key"), "node", "centrality"))
     kept = (rows.groupBy("key")
             .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
                  F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("s"),
-                 F.min("component").alias("least"), F.max("component").alias("most"),
                  F.max(F.struct("centrality", (-F.col("node")).alias("minus"))).alias("top"))
-            .where("least < most").groupBy("n", "x", "s")
+            .where("n > 1").groupBy("n", "x", "s")
             .agg(F.min(F.struct("key", (-F.col("top.minus")).alias("centre"))).alias("k"))
             .select("k.key", "k.centre", "n"))
-    return rows.join(kept, "key")
+    return rows.select("key", "node").join(kept, "key")
 
 
 def _open_in_blocks(percent: int) -> Callable:
@@ -214,18 +203,16 @@ def _open_pairs(buckets: DataFrame, nodes: DataFrame, parts: DataFrame, percent:
     return alone.unionByName(cross).mapInPandas(_open_in_blocks(percent), "node long, centre long").distinct()
 
 
-def find_links(docs: DataFrame, nodes: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """Links (u, v) that connect what is linked among ``nodes`` (node, n, halves, bits)."""
+def find_components(docs: DataFrame, nodes: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+    """(node, component) of what is linked among ``nodes`` (node, n, halves, bits)."""
     compare = Compare(docs, nodes, percent)
-    links, parts = None, None
-    for first in (True, False):
-        met = stage_via_parquet(_shared_halves(nodes, parts))
-        buckets = stage_via_parquet(_buckets(met, first))
-        found = as_links(compare(buckets.where("node <> centre").select("node", "centre").distinct()))
-        links = stage_via_parquet(found if links is None else links.unionByName(found))
-        parts = stage_via_parquet(connected_components(links))
+    buckets = stage_via_parquet(_buckets(stage_via_parquet(_shared_halves(nodes))))
+    links = as_links(compare(buckets.where("node <> centre").select("node", "centre").distinct()))
+    parts = stage_via_parquet(connected_components(links))
     opened = stage_via_parquet(_open_pairs(buckets, nodes, parts, percent))
-    return stage_via_parquet(links.unionByName(as_links(compare(opened))))
+    if opened.isEmpty():
+        return parts
+    return stage_via_parquet(extended_components(parts, as_links(compare(opened))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -242,9 +229,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("halves").alias("halves"),
         F.first("bits").alias("bits")).withColumn("n", F.col("n_shingles")))
     classes = nodes.select(*SET, "node", "copies")
-    links = find_links(docs, nodes).unionByName(tied_texts(filled, classes))
+    parts = extended_components(find_components(docs, nodes), tied_texts(filled, classes))
     named = stage_via_parquet(
-        classes.join(connected_components(links), "node", "left")
+        classes.join(parts, "node", "left")
         .select(*SET, "copies", F.coalesce("component", "node").alias("component_id")))
     columns = ["doc_id", "n_shingles", "component_id", "text_key"]
     apart = (signed.where("n_shingles = 0 or doc_id is null")

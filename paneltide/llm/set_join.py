@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.components import connected_components
+from paneltide.llm.components import connected_components, extended_components
 from paneltide.llm.shingles import (BITS_PER_MEMBER, SET, Compare, alpha, as_links, bitmap, folded, join_hot,
                                     links, set_keys, texts_and_sets, tied_texts, unequal_bits)
 from paneltide.sources.io import stage_via_parquet
@@ -321,8 +321,8 @@ def _differences(compared: DataFrame, nodes: DataFrame) -> DataFrame:
     return chosen.unionByName(first).join(several, "node", "left_anti")
 
 
-def find_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect whatever links among the sets of ``nodes``."""
+def find_components(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of whatever links among the sets of ``nodes``."""
     compare = Compare(docs, nodes, percent)
     entries = nodes.select("node", "n", F.posexplode("tokens").alias("at", "token")).withColumn(
         "at", F.col("at").cast("long"))
@@ -338,11 +338,12 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
              .where(_may_link(percent, F.col("n"), F.col("at"), F.col("n_l"), F.col("at_l")))
              .select("node", F.col("leader").alias("centre")).distinct())
     compared = stage_via_parquet(compare(pairs))
-    found = stage_via_parquet(as_links(compared))
-    parts = stage_via_parquet(connected_components(found))
+    parts = stage_via_parquet(connected_components(as_links(compared)))
 
     # Then what blocks leave open: by differences from a common leader, else by whole sets.
     opened = stage_via_parquet(_open_pairs(listed, leaders, parts, nodes, percent))
+    if opened.isEmpty():
+        return parts
     apart = stage_via_parquet(_differences(compared, nodes))
     side = lambda name, s: apart.select(
         F.col("node").alias(name), F.col("leader").alias(f"leader_{s}"), F.col("n").alias(f"n_{s}"),
@@ -352,7 +353,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     between = (F.size("apart_x") + F.size("apart_y") - 2 * F.size(F.array_intersect("apart_x", "apart_y")))
     derived = known.where("derived").withColumn("linked", links(F.col("n_x"), F.col("n_y"), between, percent))
     rest = known.where("not derived").select("node", "centre")
-    return found.unionByName(as_links(derived)).unionByName(as_links(compare(rest)))
+    return stage_via_parquet(extended_components(parts, as_links(derived).unionByName(as_links(compare(rest)))))
 
 
 def jaccard_components(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
@@ -371,7 +372,7 @@ def jaccard_components(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFram
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stage_via_parquet(
         filled.groupBy(*SET).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    parts = connected_components(find_links(docs, nodes, percent).unionByName(tied_texts(filled, classes)))
+    parts = extended_components(find_components(docs, nodes, percent), tied_texts(filled, classes))
     named = stage_via_parquet(classes.join(parts, "node", "left")
                               .select(*SET, "copies", F.coalesce("component", "node").alias("component_id")))
     apart = rows.where("n_shingles = 0 or doc_id is null").select(
