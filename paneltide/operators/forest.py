@@ -195,39 +195,69 @@ def _decide(tree: _Tree, t: int, n: int, features: list[int], counts: dict, widt
         tree.state[n] = "leaf"
 
 
+def _best_cuts(node: np.ndarray, value: np.ndarray, votes: np.ndarray,
+               whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gain, cut) of each node's best cut of its rows' values; gain -inf where all are equal.
+
+    Rows of all nodes are sorted at once; values up to the cut go left. The first of equally good
+    cuts counts.
+    """
+    order = np.lexsort((value, node))
+    node, value = node[order], value[order]
+    below = votes[order].cumsum(axis=0)
+    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    before = np.zeros((len(whole), votes.shape[1]))
+    before[node[starts[1:]]] = below[starts[1:] - 1]
+    below -= before[node]
+    ends = np.r_[(node[1:] == node[:-1]) & (value[1:] > value[:-1]), False]
+    gain = np.where(ends, _gini_sum(whole)[node] - _gini_sum(below) - _gini_sum(whole[node] - below), -np.inf)
+    best, cut = np.full(len(whole), -np.inf), np.zeros(len(whole))
+    best[node[starts]] = np.maximum.reduceat(gain, starts)
+    hits = np.flatnonzero(gain == best[node])
+    owner, first = np.unique(node[hits], return_index=True)
+    cut[owner] = value[hits[first]]
+    return best, cut
+
+
 def _subtree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
              rng: np.random.Generator) -> np.ndarray:
-    """Grow a subtree to purity; the summed decreases of each feature."""
-    out = np.zeros(x.shape[1])
-    at_a_time = max(1, math.isqrt(x.shape[1]))
-    votes = np.zeros((len(y), classes))
-    votes[np.arange(len(y)), y] = weight
-    todo = [np.arange(len(y))]
-    while todo:
-        rows = todo.pop()
-        own = votes[rows]
-        whole = own.sum(axis=0)
-        if (whole > 0).sum() < 2:
-            continue
-        before, best, seen = _gini_sum(whole), None, 0
-        for f in rng.permutation(x.shape[1]):
-            values = x[rows, f]
-            order = values.argsort(kind="stable")
-            ranked = values[order]
-            ends = np.flatnonzero(ranked[1:] > ranked[:-1])
-            if not len(ends):
-                continue                                # constant here: another one takes its place
-            below = own[order].cumsum(axis=0)[ends]
-            gain = before - _gini_sum(below) - _gini_sum(whole - below)
-            k = int(gain.argmax())
-            if best is None or gain[k] > best[0]:
-                best = (gain[k], f, order[:ends[k] + 1], order[ends[k] + 1:])
-            seen += 1
-            if seen == at_a_time:
+    """Grow a subtree to purity, all nodes of a level at once; the summed decreases of each feature.
+
+    A node considers features in an order of its own until enough of them can split it: one that
+    is constant in the node doesn't count.
+    """
+    out, width = np.zeros(x.shape[1]), x.shape[1]
+    enough = max(1, math.isqrt(width))
+    rows, node = np.arange(len(y)), np.zeros(len(y), dtype=np.int64)
+    while len(rows):
+        n_nodes = int(node.max()) + 1
+        whole = np.bincount(node * classes + y[rows], weight[rows], n_nodes * classes).reshape(n_nodes, classes)
+        mixed = (whole > 0).sum(axis=1) > 1
+        rows, node = rows[mixed[node]], (np.cumsum(mixed) - 1)[node[mixed[node]]]
+        if not len(rows):
+            break
+        whole = whole[mixed]
+        votes = np.zeros((len(rows), classes))
+        votes[np.arange(len(rows)), y[rows]] = weight[rows]
+        tries = rng.random((len(whole), width)).argsort(axis=1)
+        best, feature, cut = np.full(len(whole), -np.inf), np.zeros(len(whole), dtype=np.int64), np.zeros(len(whole))
+        seen = np.zeros(len(whole), dtype=np.int64)
+        for k in range(width):
+            going = seen < enough
+            if not going.any():
                 break
-        if best is not None:
-            out[best[1]] += best[0]
-            todo += [rows[best[3]], rows[best[2]]]
+            here = np.flatnonzero(going[node])
+            own = tries[:, k]
+            gain, at = _best_cuts(node[here], x[rows[here], own[node[here]]], votes[here], whole)
+            better = going & (gain > best)
+            best[better], feature[better], cut[better] = gain[better], own[better], at[better]
+            seen += going & (gain > -np.inf)
+        split = best > -np.inf
+        np.add.at(out, feature[split], best[split])
+        kept = split[node]
+        rows, node = rows[kept], node[kept]
+        right = x[rows, feature[node]] > cut[node]
+        node = np.unique(2 * node + right, return_inverse=True)[1]
     return out
 
 
