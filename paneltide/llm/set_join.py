@@ -13,8 +13,8 @@ in just the symmetric difference of X and Y, so their intersection comes from tw
 What is left is compared in blocks of a list, cut by position and by whether sets belong to the
 leader's component. A pair of blocks is skipped as a whole if its positions and sizes allow no link
 or both belong to the leader. Within blocks, pairs are tested on positions, sizes and a parity
-bitmap (as many bits as shingles: each shingle that only one of the sets has flips one bit, so the
-number of unequal bits is a lower bound of the difference). Only pairs that pass become rows; they
+bitmap (each shingle that only one of the sets has flips one bit, so the number of unequal bits is
+a lower bound of the difference). Only pairs that pass become rows; they
 are tested on longer bitmaps and then on differences or whole sets. No step is approximate: every
 link between different components is found.
 
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.llm.components import connected_components, extended_components
-from paneltide.llm.shingles import (BITS_PER_MEMBER, SET, Compare, alpha, as_links, bitmap, folded, join_hot,
+from paneltide.llm.shingles import (SET, Compare, alpha, as_links, bitmap, folded, join_hot,
                                     links, set_keys, texts_and_sets, tied_texts, unequal_bits)
 from paneltide.sources.io import stage_via_parquet
 
@@ -52,6 +52,10 @@ SLOTS_AT_ONCE = 500_000
 LEADER_FROM = 16
 #: Entries of one block of an index list.
 BLOCK = 512
+#: Entries of lists carry the bitmap folded by this, to so many words at most: half a bit per
+#: shingle tells strangers apart, and longer sets are told apart by the pairs' whole bitmaps.
+BRIEF_FOLD = 8
+BRIEF_WORDS = 32
 #: Pairs of entries, and words of their bitmaps, compared at once.
 PAIRS_AT_ONCE = 1_000_000
 WORDS_AT_ONCE = 1_000_000
@@ -152,7 +156,7 @@ def _index(docs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
             if some:
                 sets = [sets[i] for i in some]
                 keys = [set_keys(s) for s in sets]
-                bits = [(x, folded(x, max(1, len(x) // BITS_PER_MEMBER))) for x in map(bitmap, sets)]
+                bits = [(x, folded(x, max(1, min(len(x) // BRIEF_FOLD, BRIEF_WORDS)))) for x in map(bitmap, sets)]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].to_numpy()[some], "n_shingles": [len(s) for s in sets],
                     "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys],
@@ -267,18 +271,13 @@ def _open_pairs(listed: DataFrame, leaders: DataFrame, parts: DataFrame, nodes:
     home = stage_via_parquet(home)
     own = stage_via_parquet(listed.join(parts, "node", "left")
                             .withColumn("part", F.coalesce("component", "node")).drop("component"))
-    # Lists that lie in one component need nothing any more.
-    several = stage_via_parquet(own.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most"),
-                                                         F.count("*").alias("rows")).where("least < most")
-                                .select("token", "rows"))
-    own = join_hot(own, several, ["token"], "rows").drop("rows")
-    own = own.join(nodes.select("node", "n", F.col("brief").alias("bits")), ["node", "n"])
-    own = stage_via_parquet(own)
     long = join_hot(own, home.withColumnRenamed("size", "weight"), ["token"], "weight").drop("weight")
     short = own.where(F.col("size") <= LEADER_FROM).withColumn("home", F.lit(None).cast("long"))
     at_home = F.coalesce(F.col("part") == F.col("home"), F.lit(False))
     one = F.col("size") <= BLOCK
-    rows = long.unionByName(short, allowMissingColumns=True).select(
+    # Bitmaps join last, so that they are shuffled once and never staged with the entries.
+    rows = long.unionByName(short, allowMissingColumns=True).join(
+        nodes.select("node", "n", F.col("brief").alias("bits")), ["node", "n"]).select(
         "token", "size", "node", "n", "at", "part", "bits", F.when(one, False).otherwise(at_home).alias("at_home"),
         F.when(one, 0).otherwise(F.floor(F.log2(F.col("at") + 1))).alias("band"),
         F.when(one, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).alias("chunk"))
