@@ -7,7 +7,7 @@ import pytest
 from brute import base_spans, components, contamination
 
 from paneltide.llm import minhash_dedup
-from paneltide.llm.components import connected_components
+from paneltide.llm.components import connected_components, extended_components
 from paneltide.llm.decontaminate import decontaminate
 from paneltide.llm.minhash_dedup import near_duplicates
 from paneltide.llm.pii import find_pii, redact
@@ -133,3 +133,12 @@ def test_contexts_find_unseen_identifiers(spark):
     hidden = {r.doc_id: r.text for r in redact(documents(spark, seeds)).collect()}
     assert hidden[0] == "please call number [PHONE] now" == hidden[40]
     assert hidden[41] == seeds[21][1]
+
+
+def test_components_grow_by_later_links(spark):
+    first = spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "u long, v long")
+    parts = spark.createDataFrame(connected_components(first).collect(), "node long, component long")
+    more = spark.createDataFrame([(2, 6), (9, 8), (20, 5), (30, 31)], "u long, v long")
+    got = dict(extended_components(parts, more).collect())
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 20: 1, 8: 8, 9: 8, 30: 30, 31: 30}
+    assert dict(extended_components(parts, more.limit(0)).collect()) == dict(parts.collect())

@@ -151,3 +151,55 @@ def test_few_vectors_give_all(spark):
     assert [r.vec_id for r in got] == [4, 3, 2, 1]
     assert nearest(table.limit(0), F.lit(True), 3).collect() == []
     assert nearest(table.where("vec_id = 0"), F.lit(True), 3).collect() == []
+
+
+def article(inside, n=0):
+    return (f"<html><body><nav><a>menu {n}</a></nav><article><h1>Same title</h1>{inside}<p>Own words {n}.</p>"
+            f"<p>The same ending.</p></article><footer>foot</footer></body></html>")
+
+
+def test_what_pages_share_inside_the_article_stays():
+    pages = [article("<blockquote>A quote that all pages share</blockquote>", n) for n in range(8)]
+    wrapper = html_text.infer_wrapper(pages)
+    for n, page in enumerate(pages):
+        assert html_text.extract(page, wrapper) == (
+            f"Same title\nA quote that all pages share\nOwn words {n}.\nThe same ending.")
+    copies = [article("<p>x</p>")] * 8
+    assert html_text.extract(copies[0], html_text.infer_wrapper(copies)).startswith("Same title\nx\nOwn words 0.")
+
+
+def test_topics_inside_the_article_are_not_its_frame():
+    inside = ('<section class="social-science"><p>A topic</p></section><div id="search"><p>On search</p></div>'
+              '<div class="share"><p>Share me</p></div><div class="ad box"><p>Buy</p></div>')
+    page = article(inside)
+    assert html_text.extract(page, []) == "Same title\nA topic\nOn search\nOwn words 0.\nThe same ending."
+
+
+def test_without_an_article_the_wrapper_finds_the_hosts_lines_at_any_length():
+    def page(n, blocks):
+        body = "".join(f"<p class=c{i % 9}>Text {n} {i}</p><h{i % 5 + 1}>Head {n} {i}</h{i % 5 + 1}>" for i in range(blocks))
+        return f"<body><div>The line of the host</div>{body}<div>Another one</div></body>"
+
+    for blocks in (3, 700):
+        pages = [page(n, blocks) for n in range(6)]
+        wrapper = html_text.infer_wrapper(pages)
+        got = html_text.extract(pages[5], wrapper).split("\n")
+        assert len(got) == 2 * blocks and got[0] == "Text 5 0" and "The line of the host" not in got
+
+
+def test_long_odd_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<a " * 300_000, '<a "' * 200_000, "<a '\"<" * 100_000 + ">", "<!-- " * 100_000,
+                 "<div>" * 100_000 + "</foo>" * 100_000 + "<p>end"):
+        html_text.extract(page, html_text.infer_wrapper([page]))
+    assert time.perf_counter() - start < 20
+
+
+def test_alignment_pairs_equal_groups_in_order():
+    left, right = ([(x,) for x in text] for text in ("abXcdeYfg", "abcZdefWg"))
+    pairs = html_text._aligned(left, right)
+    assert all(left[i] == right[j] for i, j in pairs)
+    assert [left[i][0] for i, _ in pairs] == list("abcdefg")
+    assert html_text._aligned([("a",)] * 3, [("a",)] * 2) == [(0, 0), (1, 1)]
