@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from paneltide.operators.stats import describe_table
+from paneltide.operators.stats import MAX_WIDE_COLUMNS, describe_table
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
@@ -31,6 +32,21 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
               .groupBy("feature", "number", "text").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, d): the exact number of distinct values of each column.
+
+    A few columns are counted one by one, each read alone and in its own type; many, in long form.
+    """
+    if len(cols) > MAX_WIDE_COLUMNS:
+        return value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("d"))
+    parts = []
+    for c in cols:
+        value = F.col(c).cast("double" if _is_numeric(df, c) else "string").alias("v")
+        values = df.select(value).where(F.col("v").isNotNull()).groupBy("v").agg(F.lit(1))
+        parts.append(values.agg(F.count(F.lit(1)).alias("d")).select(F.lit(c).alias("feature"), "d"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None,
                    exact: bool = True) -> DataFrame:
     """One row per column: type, count, missing, distinct, zeros, bounds, moments,
@@ -47,8 +63,7 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None,
         F.count_if(F.col(c) == 0) if _is_numeric(df, c) else F.count_if(F.lit(False))
         for c in cols])))
     if exact:
-        distinct = (value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("d"))
-                    .agg(F.map_from_entries(F.collect_list(F.struct("feature", "d")))))
+        distinct = _distinct_counts(df, cols).agg(F.map_from_entries(F.collect_list(F.struct("feature", "d"))))
     else:
         distinct = df.agg(F.map_from_arrays(names, F.array(*[
             F.approx_count_distinct(c) for c in cols])))

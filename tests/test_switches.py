@@ -11,6 +11,7 @@ from paneltide import spec as spec_module
 from paneltide.operators import densify as D
 from paneltide.operators import features as X
 from paneltide.operators import impute as I
+from paneltide.operators import profile as P
 from paneltide.operators import quantiles as Q
 from paneltide.operators import scale
 from paneltide.operators import sequences as S
@@ -82,3 +83,21 @@ def test_grid_is_keyed_by_the_entity(spark):
     apart = PanelSpec(entity=("subdistrict_code",), attrs=("state_name",))
     assert D.densify_full(renamed, apart).count() == 5
     assert D.densify_listed(renamed, SPEC, [dt.date(2017, 2, 1), dt.date(2017, 3, 1)]).count() == 4
+
+
+def test_text_bounds_side_by_side_take_no_sort(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("a"), F.lit(None).cast("date").alias("b"))
+    plan = T.describe_table(df)._jdf.queryExecution().toString()
+    assert "SortAggregate(key=[feature" not in plan
+    assert [(r.feature, r["count"], r.nulls, r.min_text, r.max_text) for r in T.describe_table(df).collect()] == [
+        ("a", 30, 0, "0", "9"), ("b", 0, 30, None, None)]
+
+
+@pytest.mark.parametrize("width", [20, 0])
+def test_distinct_counts_whatever_the_width(spark, monkeypatch, width):
+    monkeypatch.setattr(P, "MAX_WIDE_COLUMNS", width)
+    df = spark.createDataFrame([(0.0, "x"), (-0.0, "y"), (float("nan"), None), (float("nan"), "x"), (None, "x")],
+                               "a double, b string")
+    assert {r.feature: r.distinct for r in P.column_profile(df).collect()} == {"a": 2, "b": 2}
+    # Side by side no value is written out with its column's name.
+    assert ("Generate inline" in P._distinct_counts(df, df.columns)._jdf.queryExecution().toString()) == (width == 0)
