@@ -28,8 +28,8 @@ SMALL_ROWS = 100_000
 #: Bins of a feature in large nodes, and the rows their borders are taken from.
 BINS = 128
 BORDER_ROWS = 50_000
-#: Counts of one pass over the rows, and rows sent to subtrees at a time: they bound how many trees
-#: are worked on together.
+#: Counts of one pass over the rows, and rows sent to subtrees at a time: they bound how many nodes
+#: are split and how many trees are finished together.
 COUNTS_AT_ONCE = 4_000_000
 ROWS_AT_ONCE = 20_000_000
 #: Classes a label may have.
@@ -122,27 +122,30 @@ def _counted(rows: DataFrame, trees: dict[int, _Tree], wanted: dict[tuple[int, i
     cells = [(t, n, f) for (t, n), fs in sorted(wanted.items()) for f in fs]
     place = {cell: i for i, cell in enumerate(cells)}
     size = (BINS + 1) * classes
-    by_tree: dict[int, list[tuple[int, list[int]]]] = {}
-    for (t, n), fs in wanted.items():
-        by_tree.setdefault(t, []).append((n, fs))
-    shared = rows.sparkSession.sparkContext.broadcast((trees, by_tree, place, borders))
+    by_tree = _cells_by_tree(trees, wanted, place)
+    used = {t: trees[t] for t in by_tree}
+    shared = rows.sparkSession.sparkContext.broadcast((used, by_tree, borders))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, by_tree, place, borders = shared.value
-        total = np.zeros(len(place) * size, dtype=np.int64)
+        trees, by_tree, borders = shared.value
+        total = np.zeros(len(cells) * size, dtype=np.int64)
         for batch in batches:
             if not len(batch):
                 continue
             x, y, ticket = _arrays(batch)
             bins = _to_bins(x, borders)
-            for t, nodes in by_tree.items():
+            for t, (number, features, first) in by_tree.items():
                 weight = bootstrap_weights(ticket, t, seed)
-                at = trees[t].route(bins)
-                for n, fs in nodes:
-                    here = np.flatnonzero((at == n) & (weight > 0))
-                    for f in fs:
-                        own = total[place[t, n, f] * size:][:size]
-                        own += np.bincount(bins[here, f] * classes + y[here], weight[here], size).astype(np.int64)
+                at = number[trees[t].route(bins)]
+                here = np.flatnonzero((at >= 0) & (weight > 0))
+                node, drawn = at[here], weight[here]
+                slot = first[node] * size + y[here]
+                start, end = int(first[0]) * size, (int(first[-1]) + int((features[-1] >= 0).sum())) * size
+                for k in range(features.shape[1]):
+                    f = features[node, k]
+                    some = f >= 0                       # the last tries of a node may be fewer
+                    at_bin = slot[some] + k * size + bins[here[some], f[some]] * classes - start
+                    total[start:end] += np.bincount(at_bin, drawn[some], end - start).astype(np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["slot", "n"])
 
@@ -152,6 +155,20 @@ def _counted(rows: DataFrame, trees: dict[int, _Tree], wanted: dict[tuple[int, i
     return {cell: table[i * size:(i + 1) * size].reshape(-1, classes) for cell, i in place.items()}
 
 
+def _cells_by_tree(trees: dict[int, _Tree], wanted: dict[tuple[int, int], list[int]],
+                   place: dict[tuple[int, int, int], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per tree: the number of each node among the wanted ones or -1, the features of these (-1 where
+    there is none), and the place of the first; the places of a tree follow one another."""
+    out, most = {}, max(map(len, wanted.values()))
+    for t in sorted({t for t, _ in wanted}):
+        nodes = sorted(n for own, n in wanted if own == t)
+        number = np.full(len(trees[t].state), -1, dtype=np.int64)
+        number[nodes] = np.arange(len(nodes))
+        features = np.array([wanted[t, n] + [-1] * (most - len(wanted[t, n])) for n in nodes], dtype=np.int64)
+        out[t] = number, features, np.array([place[t, n, wanted[t, n][0]] for n in nodes], dtype=np.int64)
+    return out
+
+
 def _grow_large(rows: DataFrame, group: Sequence[int], borders: list[np.ndarray], classes: int, width: int,
                 seed: int, small: int) -> tuple[dict[int, _Tree], list[tuple[int, int, float]]]:
     """The upper parts of some trees, until no open node is left, and their decreases."""
@@ -195,27 +212,52 @@ def _decide(tree: _Tree, t: int, n: int, features: list[int], counts: dict, widt
         tree.state[n] = "leaf"
 
 
-def _best_cuts(node: np.ndarray, value: np.ndarray, votes: np.ndarray,
+def _ranks(x: np.ndarray) -> list[np.ndarray]:
+    """Per feature the rank of each row's value among the distinct ones."""
+    return [np.unique(column, return_inverse=True)[1] for column in x.T]
+
+
+def _sum_of(counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and rows times impurity, for the counts of each class."""
+    n, squares = sum(counts[1:], counts[0]), sum((c * c for c in counts[1:]), counts[0] * counts[0])
+    return n, n - squares / np.maximum(n, 1)
+
+
+def _best_cuts(node: np.ndarray, rank: np.ndarray, weight: np.ndarray, y: np.ndarray,
                whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gain, cut) of each node's best cut of its rows' values; gain -inf where all are equal.
+    """(gain, cut) of each node's best cut of its rows' ranks; gain -inf where all are equal.
 
-    Rows of all nodes are sorted at once; values up to the cut go left. The first of equally good
+    Rows of all nodes are sorted at once, as whole numbers of node, rank and place; ranks up to
+    the cut go left. Only the last row of equal values is counted. The first of equally good
     cuts counts.
     """
-    order = np.lexsort((value, node))
-    node, value = node[order], value[order]
-    below = votes[order].cumsum(axis=0)
-    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    before = np.zeros((len(whole), votes.shape[1]))
-    before[node[starts[1:]]] = below[starts[1:] - 1]
-    below -= before[node]
-    ends = np.r_[(node[1:] == node[:-1]) & (value[1:] > value[:-1]), False]
-    gain = np.where(ends, _gini_sum(whole)[node] - _gini_sum(below) - _gini_sum(whole[node] - below), -np.inf)
-    best, cut = np.full(len(whole), -np.inf), np.zeros(len(whole))
-    best[node[starts]] = np.maximum.reduceat(gain, starts)
-    hits = np.flatnonzero(gain == best[node])
-    owner, first = np.unique(node[hits], return_index=True)
-    cut[owner] = value[hits[first]]
+    best, cut = np.full(len(whole), -np.inf), np.zeros(len(whole), dtype=np.int64)
+    places, ranks = len(node).bit_length(), int(rank.max()).bit_length()
+    packed = (((node << ranks) | rank) << places) | np.arange(len(node))
+    packed.sort()
+    order = packed & ((1 << places) - 1)
+    packed >>= places                                   # node and rank
+    node = packed >> ranks
+    ends = np.flatnonzero(packed[1:] != packed[:-1])
+    inner = ends[node[ends] == node[ends + 1]]          # not the last value of a node
+    if not len(inner):
+        return best, cut
+    starts = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1]
+    weight, y = weight[order], y[order]
+    at = node[inner]
+    below, above = [], []
+    for k in range(whole.shape[1]):
+        upto = np.cumsum(np.where(y == k, weight, 0.0))
+        before = np.zeros(len(whole))
+        before[node[starts[1:]]] = upto[starts[1:] - 1]
+        below.append(upto[inner] - before[at])
+        above.append(whole[:, k][at] - below[-1])
+    gain = _gini_sum(whole)[at] - _sum_of(below)[1] - _sum_of(above)[1]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    best[at[first]] = np.maximum.reduceat(gain, first)
+    hits = np.flatnonzero(gain == best[at])
+    owner, one = np.unique(at[hits], return_index=True)
+    cut[owner] = packed[inner[hits[one]]] & ((1 << ranks) - 1)
     return best, cut
 
 
@@ -229,6 +271,7 @@ def _subtree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
     out, width = np.zeros(x.shape[1]), x.shape[1]
     enough = max(1, math.isqrt(width))
     rows, node = np.arange(len(y)), np.zeros(len(y), dtype=np.int64)
+    rank = np.stack(_ranks(x)) if len(y) else np.zeros((width, 0), dtype=np.int64)
     while len(rows):
         n_nodes = int(node.max()) + 1
         whole = np.bincount(node * classes + y[rows], weight[rows], n_nodes * classes).reshape(n_nodes, classes)
@@ -237,10 +280,8 @@ def _subtree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
         if not len(rows):
             break
         whole = whole[mixed]
-        votes = np.zeros((len(rows), classes))
-        votes[np.arange(len(rows)), y[rows]] = weight[rows]
         tries = rng.random((len(whole), width)).argsort(axis=1)
-        best, feature, cut = np.full(len(whole), -np.inf), np.zeros(len(whole), dtype=np.int64), np.zeros(len(whole))
+        best, feature, cut = np.full(len(whole), -np.inf), *np.zeros((2, len(whole)), dtype=np.int64)
         seen = np.zeros(len(whole), dtype=np.int64)
         for k in range(width):
             going = seen < enough
@@ -248,7 +289,8 @@ def _subtree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
                 break
             here = np.flatnonzero(going[node])
             own = tries[:, k]
-            gain, at = _best_cuts(node[here], x[rows[here], own[node[here]]], votes[here], whole)
+            at_node, at_row = node[here], rows[here]
+            gain, at = _best_cuts(at_node, rank[own[at_node], at_row], weight[at_row], y[at_row], whole)
             better = going & (gain > best)
             best[better], feature[better], cut[better] = gain[better], own[better], at[better]
             seen += going & (gain > -np.inf)
@@ -256,11 +298,30 @@ def _subtree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
         np.add.at(out, feature[split], best[split])
         kept = split[node]
         rows, node = rows[kept], node[kept]
-        right = x[rows, feature[node]] > cut[node]
-        node = np.unique(2 * node + right, return_inverse=True)[1]
+        right = rank[feature[node], rows] > cut[node]
+        node = 2 * node + right
+        used = np.zeros(2 * len(whole), dtype=bool)
+        used[node] = True
+        node = (np.cumsum(used) - 1)[node]
     return out
 
 
+def _packed(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ticket: np.ndarray) -> bytes:
+    """Some rows of a node as one value: millions of rows cross as thousands."""
+    counts = np.array([len(y)], dtype=np.int64)
+    return b"".join(np.ascontiguousarray(a, dtype=d).tobytes() for a, d in (
+        (counts, np.int64), (ticket, np.int64), (x, np.float64), (y, np.int32), (weight, np.int32)))
+
+
+def _unpacked(rows: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(rows, np.int64, 1)[0])
+    width = (len(rows) - 8 - 16 * n) // (8 * n)
+    ticket = np.frombuffer(rows, np.int64, n, 8)
+    x = np.frombuffer(rows, np.float64, n * width, 8 + 8 * n).reshape(n, width)
+    y, weight = np.frombuffer(rows, np.int32, 2 * n, 8 + 8 * n * (1 + width)).reshape(2, n)
+    return x, y, weight, ticket
+
+
 def _finish(classes: int, seed: int) -> Callable:
     """Grouped-map function that finishes one small node."""
     def grow(tree: int, node: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ticket: np.ndarray) -> pd.DataFrame:
@@ -270,9 +331,8 @@ def _finish(classes: int, seed: int) -> Callable:
         return pd.DataFrame({"tree": np.int32(tree), "feature": used.astype(np.int32), "decrease": found[used]})
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
-        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-        frame = grow(int(key[0].as_py()), int(key[1].as_py()), x, rows.column("y").to_numpy(),
-                     rows.column("weight").to_numpy(), rows.column("ticket").to_numpy())
+        x, y, weight, ticket = (np.concatenate(a) for a in zip(*map(_unpacked, rows.column("rows").to_pylist()), strict=True))
+        frame = grow(int(key[0].as_py()), int(key[1].as_py()), x, y, weight, ticket)
         return pa.Table.from_pandas(frame, preserve_index=False)
 
     return finish
@@ -288,21 +348,24 @@ def _grow_small(rows: DataFrame, trees: dict[int, _Tree], borders: list[np.ndarr
         for batch in batches:
             if not len(batch):
                 continue
-            x, _, ticket = _arrays(batch)
+            x, y, ticket = _arrays(batch)
             bins = _to_bins(x, borders) if any(len(t.state) > 1 for t in trees.values()) else None
+            chunks: list[tuple[int, int, bytes]] = []
             for t, tree in trees.items():
                 weight = bootstrap_weights(ticket, t, seed)
                 at = np.zeros(len(x), dtype=np.int64) if bins is None else tree.route(bins)
                 small = np.array([s == "small" for s in tree.state])
                 here = np.flatnonzero((weight > 0) & small[at])
-                if len(here):
-                    own = batch.take(pa.array(here))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(here), t), pa.int32()), pa.array(at[here]),
-                         pa.array(weight[here], pa.int32()), own.column("ticket"), own.column("y"), own.column("x")],
-                        names=["tree", "node", "weight", "ticket", "y", "x"])
-
-    dealt = rows.mapInArrow(deal, "tree int, node long, weight int, ticket long, y int, x array<double>")
+                here = here[at[here].argsort(kind="stable")]
+                for own in np.split(here, np.flatnonzero(np.diff(at[here])) + 1):
+                    if len(own):
+                        chunks.append((t, int(at[own[0]]), _packed(x[own], y[own], weight[own], ticket[own])))
+            trees_, nodes, packed = zip(*chunks, strict=True) if chunks else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(trees_, pa.int32()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())],
+                names=["tree", "node", "rows"])
+
+    dealt = rows.mapInArrow(deal, "tree int, node long, rows binary")
     return dealt.groupBy("tree", "node").applyInArrow(_finish(classes, seed), _DECREASE)
 
 
@@ -329,12 +392,13 @@ def impurity_decreases(df: DataFrame, cols: Sequence[str], label: str, trees: in
     total = rows.count()
     group = max(1, min(trees, ROWS_AT_ONCE // total))
     borders = _borders(rows, len(cols))
+    # The upper parts of all trees share their passes; only the rows of the lower parts are many.
+    grown, decreases = _grow_large(rows, range(trees), borders, len(values), len(cols), seed, small)
+    for t, f, gain in decreases:
+        out[t, f] += gain
     for first in range(0, trees, group):
-        some = range(first, min(first + group, trees))
-        grown, decreases = _grow_large(rows, some, borders, len(values), len(cols), seed, small)
-        for t, f, gain in decreases:
-            out[t, f] += gain
-        below = _grow_small(rows, grown, borders, len(values), seed)
+        some = {t: grown[t] for t in range(first, min(first + group, trees))}
+        below = _grow_small(rows, some, borders, len(values), seed)
         # Decimals: their sum is the same in any order. At most one row per tree and feature.
         sums = below.groupBy("tree", "feature").agg(F.sum(F.col("decrease").cast("decimal(28,9)")).alias("d"))
         for r in sums.collect():

@@ -85,3 +85,21 @@ def test_importance_table(spark):
     one = data(spark).where("pseudo_label = 1")
     assert {r.importance for r in forest_importance(one, COLS, trees=3).collect()} == {0.0}
     assert len(forest_importance(one.limit(0), COLS, trees=3).collect()) == 4
+
+
+def test_large_nodes_of_all_trees_share_their_passes(spark, monkeypatch):
+    passes, counted = [], forest._counted
+    monkeypatch.setattr(forest, "_counted", lambda rows, trees, wanted, *a: passes.append(
+        {t for t, _ in wanted}) or counted(rows, trees, wanted, *a))
+    whole = impurity_decreases(data(spark, 600), COLS, "pseudo_label", 5, 42, ["id"], 150)
+    assert passes[0] == set(range(5)) and len(passes) < 20
+    first = len(passes)
+    monkeypatch.setattr(forest, "ROWS_AT_ONCE", 1)       # subtrees of one tree at a time
+    assert (impurity_decreases(data(spark, 600), COLS, "pseudo_label", 5, 42, ["id"], 150) == whole).all()
+    assert len(passes) == 2 * first
+
+
+def test_rows_of_a_node_cross_whole():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(7, 3)), rng.integers(0, 3, 7), rng.integers(1, 9, 7), rng.integers(-2 ** 62, 2 ** 62, 7)
+    assert all((a == b).all() for a, b in zip(rows, forest._unpacked(forest._packed(*rows)), strict=True))
