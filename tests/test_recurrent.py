@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from paneltide.operators import recurrent
 from paneltide.operators.recurrent import (
     Adam, RecurrentReconstruction, flat, gradients, rebuild, recurrent_fit, recurrent_score, start_weights,
 )
@@ -99,3 +100,13 @@ def test_it_learns_what_a_plane_of_its_size_cannot():
     axes = np.linalg.svd(plane - mean, full_matrices=False)[2][:hidden]
     rest = (new[:, :, 0] - mean) - (new[:, :, 0] - mean) @ axes.T @ axes
     assert ((rebuild(w, new) - new) ** 2).mean() < (rest ** 2).mean()
+
+
+def test_windows_side_by_side_at_extremes_and_any_number():
+    """Gates far out neither overflow nor lose their limit; the number taken at once doesn't matter."""
+    assert recurrent._tanh(2 * np.array([-1e6, -30.0, 0.0, 1e-3, 30.0, 1e6])) == pytest.approx(
+        np.tanh([-1e6, -30.0, 0.0, 1e-3, 30.0, 1e6]), abs=1e-15)
+    w, x = start_weights(2, 5, 2, seed=4), np.random.default_rng(6).normal(size=(9, 7, 2))
+    whole, parts = gradients(w, x), [gradients(w, x[i:i + 2]) for i in range(0, 9, 2)]
+    assert whole[0] == pytest.approx(sum(p[0] for p in parts))
+    assert np.allclose(flat(whole[1]), sum(flat(p[1]) for p in parts), atol=1e-12)
