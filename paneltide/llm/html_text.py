@@ -1,10 +1,11 @@
 """Main text of pages by wrappers: regular expressions without unions, inferred per host.
 
 A page is a stream of blocks, each named by its path of elements, with a text. Runs of blocks
-that repeat are folded. The streams of a few pages of a host are aligned one after the other: what
-occurs in both stays, what occurs in one becomes optional, what repeats in either becomes repeated,
-and a text that differs becomes a slot, while one that is the same everywhere is the host's own.
-The result is the wrapper of the host. Every page is then matched with its wrapper; the slots of
+that repeat are folded. The streams of all pages of a host are aligned: what occurs in both stays,
+what occurs in one becomes optional, what repeats in either becomes repeated, and a text that
+differs becomes a slot, while one that is the same everywhere is the host's own. Pages of one
+structure are aligned where they are read, different structures then in rounds. The result is the
+wrapper of the host. Every page is then matched with its wrapper; the slots of
 the article give the text.
 """
 
@@ -26,12 +27,10 @@ from pyspark.sql import functions as F
 from paneltide.llm.url_filter import host_and_path
 from paneltide.sources.io import stage_via_parquet
 
-#: Pages of a host that its wrapper is inferred from, at most: one per residue of a hash.
-PAGES_PER_HOST = 8
+#: Wrappers of a host that one task aligns; more are aligned in rounds.
+ALIGNED_AT_ONCE = 32
 #: Pages with the same constant text in a slot before the text counts as the host's own.
 CONSTANT_PAGES = 4
-#: Hashes of chosen pages are broadcast up to this many (some 20 MB).
-BROADCAST_CHOSEN = 200_000
 #: Wrappers are broadcast up to this many characters in all, else joined by a shuffle.
 BROADCAST_CHARS = 16_000_000
 
@@ -222,6 +221,7 @@ def _aligned(left: list[tuple[str, ...]], right: list[tuple[str, ...]]) -> list[
 
     Equal beginnings and ends pair up; between them, groups that occur once on either side are
     anchors, of which a longest increasing run is taken, and the gaps are aligned in the same way.
+    Without any, the first, second, ... occurrences of a group on either side are anchors.
     """
     pairs, todo = [], [(0, len(left), 0, len(right))]
     while todo:
@@ -239,6 +239,9 @@ def _aligned(left: list[tuple[str, ...]], right: list[tuple[str, ...]]) -> list[
         both = Counter(right[c:d])
         anchors = _increasing([(i, place[x]) for i, x in enumerate(left[a:b], a)
                                if once[x] == 1 and both[x] == 1])
+        if not anchors:
+            nth = {x: j for j, x in enumerate(_numbered(right[c:d]), c)}
+            anchors = _increasing([(i, nth[x]) for i, x in enumerate(_numbered(left[a:b]), a) if x in nth])
         if not anchors:
             continue
         pairs += anchors
@@ -247,6 +250,15 @@ def _aligned(left: list[tuple[str, ...]], right: list[tuple[str, ...]]) -> list[
     return sorted(pairs)
 
 
+def _numbered(groups: list[tuple[str, ...]]) -> list[tuple[tuple[str, ...], int]]:
+    seen: Counter[tuple[str, ...]] = Counter()
+    out = []
+    for group in groups:
+        out.append((group, seen[group]))
+        seen[group] += 1
+    return out
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs that grows on the right; the left grows already."""
     tails, ends, before = [], [], []
@@ -306,28 +318,57 @@ def extract(page: str, wrapper: list[Item]) -> str:
     return "\n".join(b.text for b in inside or [b for i, b in kept if i not in own])
 
 
+def _coded(wrapper: list[Item]) -> str:
+    return json.dumps(wrapper)
+
+
+def _decoded(code: str) -> list[Item]:
+    return [Item(tuple(x[0]), x[1], x[2], tuple(x[3]), x[4]) for x in json.loads(code)]
+
+
+def _structures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One wrapper for the pages of a batch that have a host and a sequence of groups in common."""
+    for batch in batches:
+        made: dict[tuple[str, str], list[Item]] = {}
+        for host, page in zip(batch["host"], batch["html"].fillna(""), strict=True):
+            items = _items(blocks_of(page))
+            key = host, xxhash.xxh128_hexdigest(json.dumps([x.paths for x in items]))
+            made[key] = align(made[key], items) if key in made else items
+        yield pd.DataFrame([(*key, _coded(w)) for key, w in made.items()], columns=["host", "key", "wrapper"])
+
+
+def _aligned_rows(rows: pd.DataFrame) -> str:
+    """The rows' wrappers aligned in the order of their keys."""
+    made: list[Item] | None = None
+    for code in rows.sort_values(["key", "wrapper"])["wrapper"]:
+        made = _decoded(code) if made is None else align(made, _decoded(code))
+    return _coded(made or [])
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) from at most ``PAGES_PER_HOST`` pages of each host.
+    """(host, wrapper as JSON) from all pages of each host.
 
-    The pages are chosen by least hash, combined before the shuffle, so a host with a third of
-    all pages sends no more than the others. Only the html of chosen pages is shuffled, as long
-    as their hashes are few enough to be broadcast.
+    Pages of equal structure become one wrapper in their batch and one per host after a shuffle, so
+    a host with a third of all pages sends its structures, not its pages. Different structures are
+    aligned ``ALIGNED_AT_ONCE`` at a time, in an order that follows from the structures alone.
     """
-    hashed = pages.select("host", "page_id", "url", "html",
-                          F.xxhash64("page_id", "url", F.length("html")).alias("hash"))
-    turn = F.pmod("hash", F.lit(PAGES_PER_HOST))
-    chosen = hashed.groupBy("host", turn.alias("turn")).agg(F.min("hash").alias("hash"))
-    chosen = stage_via_parquet(chosen.select("host", "hash"))
-    few = chosen.count() <= BROADCAST_CHOSEN
-    sample = (hashed.join(F.broadcast(chosen) if few else chosen, ["host", "hash"], "left_semi")
-              .groupBy("host", "hash").agg(F.min("html").alias("html")))
+    def same(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "key": [key[1]], "wrapper": [_aligned_rows(rows)]})
 
-    def infer(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("hash")
-        made = infer_wrapper(rows["html"].fillna("").tolist())
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(made)]})
+    def lot(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "key": [f"{key[1]:020d}"], "wrapper": [_aligned_rows(rows)]})
 
-    return sample.groupBy("host").applyInPandas(infer, "host string, wrapper string")
+    schema = "host string, key string, wrapper string"
+    made = stage_via_parquet(pages.select("host", "html").mapInPandas(_structures, schema)
+                             .groupBy("host", "key").applyInPandas(same, schema))
+    while True:
+        sizes = made.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return made.select("host", "wrapper")
+        number = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / ALIGNED_AT_ONCE))
+        made = stage_via_parquet(made.join(sizes, "host").withColumn("lot", number).drop("n")
+                                 .groupBy("host", "lot").applyInPandas(lot, schema))
 
 
 def extract_text(rows: DataFrame) -> DataFrame:
@@ -351,8 +392,7 @@ def extract_text(rows: DataFrame) -> DataFrame:
                 if code not in parsed:
                     if len(parsed) > 1000:
                         parsed.clear()
-                    parsed[code] = [Item(tuple(x[0]), x[1], x[2], tuple(x[3]), x[4])
-                                    for x in json.loads(code)]
+                    parsed[code] = _decoded(code)
                 texts.append(extract(page, parsed[code]))
             yield batch[["page_id", "url"]].assign(text=texts)
 

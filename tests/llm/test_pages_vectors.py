@@ -203,3 +203,19 @@ def test_alignment_pairs_equal_groups_in_order():
     assert all(left[i] == right[j] for i, j in pairs)
     assert [left[i][0] for i, _ in pairs] == list("abcdefg")
     assert html_text._aligned([("a",)] * 3, [("a",)] * 2) == [(0, 0), (1, 1)]
+
+
+def test_wrappers_come_from_all_pages_however_they_are_dealt(spark, monkeypatch):
+    """A line that only one of 200 pages words otherwise is no line of the host's own."""
+    def page(i):
+        note = "Differs" if i == 117 else "Same line"
+        return f"<body><h1>T{i}</h1>{'<pre>x</pre>' * (i % 3)}{'<ul><li>a<li>b</ul>' * (i % 2)}<p>{note}</p></body>"
+
+    rows = [(i, "http://a.org/x", page(i), "a.org") for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    monkeypatch.setattr(html_text, "ALIGNED_AT_ONCE", 2)
+    found = {html_text.wrappers(df.repartition(n)).first()["wrapper"] for n in (1, 7)}
+    assert len(found) == 1
+    items = html_text._decoded(found.pop())
+    assert max(x.pages for x in items) == 200
+    assert not any(t == "Same line" for x in items for t in x.texts)
