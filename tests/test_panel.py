@@ -215,3 +215,29 @@ def test_column_helpers(spark):
     assert C.pad_nulls(df.select("date"), df).dtypes == df.dtypes
     table_ = spark.createDataFrame([("b",)], "feature string")
     assert C.select_from_table(df, table_, keep=["date"]).columns == ["date", "b"]
+
+
+def test_rolling_values_of_many_columns_are_reduced_within_a_row(spark):
+    values = [0.1, 0.1, 0.1, 0.1, None, None, None, None, 5.0, None, -2.5, float("nan"), 1.0,
+              float("inf"), 2.0, 3.0, 4.0, 7.5]
+    rows = [row(e, n, v, None if n % 5 == e else n * e) for e in (1, 2) for n, v in enumerate(values)]
+    more = [f"a{i}" for i in range(1, 22)]
+    df = panel(spark, rows).select("*", F.col("b").cast("decimal(9,2)").alias("d"),
+                                   *[(F.col("a") * i).alias(c) for i, c in enumerate(more, 1)])
+    wide = X.feature_bundle(df, SPEC, ["a", "b", "d", *more])
+    narrow = X.feature_bundle(df, SPEC, ["a", "b", "d", "a7"])
+    names = [n for n in narrow.columns if n not in df.columns]
+    assert wide.select(names).schema == narrow.select(names).schema
+    assert len(wide.columns) == len(df.columns) + 5 * 24
+    got, expected = ([[str(round(v, 9)) if isinstance(v, float) else v for v in r]
+                      for r in x.select(*SPEC.cell, *names).orderBy(*SPEC.cell).collect()]
+                     for x in (wide, narrow))
+    assert got == expected
+    assert (wide.where("a_roll_std3 = 0").count() == narrow.where("a_roll_std3 = 0").count() > 0)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (wide, narrow)]
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # Only the decimal is aggregated frame by frame.
+    assert [plan.count("stddev_samp(") for plan in plans] == [1, 4]
