@@ -7,8 +7,10 @@ inputs of a text, because the sum over pairs is half of (sum of v x) squared min
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,8 @@ PENALTY = 1e-4
 CLIP = 4.0                # standard deviations a structure value may lie off the mean
 TEXTS_AT_ONCE = 64
 
-_SIGNS = np.frombuffer(b"#$%&*@|~^_<>=+\\{}[]/", dtype=np.uint8)
+_SIGNS = b"#$%&*@|~^_<>=+\\{}[]/"
+_END_SIGN, _WHITE = (np.isin(np.arange(256), list(chosen)) for chosen in (b"#$%&*@|~^!", b" \t\n\r\v\f"))
 STRUCTURE = ("chars", "words", "word_length", "capitals", "digits", "punctuation", "signs",
              "exclamations", "white", "lines", "other_bytes", "word_kinds", "top_word",
              "line_kinds", "top_line", "sign_ends", "pair_kinds")
@@ -48,37 +51,61 @@ class Machine:
     factors: np.ndarray       # (inputs, FACTORS)
 
 
-def structure(text: str, words: list[bytes], hashes: np.ndarray) -> list[float]:
-    """The values of ``STRUCTURE``. Lengths are the only metadata; they come from the text."""
-    raw = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
-    n, n_bytes = max(len(words), 1), max(int(raw.sum()), 1)
-    letters = max(int(raw[65:91].sum() + raw[97:123].sum()), 1)
-    kinds, counts = np.unique(hashes, return_counts=True)
-    pairs = np.unique(hashes[1:] * np.uint64(31) + hashes[:-1]) if len(hashes) > 1 else kinds
-    lines = [line for line in text.split("\n") if line.strip()]
-    line_counts = np.array(list(pd.Series(lines).value_counts())) if len(lines) > 1 else np.ones(1)
-    ends = sum(w[-1:] in b"#$%&*@|~^!" for w in words)
-    return [np.log1p(len(text)), np.log1p(len(words)), float(n_bytes / n), raw[65:91].sum() / letters,
-            raw[48:58].sum() / n_bytes, (raw[33:48].sum() + raw[58:65].sum()) / n_bytes,
-            raw[_SIGNS].sum() / n_bytes, raw[33] / n_bytes, (raw[32] + raw[9:14].sum()) / n_bytes,
-            np.log1p(len(lines)), raw[128:].sum() / n_bytes, len(kinds) / n,
-            counts.max(initial=0) / n, len(line_counts) / max(len(lines), 1),
-            line_counts.max() / max(len(lines), 1), ends / n, len(pairs) / n]
+def _kinds(hashes: np.ndarray) -> tuple[int, int]:
+    """How many different values there are, and how often the most frequent one occurs."""
+    if not len(hashes):
+        return 0, 0
+    ordered = np.sort(hashes)
+    ends = np.concatenate(([-1], np.flatnonzero(ordered[1:] != ordered[:-1]), [len(ordered) - 1]))
+    return len(ends) - 1, int((ends[1:] - ends[:-1]).max())
+
+
+def structure(text: str, raw: np.ndarray, n_words: int, hashes: np.ndarray) -> list[float]:
+    """The values of ``STRUCTURE``. Lengths are the only metadata; they come from the text.
+
+    ``raw`` are the bytes of the text, ``hashes`` those of its ``n_words`` words.
+    """
+    # Sums of byte counts up to each value, so that a range of bytes is one difference.
+    upto = [0, *np.cumsum(np.bincount(raw, minlength=256)).tolist()]
+    n, n_bytes = max(n_words, 1), max(len(raw), 1)
+    capitals = upto[91] - upto[65]
+    letters = max(capitals + upto[123] - upto[97], 1)
+    kinds, top = _kinds(hashes)
+    pairs = _kinds(hashes[1:] * np.uint64(31) + hashes[:-1])[0] if len(hashes) > 1 else kinds
+    lines = Counter(line for line in text.split("\n") if line.strip())
+    n_lines = lines.total()
+    # A word ends where white space or nothing follows.
+    is_end = _END_SIGN[raw]
+    ends = int(np.count_nonzero(is_end[:-1] & _WHITE[raw[1:]])) + int(is_end[-1:].sum())
+    return [np.log1p(len(text)), np.log1p(n_words), n_bytes / n, capitals / letters,
+            (upto[58] - upto[48]) / n_bytes, (upto[48] - upto[33] + upto[65] - upto[58]) / n_bytes,
+            sum(upto[s + 1] - upto[s] for s in _SIGNS) / n_bytes, (upto[34] - upto[33]) / n_bytes,
+            (upto[33] - upto[32] + upto[14] - upto[9]) / n_bytes,
+            np.log1p(n_lines), (upto[256] - upto[128]) / n_bytes, kinds / n,
+            top / n, max(len(lines), 1) / max(n_lines, 1),
+            max(lines.values(), default=1) / max(n_lines, 1), ends / n, pairs / n]
 
 
 def inputs(texts: list[str]) -> Iterator[tuple[list[float], np.ndarray, np.ndarray]]:
     """Per text: structure values, its word buckets, and their weights (of Euclidean length 1)."""
-    split = [t.encode().lower().split() for t in texts]
-    flat = np.array([w for ws in split for w in ws] + [b""], dtype=object)[:-1]
+    encoded = [t.encode() for t in texts]
+    split = [raw.lower().split() for raw in encoded]
+    flat = np.array([*chain.from_iterable(split), b""], dtype=object)[:-1]
     hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
+    lengths = [len(words) for words in split]
+    # The buckets of all texts are counted at once, each text in a range of its own.
+    own_range = np.repeat(np.arange(len(texts), dtype=np.int64) * WORD_BUCKETS, lengths)
+    ordered = np.sort(own_range + ((hashes >> np.uint64(40)) % np.uint64(WORD_BUCKETS)).astype(np.int64))
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    buckets, logs = ordered[starts], np.log1p(np.diff(starts, append=len(ordered)))
+    cuts = np.searchsorted(buckets, np.arange(len(texts) + 1) * WORD_BUCKETS).tolist()
     at = 0
-    for text, words in zip(texts, split, strict=True):
-        own = hashes[at:at + len(words)]
-        at += len(words)
-        buckets, counts = np.unique((own >> np.uint64(40)) % np.uint64(WORD_BUCKETS),
-                                    return_counts=True)
-        weights = np.log1p(counts)
-        yield (structure(text, words, own), buckets.astype(np.int64),
+    for i, (text, raw) in enumerate(zip(texts, encoded, strict=True)):
+        own = hashes[at:at + lengths[i]]
+        at += lengths[i]
+        weights = logs[cuts[i]:cuts[i + 1]]
+        yield (structure(text, np.frombuffer(raw, dtype=np.uint8), lengths[i], own),
+               buckets[cuts[i]:cuts[i + 1]] - i * WORD_BUCKETS,
                weights / max(np.linalg.norm(weights), 1e-12))
 
 

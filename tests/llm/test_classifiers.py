@@ -93,3 +93,37 @@ def test_disguised_words_take_linear_time():
     start = time.perf_counter()
     toxicity.text_features("a" * 1_000_000 + " id1ot " + "a1" * 200_000, frozenset())
     assert time.perf_counter() - start < 5
+
+
+def test_quality_inputs_equal_plain_counts_and_make_no_series(monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("a series of pandas for each text")
+
+    texts = ["", " \n\t", "one", "Ab ab AB!\n\n ab AB ab\nab\x1cq $5.00", "x# y# z\x0b#\r\nx# y#\r\n",
+             "é è Éé 名前 ¡!\nq\u2028w\n \u3000\nq w", "a b " * 700 + "\n" + "c" * 5000 + "~"]
+    monkeypatch.setattr(quality.pd, "Series", refused)
+    found = list(quality.inputs(texts))
+    alone = [next(quality.inputs([t])) for t in texts]
+    assert len(found) == len(texts)
+    for text, (values, buckets, weights), one in zip(texts, found, alone, strict=True):
+        assert values == one[0] and all((a == b).all() for a, b in zip((buckets, weights), one[1:], strict=True))
+        raw, words = text.encode(), text.encode().lower().split()
+        lines = [line for line in text.split("\n") if line.strip()]
+        n, size = max(len(words), 1), max(len(raw), 1)
+        got = dict(zip(quality.STRUCTURE, values, strict=True))
+        share = {"capitals": sum(c in range(65, 91) for c in raw) / max(sum(bytes([c]).isalpha() for c in raw), 1),
+                 "digits": sum(c in b"0123456789" for c in raw) / size,
+                 "punctuation": sum(c in range(33, 48) or c in range(58, 65) for c in raw) / size,
+                 "signs": sum(c in b"#$%&*@|~^_<>=+\\{}[]/" for c in raw) / size,
+                 "exclamations": raw.count(b"!") / size,
+                 "white": sum(c == 32 or 9 <= c < 14 for c in raw) / size,
+                 "other_bytes": sum(c >= 128 for c in raw) / size,
+                 "word_length": size / n, "word_kinds": len(set(words)) / n,
+                 "top_word": max(map(words.count, words), default=0) / n,
+                 "pair_kinds": len(set(zip(words, words[1:])) if len(words) > 1 else words) / n,
+                 "line_kinds": max(len(set(lines)), 1) / max(len(lines), 1),
+                 "top_line": max(map(lines.count, lines), default=1) / max(len(lines), 1),
+                 "sign_ends": sum(w[-1:] in b"#$%&*@|~^!" for w in words) / n,
+                 "chars": np.log1p(len(text)), "words": np.log1p(len(words)), "lines": np.log1p(len(lines))}
+        assert got == share
+        assert abs(np.linalg.norm(weights) - bool(words)) < 1e-12 and len(buckets) <= len(set(words))
