@@ -103,3 +103,29 @@ def test_rows_of_a_node_cross_whole():
     rng = np.random.default_rng(4)
     rows = rng.normal(size=(7, 3)), rng.integers(0, 3, 7), rng.integers(1, 9, 7), rng.integers(-2 ** 62, 2 ** 62, 7)
     assert all((a == b).all() for a, b in zip(rows, forest._unpacked(forest._packed(*rows)), strict=True))
+
+
+@pytest.mark.parametrize("at_a_time", [forest.BINNED_AT_ONCE, 1])
+def test_one_task_splits_the_large_nodes_of_a_tree_as_the_passes_do(spark, monkeypatch, at_a_time):
+    passes, counted = [], forest._counted
+    monkeypatch.setattr(forest, "_counted", lambda *a: passes.append(1) or counted(*a))
+    monkeypatch.setattr(forest, "BINNED_AT_ONCE", at_a_time)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 70)
+    df = data(spark, 900).repartition(3)
+    whole = impurity_decreases(df, COLS, "pseudo_label", 4, 42, ["id"], 40)
+    assert len(passes) == 1                              # the bins of a tree fit one task at once
+    monkeypatch.setattr(forest, "BINNED_ROWS", 300)      # some passes, then one task
+    assert (impurity_decreases(df, COLS, "pseudo_label", 4, 42, ["id"], 40) == whole).all()
+    some = len(passes) - 1
+    monkeypatch.setattr(forest, "BINNED_ROWS", 0)        # passes only
+    assert (impurity_decreases(df, COLS, "pseudo_label", 4, 42, ["id"], 40) == whole).all()
+    assert len(passes) - 1 - some > some > 1
+
+
+def test_a_subtree_does_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(7)
+    for classes in (2, 3, 5):
+        x, y, w = rng.integers(0, 9, (300, 5)) / 3.0, rng.integers(0, classes, 300), rng.integers(1, 5, 300)
+        order = rng.permutation(300)
+        got = [_subtree(x[o], y[o], w[o], classes, np.random.default_rng(1)) for o in (np.arange(300), order)]
+        assert (got[0] == got[1]).all() and got[0].sum() > 0
