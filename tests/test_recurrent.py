@@ -110,3 +110,20 @@ def test_windows_side_by_side_at_extremes_and_any_number():
     whole, parts = gradients(w, x), [gradients(w, x[i:i + 2]) for i in range(0, 9, 2)]
     assert whole[0] == pytest.approx(sum(p[0] for p in parts))
     assert np.allclose(flat(whole[1]), sum(flat(p[1]) for p in parts), atol=1e-12)
+
+
+def test_a_layer_takes_over_the_memory_of_the_last_call():
+    """New memory cost as much as the work in it; what was given back before stays as it was."""
+    w, rng = start_weights(2, 5, 2, seed=4), np.random.default_rng(6)
+    x, other = rng.normal(size=(9, 7, 2)), rng.normal(size=(40, 7, 2))
+    loss, grads = gradients(w, x)
+    back, kept = rebuild(w, x), {name: g.copy() for name, g in grads.items()}
+    copy = back.copy()
+    gradients(w, other)
+    held = {name: id(v) for name, v in vars(recurrent._buffers).items()}
+    for v in (other, x, other[:1]):
+        gradients(w, v)
+    assert held and held == {name: id(v) for name, v in vars(recurrent._buffers).items()}
+    assert (back == copy).all() and all((grads[name] == v).all() for name, v in kept.items())
+    again = gradients(w, x)
+    assert again[0] == loss and (flat(again[1]) == flat(grads)).all()
