@@ -37,8 +37,8 @@ BORDER_ROWS = 50_000
 #: Counts of one pass over the rows, and rows sent to subtrees or, binned, to trees at a time: they
 #: bound how many nodes are split and how many trees are finished together.
 COUNTS_AT_ONCE = 4_000_000
-ROWS_AT_ONCE = 20_000_000
-BINNED_AT_ONCE = 160_000_000
+ROWS_AT_ONCE = 80_000_000
+BINNED_AT_ONCE = 500_000_000
 #: Rows a task deals to trees at a time, and the tasks these are dealt to.
 BLOCK_ROWS = 32_768
 PARTS = 64
@@ -104,14 +104,22 @@ class _Tree:
     def route(self, bins: np.ndarray) -> np.ndarray:
         """The node of each row of bin numbers."""
         feature, cut, left = (np.array(x) for x in (self.feature, self.cut, self.left))
-        node, width, flat = np.zeros(len(bins), dtype=np.int64), bins.shape[1], bins.ravel()
-        going = np.arange(len(bins) if feature[0] >= 0 else 0)
+        ends = feature < 0
+        # Where a row has arrived, it stays: its bin is at most the highest number.
+        cut, left = np.where(ends, np.iinfo(np.int64).max, cut), np.where(ends, np.arange(len(ends)), left)
+        by_feature = bins.flags.f_contiguous
+        flat, step = (bins.T.ravel(), 1) if by_feature else (bins.ravel(), bins.shape[1])
+        first = np.where(ends, 0, feature) * (len(bins) if by_feature else 1)
+        node = np.zeros(len(bins), dtype=np.int64)
+        going = np.arange(0 if ends[0] else len(bins))
         at = node[going]
         while len(going):
-            at = left.take(at) + (flat.take(going * width + feature.take(at)) > cut.take(at))
+            place = going * step
+            for _ in range(4):
+                at = left.take(at) + (flat.take(place + first.take(at)) > cut.take(at))
             node[going] = at
-            on = feature.take(at) >= 0
-            going, at = going[on], at[on]
+            on = np.flatnonzero(~ends.take(at))
+            going, at = going.take(on), at.take(on)
         return node
 
 
@@ -122,8 +130,8 @@ def _gini_sum(counts: np.ndarray) -> np.ndarray:
 
 
 def _to_bins(x: np.ndarray, borders: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(b, x[:, j]) for j, b in enumerate(borders)], axis=1).astype(
-        np.min_scalar_type(BINS))
+    """Bin numbers (row, feature), which lie feature by feature."""
+    return np.stack([np.searchsorted(b, x[:, j]) for j, b in enumerate(borders)]).astype(np.min_scalar_type(BINS)).T
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,8 +180,8 @@ def _counted(rows: DataFrame, trees: dict[int, _Tree], wanted: dict[tuple[int, i
             for t, (number, features, first) in by_tree.items():
                 weight = bootstrap_weights(ticket, t, seed)
                 here = np.flatnonzero(weight)
-                at = number[trees[t].route(bins[here])]
-                here, at = here[at >= 0], at[at >= 0]
+                at = number.take(trees[t].route(bins.T.take(here, axis=1).T))
+                here, at = here.compress(at >= 0), at.compress(at >= 0)
                 drawn = weight[here]
                 slot = first[at] * size + y[here]
                 start, end = int(first[0]) * size, (int(first[-1]) + int((features[-1] >= 0).sum())) * size
@@ -248,10 +256,11 @@ def _grow_binned(rows: DataFrame, some: dict[int, _Tree], trees: dict[int, _Tree
                 is_open = np.array([s == "open" for s in tree.state])
                 weight = bootstrap_weights(ticket, t, seed)
                 here = np.flatnonzero(weight)
-                own = bins[here]
-                kept = is_open[tree.route(own)]
+                own = bins.T.take(here, axis=1)
+                kept = np.flatnonzero(is_open.take(tree.route(own.T)))
+                here = here.take(kept)
                 names.append(t)
-                packed.append(_packed(own[kept].T, _votes(y[here[kept]], weight[here[kept]], classes)))
+                packed.append(_packed(own.take(kept, axis=1), _votes(y.take(here), weight.take(here), classes)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packed, pa.binary())],
                                              names=["tree", "rows"])
 
@@ -261,7 +270,7 @@ def _grow_binned(rows: DataFrame, some: dict[int, _Tree], trees: dict[int, _Tree
         _split_binned(tree, t, _joined(rows), classes, width, seed, small, found)
         return pa.table({"tree": pa.array([t], pa.int32()), "grown": pa.array([pickle.dumps((tree, found))], pa.binary())})
 
-    dealt = rows.mapInArrow(deal, "tree int, rows binary").repartition(min(PARTS, len(some)), "tree")
+    dealt = rows.mapInArrow(deal, "tree int, rows binary").repartition(min(PARTS, 2 * len(some)), "tree")
     grown = dealt.groupBy("tree").applyInArrow(grow, "tree int, grown binary").collect()   # one row per tree
     for r in sorted(grown, key=lambda r: r["tree"]):
         trees[r["tree"]], found = pickle.loads(r["grown"])
@@ -273,7 +282,7 @@ def _split_binned(tree: _Tree, t: int, binned: list[np.ndarray], classes: int, w
     """What the passes do to the open nodes of a tree, on the bins (feature, row) and votes of their rows."""
     bins, votes = binned
     most = int(votes.max()) // classes + 1 if len(votes) else 1
-    at = np.concatenate([tree.route(np.ascontiguousarray(bins[:, i:i + BLOCK_ROWS].T)).astype(np.int32)
+    at = np.concatenate([tree.route(np.ascontiguousarray(bins[:, i:i + BLOCK_ROWS]).T).astype(np.int32)
                          for i in range(0, len(votes), BLOCK_ROWS)] or [np.zeros(0, np.int32)])
     rows_of = {n: np.flatnonzero(at == n) for n in tree.open_nodes()}
     del at
@@ -284,7 +293,7 @@ def _split_binned(tree: _Tree, t: int, binned: list[np.ndarray], classes: int, w
 
     while rows_of:
         for n, here in sorted(rows_of.items()):
-            own = votes[here].astype(np.int64)
+            own = votes.take(here).astype(np.int64)
             if _settled(tree, n, counted(own, 1)[0], small):
                 del rows_of[n]
                 continue
@@ -296,7 +305,7 @@ def _split_binned(tree: _Tree, t: int, binned: list[np.ndarray], classes: int, w
                 del rows_of[n]
             if tree.state[n] == "split":
                 right = bins[tree.feature[n]].take(here) > tree.cut[n]
-                rows_of[first], rows_of[first + 1] = here[~right], here[right]
+                rows_of[first], rows_of[first + 1] = here.compress(~right), here.compress(right)
 
 
 def _next_tries(tree: _Tree, seed: int, t: int, n: int, width: int) -> list[int]:
@@ -494,20 +503,21 @@ def _grow_small(rows: DataFrame, trees: dict[int, _Tree], borders: list[np.ndarr
         trees, borders = shared.value
         small = {t: np.array([s == "small" for s in tree.state]) for t, tree in trees.items()}
         for x, y, ticket in _blocks(batches):
-            bins = _to_bins(x, borders)
+            bins, by_feature = _to_bins(x, borders), np.ascontiguousarray(x.T)
             chunks: list[tuple[int, int, bytes]] = []
             for t, tree in trees.items():
                 weight = bootstrap_weights(ticket, t, seed)
                 here = np.flatnonzero(weight)
-                at = tree.route(bins[here])
-                kept = np.flatnonzero(small[t][at])
-                kept = kept[at[kept].argsort(kind="stable")]
-                here, at = here[kept], at[kept]
-                own, votes = x[here], _votes(y[here], weight[here], classes)
+                at = tree.route(bins.T.take(here, axis=1).T)
+                kept = np.flatnonzero(small[t].take(at))
+                at = at.take(kept).astype(np.min_scalar_type(len(tree.state)))
+                order = at.argsort(kind="stable")
+                here, at = here.take(kept.take(order)), at.take(order)
+                own, votes = by_feature.take(here, axis=1), _votes(y.take(here), weight.take(here), classes)
                 ends = np.r_[np.flatnonzero(np.diff(at)) + 1, len(at)].tolist()
                 for i, j in zip([0, *ends[:-1]], ends, strict=True):
                     if j > i:
-                        chunks.append((t, int(at[i]), _packed(own[i:j].T, votes[i:j])))
+                        chunks.append((t, int(at[i]), _packed(own[:, i:j], votes[i:j])))
             trees_, nodes, packed = zip(*chunks, strict=True) if chunks else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(trees_, pa.int32()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())],
@@ -515,7 +525,7 @@ def _grow_small(rows: DataFrame, trees: dict[int, _Tree], borders: list[np.ndarr
 
     groups = sum(s == "small" for tree in trees.values() for s in tree.state)
     dealt = rows.mapInArrow(deal, "tree int, node long, rows binary").repartition(
-        max(1, min(PARTS, groups)), "tree", "node")
+        max(1, min(PARTS, 2 * groups)), "tree", "node")
     return dealt.groupBy("tree", "node").applyInArrow(_finish(classes, seed), _DECREASE)
 
 
