@@ -35,12 +35,14 @@ BINNED_ROWS = 8_000_000
 BINS = 128
 BORDER_ROWS = 50_000
 #: Counts of one pass over the rows, and rows sent to subtrees or, binned, to trees at a time: they
-#: bound how many nodes are split and how many trees are finished together.
+#: bound how many nodes are split and how many trees are finished together. Rows are those of up to
+#: eight features, fewer of more.
 COUNTS_AT_ONCE = 4_000_000
 ROWS_AT_ONCE = 80_000_000
 BINNED_AT_ONCE = 500_000_000
-#: Rows a task deals to trees at a time, and the tasks these are dealt to.
+#: Rows a task deals to trees at a time, bytes it gives away at a time, and the tasks these go to.
 BLOCK_ROWS = 32_768
+BYTES_AT_ONCE = 16_000_000
 PARTS = 64
 #: Classes a label may have.
 MAX_CLASSES = 100
@@ -228,12 +230,12 @@ def _grow_large(rows: DataFrame, group: Sequence[int], borders: list[np.ndarray]
             counts = _counted(rows, trees, wanted, borders, classes, seed)
             for (t, n), features in wanted.items():
                 _decide(trees[t], t, n, features, counts, width, small, decreases)
-        passing = [t for t in passing if trees[t].open_rows() > BINNED_ROWS]
-    some: dict[int, _Tree] = {}
+        passing = [t for t in passing if trees[t].open_rows() > _rows_of_width(BINNED_ROWS, width)]
+    some, most = {}, _rows_of_width(BINNED_AT_ONCE, width)
     for t, tree in trees.items():
         if not tree.open_nodes():
             continue
-        if some and sum(o.open_rows() for o in some.values()) + tree.open_rows() > BINNED_AT_ONCE:
+        if some and sum(o.open_rows() for o in some.values()) + tree.open_rows() > most:
             _grow_binned(rows, some, trees, decreases, borders, classes, width, seed, small)
             some = {}
         some[t] = tree
@@ -308,6 +310,10 @@ def _split_binned(tree: _Tree, t: int, binned: list[np.ndarray], classes: int, w
                 rows_of[first], rows_of[first + 1] = here.compress(~right), here.compress(right)
 
 
+def _rows_of_width(rows: int, width: int) -> int:
+    return rows * 8 // max(8, width)
+
+
 def _next_tries(tree: _Tree, seed: int, t: int, n: int, width: int) -> list[int]:
     done = tree.tried[n]
     return _tries(seed, t, n, width)[done:done + max(1, math.isqrt(width))].tolist()
@@ -499,12 +505,19 @@ def _grow_small(rows: DataFrame, trees: dict[int, _Tree], borders: list[np.ndarr
     """(tree, feature, decrease) of all small nodes, each finished in one task."""
     shared = rows.sparkSession.sparkContext.broadcast((trees, borders))
 
+    def batch(chunks: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        trees, nodes, packed = zip(*chunks, strict=True) if chunks else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(trees, pa.int32()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())],
+            names=["tree", "node", "rows"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, borders = shared.value
         small = {t: np.array([s == "small" for s in tree.state]) for t, tree in trees.items()}
         for x, y, ticket in _blocks(batches):
             bins, by_feature = _to_bins(x, borders), np.ascontiguousarray(x.T)
             chunks: list[tuple[int, int, bytes]] = []
+            held = 0
             for t, tree in trees.items():
                 weight = bootstrap_weights(ticket, t, seed)
                 here = np.flatnonzero(weight)
@@ -518,10 +531,11 @@ def _grow_small(rows: DataFrame, trees: dict[int, _Tree], borders: list[np.ndarr
                 for i, j in zip([0, *ends[:-1]], ends, strict=True):
                     if j > i:
                         chunks.append((t, int(at[i]), _packed(own[:, i:j], votes[i:j])))
-            trees_, nodes, packed = zip(*chunks, strict=True) if chunks else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(trees_, pa.int32()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())],
-                names=["tree", "node", "rows"])
+                held += own.nbytes
+                if held > BYTES_AT_ONCE:
+                    yield batch(chunks)
+                    chunks, held = [], 0
+            yield batch(chunks)
 
     groups = sum(s == "small" for tree in trees.values() for s in tree.state)
     dealt = rows.mapInArrow(deal, "tree int, node long, rows binary").repartition(
@@ -550,7 +564,7 @@ def impurity_decreases(df: DataFrame, cols: Sequence[str], label: str, trees: in
     ticket = F.xxhash64(F.lit(seed), *(key or [label, *cols]))
     rows = kept.select(ticket.alias("ticket"), number.cast("int").alias("y"), x.alias("x"))
     total = rows.count()
-    group = max(1, min(trees, ROWS_AT_ONCE // total))
+    group = max(1, min(trees, _rows_of_width(ROWS_AT_ONCE, len(cols)) // total))
     borders = _borders(rows, len(cols))
     # The upper parts of all trees share their passes; only the rows of the lower parts are many.
     grown, decreases = _grow_large(rows, range(trees), borders, len(values), len(cols), seed, small)

@@ -111,6 +111,7 @@ def test_one_task_splits_the_large_nodes_of_a_tree_as_the_passes_do(spark, monke
     monkeypatch.setattr(forest, "_counted", lambda *a: passes.append(1) or counted(*a))
     monkeypatch.setattr(forest, "BINNED_AT_ONCE", at_a_time)
     monkeypatch.setattr(forest, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(forest, "BYTES_AT_ONCE", 3_000)
     df = data(spark, 900).repartition(3)
     whole = impurity_decreases(df, COLS, "pseudo_label", 4, 42, ["id"], 40)
     assert len(passes) == 1                              # the bins of a tree fit one task at once
